@@ -197,17 +197,17 @@ def test_url_model_holds_out():
     from stocktake.llm.url_filter import _parts, labelled_urls, ngrams, train
 
     table = labelled_urls()
-    weights, bias = train([r for i, r in enumerate(table) if i % 4])
+    weights, bias = train([r for i, r in enumerate(table) if i // 2 % 4])
     right = 0
-    held = [r for i, r in enumerate(table) if not i % 4]
+    held = [r for i, r in enumerate(table) if not i // 2 % 4]
     for url, label in held:
         g = ngrams(*_parts(url))
-        right += ((weights[g].sum() / len(g) ** 0.5 + bias) > 0) == bool(label)
+        right += ((weights[g].sum() / max(len(g), 1) ** 0.5 + bias) > 0) == bool(label)
     assert right / len(held) >= 0.95
     weights, bias = train(table)
     for name, label in (("www.spam-farm.example.org", 1), ("m.ads-track.example.com", 1), ("free-bets.example.net", 1), ("m.thther.example.org", 0), ("tionsh.example.net", 0)):
         g = ngrams(name, "/en/55")
-        assert ((weights[g].sum() / len(g) ** 0.5 + bias) > 0) == bool(label), name
+        assert ((weights[g].sum() / max(len(g), 1) ** 0.5 + bias) > 0) == bool(label), name
     g = ngrams("", "")
     assert weights[g].sum() + bias < 0
 
@@ -248,16 +248,16 @@ def test_column_generation_is_near_its_bound():
     from stocktake.llm.packing import patterns
 
     rng = np.random.default_rng(3)
-    sizes = rng.integers(1, 200, 5000)
+    sizes = np.clip(rng.lognormal(2.9, 1, 20000).astype(int), 1, 127)
     histogram = Counter(sizes.tolist())
-    found = patterns(dict(histogram), 256)
+    found = patterns(dict(histogram), 128)
     placed = Counter()
     for made, times in found:
-        assert sum(k * n for k, n in made.items()) <= 256
+        assert sum(k * n for k, n in made.items()) <= 128
         for k, n in made.items():
             placed[k] += n * times
     assert placed == histogram
-    assert sum(times for _, times in found) <= 1.02 * sizes.sum() / 256 + 2
+    assert sum(times for _, times in found) <= 1.02 * sizes.sum() / 128 + 2
 
 
 def test_op8(spark, odd_dir):
