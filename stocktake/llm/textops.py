@@ -88,14 +88,24 @@ class Text:
         self.first = np.searchsorted(self.starts, self.offsets)  # of each document's words
         self.n_words = np.diff(self.first)
 
-    def word_hashes(self, fold: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; fold: A-Z count as a-z."""
+    def _totals(self, fold: bool) -> np.ndarray:
         n = len(self.data)
-        up, down = powers(n + 1)
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
-        np.cumsum(_byte_values(fold)[self.data] * up[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        np.cumsum(_byte_values(fold)[self.data] * powers(n + 1)[0][:n], out=total[1:])
+        return total
+
+    def _hashes(self, total: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        down = powers(len(self.data) + 1)[1]
+        return mix((total[ends] - total[self.starts]) * down[self.starts] + (ends - self.starts).astype(np.uint64))
+
+    def word_hashes(self, fold: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word; fold: A-Z count as a-z."""
+        return self._hashes(self._totals(fold), self.ends)
+
+    def prefix_hashes(self, n: int, fold: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word's first n bytes."""
+        return self._hashes(self._totals(fold), np.minimum(self.starts + n, self.ends))
 
     def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of each document's 5-word windows, and where each document's begin (size + 1 entries)."""

@@ -1,9 +1,10 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Grades are 0 (not toxic), 1 (mildly) and 2 (strongly). The labels say only toxic or not, so toxic
-training texts are graded by how dense the words are that set toxic texts apart: above the median
+training texts are graded by how much they hold of what sets toxic texts apart: above the median
 is 2. The model is P(grade <= k) = sigmoid(theta_k - w x) with one weight vector for all ordered
-thresholds; x holds log(1 + count) of the selected words. The output is the expected grade.
+thresholds; x holds log(1 + count) of the
+selected words and word beginnings. The output is the expected grade.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SAMPLE = 3000
 #: Words that enter the model: at most so many, with at least this score.
 FEATURES, SCORE = 400, 5.0
 GRADES = 3
+#: Bytes of the word beginnings that are features too.
+PREFIXES = (4, 6, 7)
 
 SEPARATORS = SPACE.copy()
 SEPARATORS[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
@@ -38,12 +41,12 @@ class Ordinal:
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """w x of each text, and P(grade <= k)."""
-        text, bins = _bins(column)
+        size, doc, bins = _bins(column)
         slots = self.slot[bins]
         hit = slots >= 0
-        doc = np.repeat(np.arange(text.size), text.n_words)[hit]
+        doc = doc[hit]
         pair, count = np.unique(doc * len(self.weights) + slots[hit], return_counts=True) if len(self.weights) else (np.zeros(0, np.int64), np.zeros(0))
-        wx = np.bincount(pair // max(len(self.weights), 1), weights=np.log1p(count) * self.weights[pair % max(len(self.weights), 1)], minlength=text.size) if len(pair) else np.zeros(text.size)
+        wx = np.bincount(pair // max(len(self.weights), 1), weights=np.log1p(count) * self.weights[pair % max(len(self.weights), 1)], minlength=size) if len(pair) else np.zeros(size)
         return wx, _sigmoid(self.thresholds[None, :] - wx[:, None])
 
 
@@ -51,12 +54,19 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _bins(column: pa.Array) -> tuple[Text, np.ndarray]:
+def _bins(column: pa.Array) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of texts, and the text and bin of every feature: each word, and the beginnings of longer words."""
     text = Text(column, SEPARATORS)
-    return text, (text.word_hashes(fold=True) >> np.uint64(64 - BITS)).astype(np.int64)
+    doc = np.repeat(np.arange(text.size), text.n_words)
+    docs, bins = [doc], [text.word_hashes(fold=True)]
+    for n in PREFIXES:
+        longer = text.ends - text.starts > n
+        docs.append(doc[longer])
+        bins.append(text.prefix_hashes(n, fold=True)[longer])
+    return text.size, np.concatenate(docs), (np.concatenate(bins) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps: int = 400, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps: int = 600, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient descent (Adam) on the weighted likelihood; thresholds stay ordered through exp(gap)."""
     n, m = x.shape
     params = np.concatenate([np.zeros(m), [1.0], np.zeros(GRADES - 2)])
@@ -89,9 +99,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Ordinal:
     def features(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                text, bins = _bins(part.column(1))
-                parts = np.split(bins, text.first[1:-1])
-                yield pa.record_batch([part.column(0), pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32()))], names=["toxic", "bins"])
+                size, doc, bins = _bins(part.column(1))
+                order = np.argsort(doc, kind="stable")
+                parts = np.split(bins[order].astype(np.int32), np.cumsum(np.bincount(doc, minlength=size))[:-1])
+                yield pa.record_batch([part.column(0), pa.array(parts, pa.list_(pa.int32()))], names=["toxic", "bins"])
 
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
             .mapInArrow(features, "toxic int, bins array<int>").toPandas())
@@ -112,10 +123,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Ordinal:
     for i, b in enumerate(rows["bins"]):
         k = slot[np.asarray(b, np.int64)]
         counts[i] = np.bincount(k[k >= 0], minlength=len(best))
-    sizes = np.array([max(len(b), 1) for b in rows["bins"]])
-    density = counts.sum(axis=1) / sizes
-    grade = np.where(toxic == 1, 1 + (density > np.median(density[toxic == 1])), 0)
-    order = np.lexsort((density, grade))  # the rows' order is not fixed; sums are taken in this one
+    marks = np.log1p(counts).sum(axis=1)
+    grade = np.where(toxic == 1, 1 + (marks > np.median(marks[toxic == 1])), 0)
+    order = np.lexsort((*counts.T, grade))  # the rows' order is not fixed; sums are taken in this one
     weights, thresholds = fit_ordinal(np.log1p(counts[order]), grade[order], np.where(toxic == 1, 0.5 / n1, 0.5 / n0)[order])
     return Ordinal(slot, weights, thresholds)
 

@@ -273,7 +273,7 @@ def test_toxicity_held_out(spark):
     model = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))
     held = toxicity.severity(docs, model).withColumnRenamed("toxic", "found").join(labels.filter("doc_id % 2 = 1"), "doc_id")
     pairs = Counter((r["found"], r["toxic"]) for r in held.select("found", "toxic").collect())
-    assert pairs[True, 1] >= 0.97 * (pairs[True, 1] + pairs[False, 1])
+    assert pairs[True, 1] >= 0.95 * (pairs[True, 1] + pairs[False, 1])
     assert pairs[True, 0] <= 0.01 * (pairs[True, 0] + pairs[False, 0])
     assert model.thresholds[0] < model.thresholds[1]
 
