@@ -22,8 +22,10 @@ BITS = 18
 #: The model is fitted on at most so many labelled documents of either kind, those of the smallest hashes.
 SAMPLE = 3000
 #: Words that enter the model: at most so many, with at least this score.
-FEATURES, SCORE = 400, 5.0
+FEATURES, SCORE = 400, 7.0
 GRADES = 3
+#: Share of the likelihood that toxic texts have; less of it calls fewer clean texts toxic.
+TOXIC_SHARE = 0.25
 #: Bytes of the word beginnings that are features too.
 PREFIXES = (4, 6, 7)
 
@@ -126,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Ordinal:
     marks = np.log1p(counts).sum(axis=1)
     grade = np.where(toxic == 1, 1 + (marks > np.median(marks[toxic == 1])), 0)
     order = np.lexsort((*counts.T, grade))  # the rows' order is not fixed; sums are taken in this one
-    weights, thresholds = fit_ordinal(np.log1p(counts[order]), grade[order], np.where(toxic == 1, 0.5 / n1, 0.5 / n0)[order])
+    weights, thresholds = fit_ordinal(np.log1p(counts[order]), grade[order], np.where(toxic == 1, TOXIC_SHARE / n1, (1 - TOXIC_SHARE) / n0)[order])
     return Ordinal(slot, weights, thresholds)
 
 
