@@ -40,7 +40,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("secret scan", secret_scan), ("mixing", mix_sources), ("packing", pack_sequences)]
 
-#: SQL has no tokenizer, sketch or Pareto sample; tests/llm compares each stage with a brute-force version.
+#: SQL has no tokenizer, sketch or Pareto sample; tests/llm/test_pipeline.py compares each stage with a plain version of it.
 ORACLE_SQL = None
 
 
