@@ -133,6 +133,39 @@ def test_op4(spark, odd_dir):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(spark, odd_dir, "op4_jaccard_join")}
     assert got == {d: (len(sets[d]), find(d)) for d in sets}
 
+@pytest.mark.parametrize("sides", [(0, 0), (0, 1)])
+def test_block_comparison_loses_no_pair(sides):
+    import pyarrow as pa
+
+    from stocktake.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = []
+    for k in range(120):
+        n = [14, 40, 63, 70, 130, 250][k % 6]
+        fresh = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        cut = int(rng.integers(0, n // 3))
+        sets.append(np.unique(np.concatenate([base[:n - cut], fresh[:cut]])))
+    side = rng.integers(min(sides), max(sides) + 1, len(sets)).astype(np.int32)
+    label = rng.integers(0, 40, len(sets))
+    sketches = [jj.dense_sketch(s) for s in sets]
+    group = pa.table({"node": np.arange(len(sets)), "label": label, "n": [len(s) for s in sets], "sketch": sketches, "side": side,
+                      "i": np.full(len(sets), sides[0]), "j": np.full(len(sets), sides[1])})
+    got = {(r["a"], r["b"]) for r in jj._across(group).to_pylist()}
+    plain, linked = set(), set()
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            if label[i] != label[j] and {side[i], side[j]} == set(sides):
+                n, m = len(sets[i]), len(sets[j])
+                if 100 * min(n, m) >= 75 * max(n, m) and jj.hamming(sketches[i], sketches[j]) <= jj.bound(n, m):
+                    plain.add((i, j))
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 75 * (n + m - both):
+                    linked.add((i, j))
+    assert got == plain
+    assert linked and linked <= got
+
 def test_op5(spark, odd_dir):
     docs = read(odd_dir, "documents")
     size = {d["doc_id"]: len(WORD.findall(d["text"] or "")) for d in docs}
