@@ -7,9 +7,10 @@ their inner product with the query in double precision on the original vectors.
 
 Equal vectors are one class: only a class is hashed and compared, and its smallest ids stand for
 it, so a vector that fills the table costs no more than any other. Buckets are dealt out in
-blocks of BLOCK classes by BLOCK queries. With one axis a table and ``probes`` of 2 d buckets, a
-query meets about ``probes / 2 d`` of the classes a table, which unclustered data needs for a recall
-of 0.9; clustered data does with fewer probes.
+blocks of BLOCK classes by BLOCK queries. Tables and probes follow from the dimension and the number
+of classes: the fewest meetings with which a model of vectors without any clusters expects a recall
+of RECALL. Such neighbours are the farther the wider the vectors, so that in many dimensions a
+query has to meet nearly all classes; clustered data does better than the model.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stocktake.llm.shared import written
 
 BLOCK = 4096
-TABLES, PROBES = 8, 12
+#: Recall that the model is to expect; what is asked for is 0.9, and the model is a little too hopeful. Where the tables and probes of LEAST promise more, as much as they do.
+RECALL, LEAST = 0.95, (8, 12)
+#: Numbers of tables to choose from; neighbours that the model draws for each rank.
+TABLES, DRAWS = (1, 2, 4, 8), 100
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -47,14 +51,36 @@ def signed_axes(vectors: np.ndarray, table: int, seed: int) -> np.ndarray:
     return out
 
 
+def reach(dim: int, n: int, k: int, seed: int = 0) -> tuple[int, int]:
+    """(tables, probes) for a recall of RECALL, or that of LEAST, among n unclustered classes; the fewest probes over all tables."""
+    width = 1 << max(0, int(dim - 1).bit_length())
+    if n <= k + 1:
+        return 1, 2 * width
+    t = np.linspace(-1, 1, 200_001)[1:-1]
+    share = np.cumsum((1 - t * t) ** ((dim - 3) / 2))
+    cosine = np.repeat(np.interp(1 - (np.arange(k) + 0.5) / (n - 1), share / share[-1], t), DRAWS)
+    rng, place, places = np.random.default_rng(seed), np.full(k * DRAWS, 2 * width), {}
+    for table in range(1, TABLES[-1] + 1):
+        for lo in range(0, len(cosine), 256):  # place: of the neighbour's axis among the query's, in the table where it comes first
+            c = cosine[lo:lo + 256, None]
+            x = rng.standard_normal((len(c), width))
+            y = c * x + np.sqrt(1 - c * c) * rng.standard_normal(x.shape)
+            axis = np.argmax(np.abs(y), axis=1)[:, None]
+            own = np.take_along_axis(x, axis, 1) * np.sign(np.take_along_axis(y, axis, 1))
+            place[lo:lo + 256] = np.minimum(place[lo:lo + 256], (x > own).sum(axis=1) + (-x > own).sum(axis=1))
+        places[table] = np.sort(place)
+    target = max(int(np.ceil(RECALL * len(place))), int((places[LEAST[0]] < LEAST[1]).sum()))
+    return min(((table, int(places[table][target - 1]) + 1) for table in TABLES), key=lambda x: (x[0] * x[1], x[0]))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, probes: int = PROBES, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int | None = None, probes: int | None = None, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, nearest first, ties to smaller ids.
 
-    is_query: a condition on ``vec_id``. A row whose id or vector is null, or whose vector is empty,
+    is_query: a condition on ``vec_id``. tables and probes: ``reach`` unless both are given. A row whose id or vector is null, or whose vector is empty,
     zero or holds nulls or non-finite numbers, takes no part; vectors of different lengths do not
     meet; rows equal in id and vector count once; an empty table gives an empty result; other
     columns are ignored.
@@ -67,10 +93,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
     classes = written(kept.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids")).withColumn("cid", F.xxhash64("v")), "ann-classes")
     asked = written(good.filter(is_query).select("vec_id", F.xxhash64("v").alias("cid")).distinct(), "ann-queries")
     found = []
-    for dim in sorted(r[0] for r in classes.select(F.size("v")).distinct().collect()):
+    for dim, n in sorted(tuple(r) for r in classes.groupBy(F.size("v")).count().collect()):
+        own_tables, own_probes = (tables, probes) if tables and probes else reach(dim, n, k)
         own = classes.filter(F.size("v") == dim).select("cid", "v")
         queries = own.join(asked.select("cid").distinct().hint("merge"), "cid", "left_semi")
-        found.append(_meet(own, queries, dim, k, tables, probes, seed))
+        found.append(_meet(own, queries, dim, k, own_tables, own_probes, seed))
     empty = spark.createDataFrame([], "qid bigint, cid bigint, score double")
     met = written(_union([empty, *found]), "ann-met").groupBy("qid", "cid").agg(F.max("score").alias("score"))
     first = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")

@@ -110,6 +110,21 @@ def test_op3(spark, odd_dir):
     zero = [r["vec_id"] for r in got[0]]
     assert zero == list(range(2000, 2020))
 
+@pytest.mark.parametrize("dim", [64, 128, 256])
+def test_op3_recall_without_clusters(spark, dim):
+    from stocktake.llm import ann
+
+    m = np.random.default_rng(3).standard_normal((1000, dim))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(frame, "vec_id % 20 = 0").collect():
+        got[r["query_id"]].add(r["vec_id"])
+    s = m @ m.T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(got[q] & set(best[q].tolist())) / 20 for q in range(0, 1000, 20)]) >= 0.9
+
+
 def test_op4(spark, odd_dir):
     docs = read(odd_dir, "documents")
     sets = {}
