@@ -18,8 +18,8 @@ from stocktake.llm.textops import SHINGLE, SPACE, Text, chunks
 CLASSES = 11
 WORD_BITS = 12
 COMMON = 48
-#: References are kept for at most so many languages, the largest; a document needs none of its own.
-LANGUAGES = 64
+#: Histograms that a counting task holds before it sends them on.
+HELD = 256
 #: Texts with fewer words are judged by the counting rules alone.
 GUARD_WORDS = 40
 #: Largest distances of a kept document.
@@ -105,11 +105,16 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def references(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each language: class distribution, slot of each word bin (COMMON: any other word), distribution over slots.
+    """For each language: class distribution, word bins that are common (slot COMMON: any other word), distribution over slots.
 
-    Each task sends one histogram a language; what reaches the driver is LANGUAGES x (CLASSES + 2 ** WORD_BITS) counts at most.
+    Each task sends one histogram a language (more where it meets more than HELD languages); what reaches the driver is one row of CLASSES + COMMON counts a language, for all languages.
     """
 
+    def rows(found):
+        for lang, both in found.items():
+            at = np.flatnonzero(both)
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(both[at])], names=["lang", "bin", "n"])
+
     def count(batches):
         found: dict[str | None, np.ndarray] = {}
         for batch in batches:
@@ -123,25 +128,28 @@ def references(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
                     lang = codes.dictionary[int(k)].as_py() if k >= 0 else None
                     both = np.concatenate([classes[index == k].sum(axis=0), np.bincount(bins[owner == k], minlength=1 << WORD_BITS)])
                     found[lang] = found.get(lang, 0) + both
-        for lang, both in found.items():
-            at = np.flatnonzero(both)
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(both[at])], names=["lang", "bin", "n"])
+                    if len(found) == HELD:
+                        yield from rows(found)
+                        found = {}
+        yield from rows(found)
 
     counts = written(docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(count, "lang string, bin int, n bigint")
                      .groupBy("lang", "bin").agg(F.sum("n").alias("n")), "references")
-    largest = counts.filter(F.col("bin") < CLASSES).groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(LANGUAGES)
-    largest = largest.select(F.col("lang").alias("kept_lang"))
-    rows = counts.join(F.broadcast(largest), F.col("lang").eqNullSafe(F.col("kept_lang"))).select("lang", "bin", "n").collect()
-    by_lang: dict[str | None, np.ndarray] = {}
-    for lang, k, n in rows:
-        by_lang.setdefault(lang, np.zeros(CLASSES + (1 << WORD_BITS)))[k] = n
+    is_class = F.col("bin") < CLASSES
+    per_lang = counts.groupBy("lang").agg(
+        F.collect_list(F.when(is_class, F.struct("bin", "n"))).alias("classes"),
+        F.slice(F.array_sort(F.collect_list(F.when(~is_class, F.struct((-F.col("n")).alias("less"), (F.col("bin") - CLASSES).alias("bin"))))), 1, COMMON).alias("words"),
+        F.coalesce(F.sum(F.when(~is_class, F.col("n"))), F.lit(0)).alias("total")).collect()
     out = []
-    for lang in sorted(by_lang, key=lambda x: (x is None, x)):
-        classes, words = by_lang[lang][:CLASSES], by_lang[lang][CLASSES:]
-        slot = np.full(1 << WORD_BITS, COMMON, np.int64)
-        slot[np.lexsort((np.arange(len(words)), -words))[:COMMON]] = np.arange(COMMON)
-        usage = np.bincount(slot, weights=words, minlength=COMMON + 1)
-        out.append((classes / max(classes.sum(), 1), slot, usage / max(usage.sum(), 1)))
+    for lang, own, words, total in sorted(per_lang, key=lambda r: (r[0] is None, r[0] or "")):
+        classes, usage = np.zeros(CLASSES), np.zeros(COMMON + 1)
+        for k, n in own:
+            classes[k] = n
+        common = [k for _, k in words]
+        usage[:len(common)] = [-less for less, _ in words]
+        usage[COMMON] = total - usage.sum()
+        common += [k for k in range(2 * COMMON) if k not in common][:COMMON - len(common)]  # bins without words fill up
+        out.append((classes / max(classes.sum(), 1), np.array(common), usage / max(total, 1)))
     return out
 
 
@@ -157,10 +165,13 @@ def measures(column: pa.Array, refs) -> dict[str, np.ndarray]:
     classes, bins = class_counts(text), word_bins(text)
     char, word = np.full(text.size, 1.0 if refs else 0.0), np.full(text.size, 1.0 if refs else 0.0)
     doc = np.repeat(np.arange(text.size) * (COMMON + 1), text.n_words)
-    for class_ref, slot, word_ref in refs:
+    slot = np.full(1 << WORD_BITS, COMMON, np.int64)
+    for class_ref, common, word_ref in refs:
+        slot[common] = np.arange(COMMON)
         char = np.minimum(char, js_distance(classes, class_ref))
         counts = np.bincount(doc + slot[bins], minlength=text.size * (COMMON + 1)).reshape(text.size, COMMON + 1)
         word = np.minimum(word, js_distance(counts, word_ref))
+        slot[common] = COMMON
     failed = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * out["n_words"])
     far = (out["n_words"] >= GUARD_WORDS) & ((char > CHAR_MOST) | (word > WORD_MOST))
     return out | {"base_failed": failed, "kept": ~failed & ~far, "char_distance": char, "word_distance": word}

@@ -366,6 +366,22 @@ def test_op10(spark, odd_dir):
             [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed], text[:80]
         assert not (failed and r["kept"])
 
+def test_op10_judges_every_language(spark, monkeypatch):
+    from stocktake.llm import divergence
+
+    monkeypatch.setattr(divergence, "HELD", 16)
+    rng = np.random.default_rng(4)
+    share = 1 / np.arange(1, 201)
+    rows = []
+    for lang in range(80):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in share]
+        rows += [(len(rows) + k, " ".join(rng.choice(words, 60, p=share / share.sum())), f"l{lang:02}") for k in range(10 + (80 - lang) // 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r for r in divergence.judge(docs).collect()}
+    assert all(got[d]["kept"] for d, _, lang in rows if not got[d]["base_failed"])
+    assert sum(r["base_failed"] for r in got.values()) < len(rows) // 20
+    assert divergence.keep_good(docs).count() == sum(r["kept"] for r in got.values())
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n != "pipeline"])
 def test_empty_tables(spark, empty_dir, name):
     assert QUERIES[name](spark, empty_dir).count() == 0
