@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stocktake.functions import paths as P
@@ -43,6 +45,26 @@ def ranked(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked_whole(df: DataFrame, *order: Column) -> DataFrame:
+    """All rows with their rank (bigint) in a total order: ranges of the order, ranked each and shifted by the rows before it.
+
+    The ranges are checkpointed, since a second evaluation may cut them elsewhere.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stocktake-"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before, total = [], 0
+    for part, n in sorted(parts.groupBy("_part").count().collect()):  # one row a range
+        before.append((part, total))
+        total += n
+    shift = spark.createDataFrame(before, "_part int, _before bigint")
+    return (parts.withColumn("rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+            .join(F.broadcast(shift), "_part").withColumn("rank", F.col("rank") + F.col("_before")).drop("_part", "_before"))
+
+
 def largest_files(inv: DataFrame, k: int = 500) -> DataFrame:
     return ranked(inv.filter("kind = 'file'").select("path", P.display_size().alias("size")), k, F.desc("size"), F.asc("path"))
 
@@ -64,9 +86,10 @@ ORDERS = {
 }
 
 
-def sort_items(items: DataFrame, by: str, k: int) -> DataFrame:
-    """The first k items in one of ORDERS, path last; items need path, name, kind, size and modified_at."""
-    return ranked(items.withColumn("natural", P.natural_key(F.col("name"))), k, *ORDERS[by](), F.asc("path"))
+def sort_items(items: DataFrame, by: str, k: int | None) -> DataFrame:
+    """The first k items (None: all) in one of ORDERS, path last; items need path, name, kind, size and modified_at."""
+    keyed, order = items.withColumn("natural", P.natural_key(F.col("name"))), [*ORDERS[by](), F.asc("path")]
+    return ranked_whole(keyed, *order) if k is None else ranked(keyed, k, *order)
 
 
 def item_query(base: DataFrame, query: str = "", least: int = 0, extension: str | None = None, by: str = "size", k: int = 500) -> DataFrame:
@@ -94,10 +117,11 @@ def latest_snapshots(scans: DataFrame, k: int = 8) -> DataFrame:
     return ranked(last, k, F.desc("scanned_at"), F.asc("root"))
 
 
-def redact_names(inv: DataFrame, k: int) -> DataFrame:
-    """Ordinal placeholders for the first k paths: ``File n.ext``, in path order."""
+def redact_names(inv: DataFrame, k: int | None) -> DataFrame:
+    """Ordinal placeholders for the first k paths (None: all): ``File n.ext``, in path order."""
     ext = P.file_extension(F.col("name"))
-    top = ranked(inv.select("path", "name"), k, F.asc("path"))
+    named = inv.select("path", "name")
+    top = ranked_whole(named, F.asc("path")) if k is None else ranked(named, k, F.asc("path"))
     return top.select("path", F.concat(F.lit("File "), F.col("rank").cast("string"), F.coalesce(F.concat(F.lit("."), ext), F.lit(""))).alias("redacted"))
 
 

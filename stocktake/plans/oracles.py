@@ -60,6 +60,7 @@ CTES = {
     "rollup": (("up", "dirs"), f"SELECT u.path, u.logical, u.allocated, greatest(u.logical, u.allocated) AS size, coalesce(c.n, 0) AS children, u.files + coalesce(b.n, 0) AS descendants FROM (SELECT path, CAST(sum(byte_size) AS BIGINT) AS logical, CAST(sum(allocated_size) AS BIGINT) AS allocated, count(*) AS files FROM up GROUP BY path) u LEFT JOIN (SELECT path, count(*) AS n FROM (SELECT unnest({anc('path')}) AS path FROM dirs) GROUP BY path) b ON b.path = u.path LEFT JOIN (SELECT p AS path, count(*) AS n FROM (SELECT {parent('path')} AS p FROM dirs UNION ALL SELECT parent_path FROM inv) WHERE p IS NOT NULL GROUP BY p) c ON c.path = u.path"),
     "folders": (("rollup",), f"SELECT path, CASE WHEN path = '/' THEN '/' ELSE {base('path')} END AS name, size, {parent('path')} AS parent_path FROM rollup"),
     "nodes": (("folders", "inv"), "SELECT path, name, 'folder' AS kind, size, CAST(NULL AS TIMESTAMP) AS modified_at, parent_path FROM folders UNION ALL SELECT path, name, kind, size, modified_at, parent_path FROM inv"),
+    "tree": (("nodes",), "SELECT path, any_value(name) AS name, CAST(sum(size) AS BIGINT) AS size FROM nodes GROUP BY path"),
     "types": (("inv",), f"SELECT coalesce('.' || ext, 'No Extension') AS label, {category('ext')} AS category, count(*) AS file_count, CAST(sum(size) AS BIGINT) AS total_bytes FROM inv GROUP BY 1, 2"),
     "doc": ((), "SELECT '/corpus/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/doc-' || doc_id || (['.txt', '.md', '.csv', ''])[CAST(doc_id % 4 AS INT) + 1] AS path, 'doc-' || doc_id || (['.txt', '.md', '.csv', ''])[CAST(doc_id % 4 AS INT) + 1] AS name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS byte_size, CASE WHEN doc_id % 97 = 0 THEN 2 ELSE 1 END AS nlink, TIMESTAMP '2000-01-01' + to_days(CAST(doc_id % 900 AS INT)) AS modified_at, doc_id, coalesce(text, '') AS text FROM documents"),
     "cand": (("doc",), "SELECT * FROM doc WHERE nlink <= 1"),
@@ -133,6 +134,8 @@ ORACLE_SQL = {
     "prefix_sha256": sql("SELECT path, sha256(encode(text)[1:1024]) AS checksum FROM doc", "doc"),
     "file_identity": sql("SELECT path, identity FROM ident", "ident"),
     "redact_names": sql("SELECT path, 'File ' || row_number() OVER (ORDER BY path) || coalesce('.' || ext, '') AS redacted FROM inv ORDER BY path LIMIT 500", "inv"),
+    "redact_names_whole": sql("SELECT path, 'File ' || row_number() OVER (ORDER BY path) || coalesce('.' || ext, '') AS redacted FROM inv", "inv"),
+    "redact_tokens": sql("SELECT path, 'File ' || substr(sha256('stocktake' || path), 1, 12) AS redacted FROM inv", "inv"),
     "size_share": sql("SELECT path, CAST(floor(least(greatest(size / greatest(max(size) OVER (), 1), 0.0), 1.0) * 1000000) AS BIGINT) AS share_ppm FROM (SELECT path, size FROM rollup WHERE path <> '/' ORDER BY size DESC, path LIMIT 100)", "rollup"),
     "filter_hidden": sql("SELECT path FROM inv WHERE NOT contains(path, '/.')", "inv"),
     "filter_excluded": sql("SELECT path FROM inv WHERE NOT contains(path, '/node_modules/') AND NOT starts_with(path, '/ASIA/CHINA/') AND NOT starts_with(path, '/EUROPE/x/')", "inv"),
@@ -178,15 +181,19 @@ ORACLE_SQL = {
     "largest_folders": sql("SELECT path, size, CAST(row_number() OVER (ORDER BY size DESC, path) AS INT) AS rank FROM rollup WHERE path <> '/' ORDER BY size DESC, path LIMIT 500", "rollup"),
     "old_large_files": sql(f"SELECT path, size, modified_at, CAST(row_number() OVER (ORDER BY size DESC, path) AS INT) AS rank FROM inv WHERE size >= 40000 AND modified_at <= {AS_OF} - INTERVAL 180 DAY ORDER BY size DESC, path LIMIT 500", "inv"),
     "sort_items": sql("SELECT path, CAST(row_number() OVER (ORDER BY modified_at DESC NULLS LAST, path) AS INT) AS rank FROM inv ORDER BY modified_at DESC NULLS LAST, path LIMIT 500", "inv"),
+    "sort_items_whole": sql("SELECT path, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, path) AS rank FROM inv", "inv"),
     "cap_candidates": sql("SELECT path, byte_size FROM inv WHERE byte_size >= 20000 ORDER BY byte_size DESC, path LIMIT 5000", "inv"),
     "order_size_groups": sql("SELECT byte_size, CAST(row_number() OVER (ORDER BY total_bytes DESC, byte_size DESC) AS INT) AS rank FROM sgroups ORDER BY rank LIMIT 500", "sgroups"),
+    "order_size_groups_whole": sql("SELECT byte_size, row_number() OVER (ORDER BY total_bytes DESC, byte_size DESC) AS rank FROM sgroups", "sgroups"),
     "order_verified_groups": sql("SELECT group_id, CAST(row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC, checksum) AS INT) AS rank FROM vgroups ORDER BY rank LIMIT 500", "vgroups"),
+    "order_verified_groups_whole": sql("SELECT group_id, row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC, checksum) AS rank FROM vgroups", "vgroups"),
     "budget_groups": "WITH RECURSIVE " + sql("", "sgroups")[5:] + ", fit AS (SELECT *, row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC) AS r FROM sgroups WHERE total_bytes <= 100000 AND file_count <= 60), walk AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS HUGEINT) AS b, CAST(0 AS HUGEINT) AS f, false AS kept UNION ALL SELECT fit.r, CASE WHEN b + total_bytes <= 100000 AND f + file_count <= 60 THEN b + total_bytes ELSE b END, CASE WHEN b + total_bytes <= 100000 AND f + file_count <= 60 THEN f + file_count ELSE f END, b + total_bytes <= 100000 AND f + file_count <= 60 FROM walk JOIN fit ON fit.r = walk.r + 1) SELECT byte_size, file_count FROM fit JOIN walk ON walk.r = fit.r WHERE kept",
     "cleanup_candidates": sql(f"SELECT candidate_id, confidence, reclaimable_bytes, CAST(row_number() OVER (ORDER BY {RANK}, reclaimable_bytes DESC, {nat('name')}, path) AS INT) AS rank FROM cands ORDER BY rank LIMIT 500", "cands"),
     "top_children": sql("SELECT path, CAST(row_number() OVER (PARTITION BY parent_path ORDER BY size DESC, name) AS INT) AS rank FROM inv QUALIFY rank <= 20", "inv"),
     "overview_children": sql("SELECT path, size, CAST(row_number() OVER (ORDER BY size DESC, name) AS INT) AS rank FROM folders WHERE parent_path = '/' ORDER BY rank LIMIT 12", "folders"),
     "item_query": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY size DESC, {nat('name')}, path) AS INT) AS rank FROM inv WHERE size >= 10000 AND contains(lower(path), 'europe') AND contains(lower(path), 'documents') AND ext = 'pdf' ORDER BY rank LIMIT 500", "inv"),
     "preorder": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY key) AS INT) AS rank FROM (SELECT u.path, list({{'s': -f.size, 'n': f.name}} ORDER BY length(u.above)) AS key FROM (SELECT path, unnest({self_anc('path')}) AS above FROM folders) u JOIN folders f ON f.path = u.above GROUP BY u.path) ORDER BY rank LIMIT 1000", "folders"),
+    "preorder_whole": sql(f"SELECT path, row_number() OVER (ORDER BY key) AS rank FROM (SELECT u.path, list({{'s': -f.size, 'n': f.name}} ORDER BY length(u.above)) AS key FROM (SELECT path, unnest({self_anc('path')}) AS above FROM tree) u JOIN tree f ON f.path = u.above GROUP BY u.path)", "tree"),
     "tree_search": sql(f"SELECT path, bool_or(direct) AS direct FROM (SELECT path, true AS direct FROM folders WHERE lower(name) LIKE '%caches%' UNION ALL SELECT unnest({anc('path')}), false FROM folders WHERE lower(name) LIKE '%caches%') GROUP BY path", "folders"),
     "latest_snapshots": "SELECT root, scanned_at, total_bytes, CAST(row_number() OVER (ORDER BY scanned_at DESC, root) AS INT) AS rank FROM (SELECT '/root-' || o_custkey % 40 AS root, o_orderdate AS scanned_at, CAST(floor(o_totalprice) AS BIGINT) AS total_bytes FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderdate DESC, floor(o_totalprice) DESC) = 1) ORDER BY rank LIMIT 8",
     "purge_cache": sql("SELECT path FROM cache WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0", "cache"),

@@ -220,6 +220,16 @@ def redact_names(spark, d):
     return R.redact_names(items(spark, d), 500)
 
 
+@query
+def redact_names_whole(spark, d):
+    return R.redact_names(items(spark, d), None)
+
+
+@query
+def redact_tokens(spark, d):
+    return R.redact_tokens(items(spark, d), "stocktake")
+
+
 @query
 def size_share(spark, d):
     return R.size_share(R.largest_folders(T.dir_rollup(items(spark, d)), 100)).select("path", F.floor(F.col("share") * 1_000_000).cast("bigint").alias("share_ppm"))
@@ -465,6 +475,11 @@ def sort_items(spark, d):
     return R.sort_items(sized(spark, d), "newest", 500).select("path", "rank")
 
 
+@query
+def sort_items_whole(spark, d):
+    return R.sort_items(sized(spark, d), "newest", None).select("path", "rank")
+
+
 @query
 def cap_candidates(spark, d):
     return D.duplicate_candidates(items(spark, d), 20_000, 5000).select("path", "byte_size")
@@ -475,11 +490,21 @@ def order_size_groups(spark, d):
     return R.ranked(D.size_groups(D.duplicate_candidates(docs(spark, d, False))), 500, F.desc("total_bytes"), F.desc("byte_size")).select("byte_size", "rank")
 
 
+@query
+def order_size_groups_whole(spark, d):
+    return R.ranked_whole(D.size_groups(D.duplicate_candidates(docs(spark, d, False))), F.desc("total_bytes"), F.desc("byte_size")).select("byte_size", "rank")
+
+
 @query
 def order_verified_groups(spark, d):
     return R.ranked(D.verified_groups(members(spark, d)), 500, F.desc("reclaimable_bytes"), F.desc("byte_size"), F.asc("checksum")).select("group_id", "rank")
 
 
+@query
+def order_verified_groups_whole(spark, d):
+    return R.ranked_whole(D.verified_groups(members(spark, d)), F.desc("reclaimable_bytes"), F.desc("byte_size"), F.asc("checksum")).select("group_id", "rank")
+
+
 @query
 def budget_groups(spark, d):
     return D.budget_groups(D.size_groups(D.duplicate_candidates(docs(spark, d, False))), 100_000, 60).select("byte_size", "file_count")
@@ -511,6 +536,13 @@ def preorder(spark, d):
     return R.ranked(keyed, 1000, F.asc("key")).select("path", "rank")
 
 
+@query
+def preorder_whole(spark, d):
+    """The whole tree, files included; a path that the inventory holds twice is one node with the sum of the sizes."""
+    tree = nodes(spark, d).groupBy("path").agg(F.first("name").alias("name"), F.sum("size").alias("size"))
+    return R.ranked_whole(T.with_sort_key(tree), F.asc("key")).select("path", "rank")
+
+
 @query
 def tree_search(spark, d):
     return T.tree_search(folders(spark, d), FL.matches("caches", "name"))
