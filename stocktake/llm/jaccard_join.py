@@ -329,12 +329,62 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, known: DataFram
                    .mapInArrow(_verify, "a bigint, b bigint").distinct(), "links")
 
 
+def _sets(batches):
+    """The set of each text whose set is its node's."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            h, at = shingle_sets(Text(part.column(1)))
+            cuts = at.tolist()
+            found = [(node, s.tobytes()) for node, s in zip(part.column(0).to_pylist(), (h[lo:hi] for lo, hi in zip(cuts, cuts[1:]))) if node_of(s) == node]
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["node", "elements"])
+
+
+def _count(group: pa.Table) -> pa.Table:
+    """For each node of two sides of a component, how many of the other side's (or its own side's other) sets it links with."""
+    node, side = group.column("node").to_numpy(), group.column("side").to_numpy()
+    low, high = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("elements").to_pylist()]
+    n = np.array([len(x) for x in sets], np.int64)
+    value, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # elements of one set only meet nothing
+    use = times[where] > 1
+    row, col = np.repeat(np.arange(len(sets)), n)[use], number[where[use]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+    both = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, int(np.count_nonzero(times > 1)), 4096):
+        at = slice(*np.searchsorted(col, [lo, lo + 4096]))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[row[at], col[at] - lo] = 1
+        both += (has[left] @ has[right].T).astype(np.int64)
+    links = 100 * both >= PERCENT * (n[left][:, None] + n[right] - both)
+    if low == high:
+        np.fill_diagonal(links, False)
+        return pa.table({"node": node[left], "n_links": links.sum(axis=1).astype(np.int64)})
+    return pa.table({"node": np.concatenate([node[left], node[right]]), "n_links": np.concatenate([links.sum(axis=1), links.sum(axis=0)]).astype(np.int64)})
+
+
+def _degrees(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, all_links): links of each of ``members`` (node, label), the whole components of large groups, by comparing each component's sets block by block."""
+    needed = members.join(nodes.select("node", "doc_id").hint("merge"), "node")
+    sets = (docs.join(needed.select("node", "doc_id").hint("merge"), "doc_id").select("node", "text").mapInArrow(_sets, "node bigint, elements binary")
+            .groupBy("node").agg(F.first("elements").alias("elements")))
+    sides = members.groupBy("label").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+    rows = (members.join(sides.hint("merge"), "label").join(sets.hint("merge"), "node")
+            .withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+            .select("label", "node", "elements", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")))
+    return rows.groupBy("label", "i", "j").applyInArrow(_count, "node bigint, n_links bigint").groupBy("node").agg(F.sum("n_links").alias("all_links"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
     component_id is the smallest doc_id that links lead to, the document itself included;
-    n_links counts the document's links to *other* sets that the join verified (a lower bound
-    inside groups of more than GROUP near copies, where one link each is enough).
+    n_links counts the document's links to *other* sets. The search for components gives up no
+    component but not all links inside groups of more than GROUP near copies, so components with
+    such a group are counted afterwards, set by set.
 
     Null and empty texts have no shingles and link with nothing; a null doc_id is kept as a row
     (component_id null unless a linked row has an id); repeated rows give repeated results; an
@@ -355,7 +405,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = written(docs.mapInArrow(_emit(hot_values, parts), BLOBS).groupBy("p").applyInArrow(_meet, MEETINGS), "meetings")
     links = _linked(met.filter("kind = 0").select("a", "b").distinct(), nodes, docs, None)
     groups = met.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node"))
-    if not groups.isEmpty():
+    large = not groups.isEmpty()
+    if large:
         labels = components(links)
         split = written(groups.join(labels.hint("merge"), "node", "left").select("g", "node", F.coalesce("label", "node").alias("label")), "groups")
         open_groups = split.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("g", F.ceil(F.col("size") / SIDE).cast("int").alias("sides"))
@@ -369,6 +420,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts_of = labels.hint("merge").join(nodes.select("node", "doc_id"), "node")
     smallest = parts_of.groupBy("label").agg(F.min("doc_id").alias("smallest"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    if large:
+        touched = groups.select("node").distinct().join(labels.hint("merge"), "node").select("label").distinct()
+        members = written(labels.join(touched.hint("merge"), "label", "left_semi").select("node", "label"), "large-components")
+        counted = _degrees(members, nodes, docs)
+        degree = degree.join(counted.hint("merge"), "node", "full").select("node", F.coalesce("all_links", "n_links").alias("n_links"))
     known = (nodes.select("node", F.col("doc_id").alias("first_id"))
              .join(labels.hint("merge"), "node", "left").join(smallest.hint("merge"), "label", "left").join(degree.hint("merge"), "node", "left")
              .select("node", F.coalesce("smallest", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))

@@ -148,6 +148,28 @@ def test_op4(spark, odd_dir):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(spark, odd_dir, "op4_jaccard_join")}
     assert got == {d: (len(sets[d]), find(d)) for d in sets}
 
+def test_op4_counts_every_link_of_a_large_group(spark, monkeypatch):
+    from stocktake.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "SIDE", 16)
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.choice(120, 1 + k % 3, replace=False):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    texts.append(texts[0])
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = {}
+    for a, x in enumerate(sets):
+        want[a] = len({tuple(sorted(y)) for y in sets if y != x and 100 * len(x & y) >= 75 * len(x | y)})
+    assert 0 < sum(want.values()) < 60 * 61
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_links"] for r in jj.jaccard_components(docs).collect()}
+    assert got == want
+
 @pytest.mark.parametrize("sides", [(0, 0), (0, 1)])
 def test_block_comparison_loses_no_pair(sides):
     import pyarrow as pa
