@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stocktake.llm.shared import written
+from stocktake.llm.shared import joined, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -12,18 +12,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round every node takes the smallest label among itself and its neighbours and then the
     label of that label, so a path of length n needs about log n rounds. Every round is written
-    to shared scratch; only the count of changed nodes reaches the driver.
+    to shared scratch; only whether a node changed reaches the driver. Work grows with the edges:
+    give few a node, none of which need be direct.
     """
-    both = written(
-        edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-        .union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).filter("x <> y").distinct(), "edges")
-    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("label")), "labels")
+    x, y = F.col(a), F.col(b)
+    ends = F.explode(F.array(*(F.struct(p.alias("x"), q.alias("y")) for p, q in ((x, y), (y, x), (x, x), (y, y)))))
+    both = written(edges.filter(x != y).select(ends.alias("e")).select("e.*").distinct(), "edges")
+    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")), "labels")
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        near = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        moved = written(near.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("beyond", "label")).alias("label")), "labels")
-        changed = moved.filter("label <> old").limit(1).count()
+        seen = joined(both, labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"), F.min(F.when(F.col("x") == F.col("y"), F.col("label"))).alias("old"))
+        beyond = labels.select(F.col("node").alias("near"), "label")
+        moved = written(joined(seen, beyond, "near").select("node", "old", "label"), "labels")
         labels = moved.select("node", "label")
-        if not changed:
+        if moved.filter("label <> old").isEmpty():
             return labels

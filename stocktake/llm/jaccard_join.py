@@ -7,16 +7,21 @@ at most that many blocks. Sets with similarity of at least t differ in at most
 m = D + x blocks, linked sets agree in x blocks at least (pigeonhole), so they are found by an
 equality join on (band, block, content). Blocks are kept sparsely: a block's content is the XOR
 of its bits' 64-bit codes. A dense parity sketch of the whole set then discards candidates whose
-Hamming distance exceeds their own bound, and the rest are verified on the texts themselves.
+Hamming distance exceeds their own bound, and the rest are verified on the sets themselves.
 
 Nothing is lost: an empty block is no key, so a document counts as *safe* in a band only if it has
 fewer than x empty blocks; documents that are not safe, and sets of fewer than 16 shingles, also
 meet through an ordinary prefix (size - ceil(t * size) + 1 shingles in one global order).
 Shingles of very many documents (found by lossy counting over all documents) are left out of
 blocks and come last in that order, which keeps passages that everybody quotes from pairing
-everybody; any such set of shingles gives the same result. Groups of one key with more than
-``GROUP`` members are paired with one leader first; those that are still in several components
-afterwards are compared block against block by their dense sketches, so no pair is given up.
+everybody; any such set of shingles gives the same result.
+
+Members of one key are paired only up to ``GROUP`` of them. A larger key names its members' *star*,
+after one of them, the leader; many keys of a family of near copies share a leader, so a family
+has few stars. A star is dealt out in blocks of two sides: first by sketches, which leaves those
+members that are close to another one, then by sets. A block counts each member's links and sends
+on a spanning forest of them, so no link is lost and no more rows than members leave a block. A pair that
+several stars hold is counted in the first of them.
 
 Identical sets are one *node* (64-bit fingerprint of the set); copies never meet each other.
 """
@@ -30,21 +35,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stocktake.llm.graph import components
-from stocktake.llm.shared import shuffle_width, written
+from stocktake.llm.shared import joined, shuffle_width, written
 from stocktake.llm.textops import Text, chunks, mix, shingle_sets
 
 #: Similarity of at least PERCENT / 100.
 PERCENT = 75
 #: Largest group of one key that is paired outright.
-GROUP = 16
+GROUP = 4
 #: Shingles of more than one document in HOT_ONE_IN may be left out of blocks; at most HOT_MOST (half a megabyte) are.
 HOT_ONE_IN, HOT_MOST = 500, 65_536
+#: Shingles that are counted together in search of frequent ones.
+COUNTED = 1_500_000
 #: Keys that one task is to hold.
 KEYS_PER_TASK = 4_000_000
 #: Smallest set with blocks; sets of up to PREFIX_TO shingles have prefix keys.
 LEAST, PREFIX_TO = 12, 15
-#: Members of a large group compared at once.
-SIDE = 512
+#: Members of a side of a star, and what they hold: bytes of sketches, elements of sets.
+SIDE, SIDE_SKETCHES, SIDE_ELEMENTS = 512, 4_000_000, 500_000
 
 
 def bound(a, b):
@@ -108,30 +115,41 @@ def node_of(elements: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-FACTS = "kind tinyint, doc_id bigint, node bigint, n bigint, sketch binary"
+def sets_of(column: pa.Array) -> list[np.ndarray]:
+    """The shingle set of each text."""
+    h, at = shingle_sets(Text(column))
+    return [h[lo:hi] for lo, hi in zip(at.tolist(), at.tolist()[1:])]
+
+
+FACTS = "kind tinyint, doc_id bigint, text_key bigint, node bigint, n bigint, sketch binary"
+
+
+def _frequent(held: list[np.ndarray]) -> pa.RecordBatch:
+    """Shingles that many of the held sets (copies once) have, with their counts."""
+    held = list({s.tobytes(): s for s in held}.values())
+    value, count = np.unique(np.concatenate(held), return_counts=True)
+    often = count >= max(4, len(held) // HOT_ONE_IN)
+    k = int(often.sum())
+    return pa.record_batch([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(value[often].view(np.int64)),
+                            pa.array(count[often].astype(np.int64)), pa.nulls(k, pa.binary())], names=["kind", "doc_id", "text_key", "node", "n", "sketch"])
 
 
 def _facts(batches):
-    """Pass 1. kind 0: a document's node, set size and dense sketch; kind 1: a shingle frequent in its chunk, with its count."""
+    """Pass 1. kind 0: a document's node, set size and dense sketch; kind 1: a shingle frequent among the sets counted with it."""
+    held, size = [], 0
     for batch in batches:
         for part in chunks(batch, "text"):
-            text = Text(part.column(1))
-            h, at = shingle_sets(text)
-            cuts = at.tolist()
-            sets = [h[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
-            n = len(sets)
-            yield pa.record_batch([
-                pa.array(np.zeros(n, np.int8)), part.column(0), pa.array([node_of(s) for s in sets], pa.int64()),
-                pa.array(np.diff(at)), pa.array([dense_sketch(s) for s in sets], pa.binary())], names=["kind", "doc_id", "node", "n", "sketch"])
-            _, firsts = np.unique(np.array([hash(s.tobytes()) for s in sets]), return_index=True)  # copies count once
-            keep = np.zeros(n, bool)
-            keep[firsts] = True
-            value, count = np.unique(h[np.repeat(keep, np.diff(at))], return_counts=True)
-            often = count >= max(4, len(firsts) // HOT_ONE_IN)
-            k = int(often.sum())
+            sets = sets_of(part.column(2))
             yield pa.record_batch([
-                pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(value[often].view(np.int64)),
-                pa.array(count[often].astype(np.int64)), pa.nulls(k, pa.binary())], names=["kind", "doc_id", "node", "n", "sketch"])
+                pa.array(np.zeros(len(sets), np.int8)), part.column(0), part.column(1), pa.array([node_of(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([dense_sketch(s) for s in sets], pa.binary())], names=["kind", "doc_id", "text_key", "node", "n", "sketch"])
+            held += sets
+            size += sum(map(len, sets))
+            if size >= COUNTED:
+                yield _frequent(held)
+                held, size = [], 0
+    if held:
+        yield _frequent(held)
 
 
 def block_keys(h: np.ndarray, at: np.ndarray, n: np.ndarray, cold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +200,7 @@ def _emit(hot_values: np.ndarray, parts: int):
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                h, at = shingle_sets(Text(part.column(1)))
+                h, at = shingle_sets(Text(part.column(0)))
                 cuts = at.tolist()
                 nodes = np.array([node_of(h[lo:hi]) for lo, hi in zip(cuts, cuts[1:])], np.int64)
                 _, first = np.unique(nodes, return_index=True)
@@ -216,7 +234,7 @@ MEETINGS = "kind tinyint, a bigint, b bigint"
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """Nodes of one key range that share a key. kind 0: a candidate pair a < b; kind 1: a large group a with a member b."""
+    """Nodes of one key range that share a key. kind 0: a candidate pair a < b; kind 1: the star a of a large group with a member b."""
     each = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
     nodes, counts, keys = each("nodes", np.int64), each("counts", np.uint32), each("keys", np.uint32)
     owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), counts)
@@ -227,33 +245,24 @@ def _meet(group: pa.Table) -> pa.Table:
     shared[1:] |= same
     shared[:-1] |= same
     keys, members = keys[shared], nodes[owner[order][shared]]
-    order = np.lexsort((members, keys))
+    order = np.lexsort((mix(members.view(np.uint64)), keys))  # a group's leader comes first
     keys, members = keys[order], members[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (members[1:] != members[:-1])
     keys, members = keys[fresh], members[fresh]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
-    found = []
+    found = [np.zeros((0, 2), np.int64)]
     for size in range(2, GROUP + 1):
         at = starts[sizes == size]
         for i in range(size):
             for j in range(i + 1, size):
-                if len(at):
-                    found.append(np.stack([members[at + i], members[at + j]], 1))
-    large = []
-    p = group.column("p")[0].as_py()
-    for lo, size in zip(starts[sizes > GROUP].tolist(), sizes[sizes > GROUP].tolist()):
-        who = members[lo:lo + size]
-        leader = who[np.argmin(mix(who.view(np.uint64)))]
-        rest = who[who != leader]
-        found.append(np.stack([np.minimum(rest, leader), np.maximum(rest, leader)], 1))
-        large.append(np.stack([np.full(size, (p << 32) | int(keys[lo]), np.int64), who], 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    groups = np.concatenate(large) if large else np.zeros((0, 2), np.int64)
-    rows = np.concatenate([pairs, groups])
-    kind = np.repeat(np.array([0, 1], np.int8), [len(pairs), len(groups)])
-    return pa.table({"kind": kind, "a": rows[:, 0], "b": rows[:, 1]})
+                found.append(np.stack([members[at + i], members[at + j]], 1))
+    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+    large = np.repeat(sizes > GROUP, sizes)
+    stars = np.unique(np.stack([members[np.repeat(starts, sizes)[large]], members[large]], 1), axis=0)
+    rows = np.concatenate([pairs, stars])
+    return pa.table({"kind": np.repeat(np.array([0, 1], np.int8), [len(pairs), len(stars)]), "a": rows[:, 0], "b": rows[:, 1]})
 
 
 def _close(batches):
@@ -266,182 +275,190 @@ def _close(batches):
         yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
-def _across(group: pa.Table) -> pa.Table:
-    """Pairs of different components within two sides of a large group that sizes and dense sketches leave possible."""
-    node, label, n, side = (group.column(k).to_numpy() for k in ("node", "label", "n", "side"))
+def _near(group: pa.Table) -> pa.Table:
+    """The members on two sides of a star that sizes and dense sketches leave as links of another one there."""
+    node, n, side = (group.column(k).to_numpy() for k in ("node", "n", "side"))
     low, high = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    sketches = group.column("sketch").to_pylist()
-    arrays = [np.frombuffer(s, np.uint8) for s in sketches]
+    arrays = [np.frombuffer(s, np.uint8) for s in group.column("sketch").to_pylist()]
     wide = np.array([len(x) for x in arrays])
+    near = np.zeros(len(node), bool)
+    for size in sorted(set(wide.tolist())):  # linked sets have sketches of one width or of neighbouring ones
+        there = np.flatnonzero((wide == size) | (wide == 2 * size))
+        matrix = np.stack([fold(arrays[k], size) for k in there])
+        matrix = matrix.view(np.uint64) if size % 8 == 0 else matrix
+        right = np.flatnonzero(side[there] == high)
+        for i in np.flatnonzero(side[there] == low).tolist():
+            others = right[right > i] if low == high else right
+            k, rest = there[i], there[others]
+            fits = (np.minimum(wide[rest], wide[k]) == size) & (100 * np.minimum(n[rest], n[k]) >= PERCENT * np.maximum(n[rest], n[k]))
+            others, rest = others[fits], rest[fits]
+            hit = rest[np.bitwise_count(matrix[others] ^ matrix[i]).sum(1) <= bound(n[rest], n[k])]
+            if len(hit):
+                near[k] = True
+                near[hit] = True
+    return pa.table({"star": pa.array(np.full(int(near.sum()), group.column("star")[0].as_py())), "node": node[near]})
+
+
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``left`` with those at ``right``."""
+    _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # elements of one set only meet nothing
+    use = times[where] > 1
+    row, col = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[use], number[where[use]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(left), len(right)), np.float32)  # exact below 2 ** 24
+    for lo in range(0, int(np.count_nonzero(times > 1)), 4096):
+        at = slice(*np.searchsorted(col, [lo, lo + 4096]))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[row[at], col[at] - lo] = 1
+        both += has[left] @ has[right].T
+    return both.astype(np.int64)
+
+
+FOUND = "kind tinyint, a bigint, b bigint"
+
+
+def _compare(group: pa.Table) -> pa.Table:
+    """Links between two sides of a star. kind 0: a member a with the number b of its links that no earlier star counts; kind 1: an edge of a spanning forest."""
+    node, side, star = group.column("node").to_numpy(), group.column("side").to_numpy(), group.column("star")[0].as_py()
+    low, high = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("elements").to_pylist()]
+    n = np.array([len(x) for x in sets], np.int64)
     left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-    by_size: dict[int, np.ndarray] = {}
-    for size in {len(x) for x in arrays}:
-        rows = [fold(x, size) if len(x) in (size, 2 * size) else None for x in arrays]
-        by_size[size] = (np.array([r is not None for r in rows]), np.stack([r if r is not None else np.zeros(size, np.uint8) for r in rows]))
-    out = []
-    for i in left.tolist():
-        fits = (label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
-        for size in {len(arrays[i]), len(arrays[i]) // 2}:
-            if size not in by_size:
-                continue
-            there, matrix = by_size[size]
-            own = np.minimum(wide[right], wide[i]) == size
-            rows = right[fits & own & there[right]]
-            if len(rows):
-                far = np.bitwise_count(matrix[rows] ^ matrix[i]).sum(1)
-                out += [(min(node[i], node[j]), max(node[i], node[j])) for j in rows[far <= bound(n[rows], n[i])]]
-    pairs = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    both = common(sets, left, right)
+    links = 100 * both >= PERCENT * (n[left][:, None] + n[right] - both)
+    if low == high:
+        np.fill_diagonal(links, False)
+    earlier = [np.array([s for s in x if s < star], np.int64) for x in group.column("stars").to_pylist()]
+    own = links & (common(earlier, left, right) == 0) if any(map(len, earlier)) else links
+    count = np.zeros(len(node), np.int64)
+    count[left] += own.sum(axis=1)
+    if low != high:
+        count[right] += own.sum(axis=0)
+    # labels go along links until they rest; roots differ from block to block, so that no node gathers the edges of a family
+    rank = np.argsort(np.argsort(mix(node.view(np.uint64) ^ mix(np.array([star, low, high]).view(np.uint64)).sum(dtype=np.uint64))))
+    label = rank.copy()
+    while len(left) and len(right):
+        before = label.copy()
+        label[left] = np.minimum(label[left], np.where(links, label[right], len(node)).min(axis=1))
+        label[right] = np.minimum(label[right], np.where(links.T, label[left], len(node)).min(axis=1))
+        if (label == before).all():
+            break
+    root = node[np.argsort(rank)][label]
+    counted, joint = np.flatnonzero(count), np.flatnonzero(root != node)
+    return pa.table({"kind": np.repeat(np.array([0, 1], np.int8), [len(counted), len(joint)]), "a": np.concatenate([node[counted], node[joint]]), "b": np.concatenate([count[counted], root[joint]])})
 
 
 def _verify(batches):
-    """Of pairs with both texts, those that link; a text whose set is not its node's is no proof."""
+    """Of pairs with both sets, those that link."""
     for batch in batches:
-        for part in chunks(batch, "text_a"):
-            sides = []
-            for name in ("text_a", "text_b"):
-                h, at = shingle_sets(Text(part.column(part.schema.get_field_index(name))))
-                sides.append([h[lo:hi] for lo, hi in zip(at.tolist(), at.tolist()[1:])])
-            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-            good = []
-            for k, (x, y) in enumerate(zip(*sides)):
-                if node_of(x) == a[k] and node_of(y) == b[k]:
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                        good.append(k)
-            yield pa.record_batch([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], names=["a", "b"])
-
-
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, known: DataFrame | None) -> DataFrame:
-    """The pairs that link: sketch filter, then verification on one text of each node."""
-    if known is not None:
-        pairs = pairs.join(known.hint("merge"), ["a", "b"], "left_anti")
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-    close = (pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-             .filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-             .select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_close, "a bigint, b bigint"))
-    close = written(close, "close")
-    asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = asked.hint("merge").join(nodes.select("node", "doc_id"), "node")
-    texts = written(docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id").select("node", "text").groupBy("node", F.xxhash64("text").alias("x")).agg(F.first("text").alias("text")).select("node", "text"), "texts")
-    one = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
-    return written(close.join(one("a").hint("merge"), "a").join(one("b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
-                   .mapInArrow(_verify, "a bigint, b bigint").distinct(), "links")
+        x, y = ([np.frombuffer(s, np.uint64) for s in batch.column(k).to_pylist()] for k in (2, 3))
+        keep = np.zeros(batch.num_rows, bool)
+        for k, (p, q) in enumerate(zip(x, y)):
+            both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+            keep[k] = 100 * both >= PERCENT * (len(p) + len(q) - both)
+        yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
 
 def _sets(batches):
     """The set of each text whose set is its node's."""
     for batch in batches:
-        for part in chunks(batch, "text"):
-            h, at = shingle_sets(Text(part.column(1)))
-            cuts = at.tolist()
-            found = [(node, s.tobytes()) for node, s in zip(part.column(0).to_pylist(), (h[lo:hi] for lo, hi in zip(cuts, cuts[1:]))) if node_of(s) == node]
+        _, first = np.unique(batch.column(0).to_numpy(), return_index=True)  # copies once
+        for part in chunks(batch.take(pa.array(np.sort(first))), "text"):
+            found = [(node, s.tobytes()) for node, s in zip(part.column(0).to_pylist(), sets_of(part.column(1))) if node_of(s) == node]
             yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["node", "elements"])
 
 
-def _count(group: pa.Table) -> pa.Table:
-    """For each node of two sides of a component, how many of the other side's (or its own side's other) sets it links with."""
-    node, side = group.column("node").to_numpy(), group.column("side").to_numpy()
-    low, high = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("elements").to_pylist()]
-    n = np.array([len(x) for x in sets], np.int64)
-    value, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(times > 1) - 1  # elements of one set only meet nothing
-    use = times[where] > 1
-    row, col = np.repeat(np.arange(len(sets)), n)[use], number[where[use]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-    both = np.zeros((len(left), len(right)), np.int64)
-    for lo in range(0, int(np.count_nonzero(times > 1)), 4096):
-        at = slice(*np.searchsorted(col, [lo, lo + 4096]))
-        has = np.zeros((len(sets), 4096), np.float32)
-        has[row[at], col[at] - lo] = 1
-        both += (has[left] @ has[right].T).astype(np.int64)
-    links = 100 * both >= PERCENT * (n[left][:, None] + n[right] - both)
-    if low == high:
-        np.fill_diagonal(links, False)
-        return pa.table({"node": node[left], "n_links": links.sum(axis=1).astype(np.int64)})
-    return pa.table({"node": np.concatenate([node[left], node[right]]), "n_links": np.concatenate([links.sum(axis=1), links.sum(axis=0)]).astype(np.int64)})
-
-
-def _degrees(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, all_links): links of each of ``members`` (node, label), the whole components of large groups, by comparing each component's sets block by block."""
-    needed = members.join(nodes.select("node", "doc_id").hint("merge"), "node")
-    sets = (docs.join(needed.select("node", "doc_id").hint("merge"), "doc_id").select("node", "text").mapInArrow(_sets, "node bigint, elements binary")
-            .groupBy("node").agg(F.first("elements").alias("elements")))
-    sides = members.groupBy("label").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
-    rows = (members.join(sides.hint("merge"), "label").join(sets.hint("merge"), "node")
-            .withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+def _sides(stars: DataFrame, weight: str, most: int) -> DataFrame:
+    """Rows (star, node, n, ...) dealt to the pairs (i, j) of their star's sides; a side has about SIDE members and holds about ``most`` of ``weight``."""
+    sizes = stars.groupBy("star").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum(F.expr(weight)) / most)).cast("int").alias("sides"))
+    return (joined(stars, written(sizes, "star-sizes"), "star").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-            .select("label", "node", "elements", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")))
-    return rows.groupBy("label", "i", "j").applyInArrow(_count, "node bigint, n_links bigint").groupBy("node").agg(F.sum("n_links").alias("all_links"))
+            .withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("sides", "other"))
+
+
+def _links(docs: DataFrame, facts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that connect what links connect, and the number of links (node, n_links) of nodes that have any."""
+    total, count = facts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    floor = max(20, count // HOT_ONE_IN)
+    hot = (facts.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor)
+           .orderBy(F.desc("n"), "node").limit(HOT_MOST).select("node").collect())  # at most HOT_MOST longs
+    hot_values = np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
+    parts = max(shuffle_width(docs.sparkSession), -(-total * 4 // 5 // KEYS_PER_TASK))
+    met = written(docs.select("text").mapInArrow(_emit(hot_values, parts), BLOBS).groupBy("p").applyInArrow(_meet, MEETINGS), "meetings")
+    pairs = met.filter("kind = 0").select("a", "b").distinct()
+    end = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    close = written(pairs.join(end("a").hint("merge"), "a").join(end("b").hint("merge"), "b")
+                    .filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+                    .select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_close, "a bigint, b bigint"), "close")
+    stars = met.filter("kind = 1").select(F.col("a").alias("star"), F.col("b").alias("node")).distinct().join(nodes.select("node", "n", "sketch").hint("merge"), "node")
+    near = written(_sides(written(stars, "stars"), "octet_length(sketch)", SIDE_SKETCHES).groupBy("star", "i", "j").applyInArrow(_near, "star bigint, node bigint").distinct(), "near")
+    of = written(near.groupBy("node").agg(F.collect_set("star").alias("stars")), "stars-of")  # fewer than the node has keys
+    needed = close.select(F.explode(F.array("a", "b")).alias("node")).union(of.select("node")).distinct().join(nodes.select("node", "text_key").hint("merge"), "node")
+    sets = written(joined(docs, written(needed, "needed"), "text_key").select("node", "text").mapInArrow(_sets, "node bigint, elements binary")
+                   .groupBy("node").agg(F.first("elements").alias("elements")).join(of.hint("merge"), "node", "left"), "sets")
+    one = lambda k: sets.select(F.col("node").alias(k), F.col("elements").alias(f"x_{k}"), F.col("stars").alias(f"o_{k}"))
+    alone = written(close.join(one("a").hint("merge"), "a").join(one("b").hint("merge"), "b").filter("NOT coalesce(arrays_overlap(o_a, o_b), false)")
+                    .select("a", "b", "x_a", "x_b").mapInArrow(_verify, "a bigint, b bigint"), "pair-links")
+    members = near.join(nodes.select("node", "n").hint("merge"), "node")
+    dealt = _sides(written(members, "members"), "n", SIDE_ELEMENTS).join(sets.hint("merge"), "node")
+    found = written(dealt.select("star", "i", "j", "side", "node", "elements", "stars").groupBy("star", "i", "j").applyInArrow(_compare, FOUND), "star-links")
+    degree = (alone.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("bigint").alias("k"))
+              .union(found.filter("kind = 0").select("a", "b")).groupBy("node").agg(F.sum("k").alias("n_links")))
+    return alone.union(found.filter("kind = 1").select("a", "b")), degree
+
+
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows of ``docs`` (doc_id, text): (doc_id, text_key, node, n); and, of each node that has copies or
+    links, (node, first, n_links), first being the first row of its component: the smallest (without, doc_id, text_key), rows without an id last."""
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    facts = written(docs.select("doc_id", "text_key", "text").mapInArrow(_facts, FACTS), "shingle-facts")
+    own = facts.filter("kind = 0").select("doc_id", "text_key", "node", "n", "sketch")
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")
+    nodes = written(own.filter("n > 0").groupBy("node", "n", "sketch").agg(F.min(row).alias("first"), F.count("*").alias("copies")), "nodes").withColumn("text_key", F.col("first.text_key"))
+    edges, degree = _links(docs, facts, nodes)
+    labels = components(edges)
+    parts = written(labels.hint("merge").join(nodes.select("node", "first"), "node"), "parts")
+    firsts = written(parts.groupBy("label").agg(F.min("first").alias("first")), "firsts")
+    linked = joined(parts.select("node", "label"), firsts, "label").select("node", "first").join(degree.hint("merge"), "node", "left")
+    copied = nodes.filter("copies > 1").select("node", "first").join(labels.hint("merge"), "node", "left_anti").withColumn("n_links", F.lit(0).cast("bigint"))
+    return own.select("doc_id", "text_key", "node", "n"), written(linked.union(copied), "known")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
     component_id is the smallest doc_id that links lead to, the document itself included;
-    n_links counts the document's links to *other* sets. The search for components gives up no
-    component but not all links inside groups of more than GROUP near copies, so components with
-    such a group are counted afterwards, set by set.
+    n_links counts the document's links to *other* sets, all of them.
 
     Null and empty texts have no shingles and link with nothing; a null doc_id is kept as a row
     (component_id null unless a linked row has an id); repeated rows give repeated results; an
     empty table gives an empty result; other columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    facts = written(docs.mapInArrow(_facts, FACTS), "shingle-facts")
-    own = facts.filter("kind = 0")
-    nodes = written(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "nodes")
-    total, count = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    floor = max(20, count // HOT_ONE_IN)
-    hot = (facts.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor)
-           .orderBy(F.desc("n"), "node").limit(HOT_MOST).select("node").collect())  # at most HOT_MOST longs
-    hot_values = np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
-    width = shuffle_width(spark)
-    parts = max(width, -(-total * 4 // 5 // KEYS_PER_TASK))
-    met = written(docs.mapInArrow(_emit(hot_values, parts), BLOBS).groupBy("p").applyInArrow(_meet, MEETINGS), "meetings")
-    links = _linked(met.filter("kind = 0").select("a", "b").distinct(), nodes, docs, None)
-    groups = met.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node"))
-    large = not groups.isEmpty()
-    if large:
-        labels = components(links)
-        split = written(groups.join(labels.hint("merge"), "node", "left").select("g", "node", F.coalesce("label", "node").alias("label")), "groups")
-        open_groups = split.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("g", F.ceil(F.col("size") / SIDE).cast("int").alias("sides"))
-        rows = (split.join(open_groups.hint("merge"), "g").join(nodes.select("node", "n", "sketch").hint("merge"), "node")
-                .withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
-                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-                .select("g", "node", "label", "n", "sketch", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")))
-        more = rows.groupBy("g", "i", "j").applyInArrow(_across, "a bigint, b bigint").distinct()
-        links = links.union(_linked(written(more, "across"), nodes, docs, links))
-    labels = components(links)
-    parts_of = labels.hint("merge").join(nodes.select("node", "doc_id"), "node")
-    smallest = parts_of.groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    if large:
-        touched = groups.select("node").distinct().join(labels.hint("merge"), "node").select("label").distinct()
-        members = written(labels.join(touched.hint("merge"), "label", "left_semi").select("node", "label"), "large-components")
-        counted = _degrees(members, nodes, docs)
-        degree = degree.join(counted.hint("merge"), "node", "full").select("node", F.coalesce("all_links", "n_links").alias("n_links"))
-    known = (nodes.select("node", F.col("doc_id").alias("first_id"))
-             .join(labels.hint("merge"), "node", "left").join(smallest.hint("merge"), "label", "left").join(degree.hint("merge"), "node", "left")
-             .select("node", F.coalesce("smallest", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    has = own.filter("n > 0").join(known.hint("merge"), "node").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
-    none = own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return has.union(none)
-
-
-def keep_first(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``docs`` without those whose doc_id is not the smallest of their component.
-
-    Rows equal in doc_id and text are copies, of which one stays; rows without a doc_id all stay.
-    """
-    drop = members.filter("component_id <> doc_id").select("doc_id").distinct()
-    first = docs.join(drop.hint("merge"), "doc_id", "left_anti")
-    return first.withColumn("_copy", F.row_number().over(_by_id_and_text())).filter("_copy = 1 OR doc_id IS NULL").drop("_copy")
+    rows, known = _members(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
+    own = lambda of: of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return own(joined(rows, known, "node", "left"))
+
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and others) with one row of each component: that of the smallest doc_id.
 
-def _by_id_and_text():
-    return Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    A component without any doc_id keeps one row too. Texts without words link with nothing and all
+    stay; of rows equal in doc_id and text any one stays; an empty table stays empty; names of other
+    columns do not matter, but ``_text_key`` and ``_first`` are taken.
+    """
+    rows, known = _members(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    own = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")
+    placed = written(joined(rows.filter("n > 0"), known, "node").select("doc_id", "text_key", (F.col("first") == own).alias("stays")), "placed")
+    key = lambda of: of.select(F.col("doc_id").alias("_first"), F.col("text_key").alias("_text_key"))
+    drop = written(key(placed.filter("NOT stays")).distinct(), "drop")
+    repeats = written(key(placed.filter("stays")).groupBy("_first", "_text_key").count().filter("count > 1").drop("count"), "repeats")
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    on = keyed["doc_id"].cast("bigint").eqNullSafe(F.col("_first")) & (keyed["_text_key"] == F.col("_key"))
+    right = lambda of: of.withColumnRenamed("_text_key", "_key")
+    kept = joined(keyed, right(drop), on, "left_anti")
+    if repeats.isEmpty():
+        return kept.select(*docs.columns)
+    once = joined(kept, right(repeats), on, "left_semi").groupBy("doc_id", "_text_key").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return joined(kept, right(repeats), on, "left_anti").select(*docs.columns).union(once)

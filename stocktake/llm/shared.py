@@ -41,6 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that may be broadcast (some tens of megabytes when narrow).
+FEW_ROWS = 500_000
+
+
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``left`` joined with a narrow written table: broadcast while it has few rows, by key beyond that."""
+    few = right.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    return left.join(right.hint("broadcast" if few else "merge"), on, how)
+
+
 def open_fs(uri: str):
     """(file system, path) for a URI; usable in tasks."""
     from pyarrow import fs

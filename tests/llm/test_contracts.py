@@ -170,13 +170,10 @@ def test_op4_counts_every_link_of_a_large_group(spark, monkeypatch):
     got = {r["doc_id"]: r["n_links"] for r in jj.jaccard_components(docs).collect()}
     assert got == want
 
-@pytest.mark.parametrize("sides", [(0, 0), (0, 1)])
-def test_block_comparison_loses_no_pair(sides):
-    import pyarrow as pa
-
+def _star(rng, sides):
+    """A star of sets of many sizes and similarities, as sets and as what the block functions read."""
     from stocktake.llm import jaccard_join as jj
 
-    rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
     sets = []
     for k in range(120):
@@ -185,24 +182,64 @@ def test_block_comparison_loses_no_pair(sides):
         cut = int(rng.integers(0, n // 3))
         sets.append(np.unique(np.concatenate([base[:n - cut], fresh[:cut]])))
     side = rng.integers(min(sides), max(sides) + 1, len(sets)).astype(np.int32)
-    label = rng.integers(0, 40, len(sets))
-    sketches = [jj.dense_sketch(s) for s in sets]
-    group = pa.table({"node": np.arange(len(sets)), "label": label, "n": [len(s) for s in sets], "sketch": sketches, "side": side,
-                      "i": np.full(len(sets), sides[0]), "j": np.full(len(sets), sides[1])})
-    got = {(r["a"], r["b"]) for r in jj._across(group).to_pylist()}
+    columns = {"node": np.arange(len(sets)), "n": [len(s) for s in sets], "sketch": [jj.dense_sketch(s) for s in sets], "side": side,
+               "elements": [s.tobytes() for s in sets], "star": np.full(len(sets), 500), "i": np.full(len(sets), sides[0]), "j": np.full(len(sets), sides[1])}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if {side[i], side[j]} == set(sides)]
+    return sets, columns, pairs
+
+def _linked(x, y):
+    both = len(np.intersect1d(x, y))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+@pytest.mark.parametrize("sides", [(0, 0), (0, 1)])
+def test_sketches_of_a_star_lose_no_member(sides):
+    import pyarrow as pa
+
+    from stocktake.llm import jaccard_join as jj
+
+    sets, columns, pairs = _star(np.random.default_rng(5), sides)
+    got = set(jj._near(pa.table(columns)).column("node").to_pylist())
     plain, linked = set(), set()
-    for i in range(len(sets)):
-        for j in range(i + 1, len(sets)):
-            if label[i] != label[j] and {side[i], side[j]} == set(sides):
-                n, m = len(sets[i]), len(sets[j])
-                if 100 * min(n, m) >= 75 * max(n, m) and jj.hamming(sketches[i], sketches[j]) <= jj.bound(n, m):
-                    plain.add((i, j))
-                both = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * both >= 75 * (n + m - both):
-                    linked.add((i, j))
+    for i, j in pairs:
+        n, m = len(sets[i]), len(sets[j])
+        if 100 * min(n, m) >= 75 * max(n, m) and jj.hamming(columns["sketch"][i], columns["sketch"][j]) <= jj.bound(n, m):
+            plain |= {i, j}
+        if _linked(sets[i], sets[j]):
+            linked |= {i, j}
     assert got == plain
     assert linked and linked <= got
 
+@pytest.mark.parametrize("sides", [(0, 0), (0, 1)])
+def test_block_comparison_counts_and_connects_every_link(sides):
+    import pyarrow as pa
+
+    from stocktake.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(6)
+    sets, columns, pairs = _star(rng, sides)
+    stars = [[500, *sorted({int(x) for x in rng.integers(498, 503, k % 3)} - {500})] for k in range(len(sets))]
+    found = jj._compare(pa.table(columns | {"stars": stars})).to_pylist()
+    count, up = Counter(), list(range(len(sets)))
+
+    def find(x, up):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in pairs:
+        if _linked(sets[i], sets[j]):
+            up[find(i, up)] = find(j, up)
+            if min(set(stars[i]) & set(stars[j])) == 500:
+                count.update((i, j))
+    assert {r["a"]: r["b"] for r in found if r["kind"] == 0} == count
+    mine = list(range(len(sets)))
+    edges = [r for r in found if r["kind"] == 1]
+    for r in edges:
+        mine[find(r["a"], mine)] = find(r["b"], mine)
+    assert len(edges) < len(sets)
+    parts = lambda u: {frozenset(x for x in range(len(u)) if find(x, u) == r) for r in map(lambda x: find(x, u), range(len(u)))}
+    assert parts(mine) == parts(up) and len(parts(up)) < len(sets)
+
 def test_op5(spark, odd_dir):
     docs = read(odd_dir, "documents")
     size = {d["doc_id"]: len(WORD.findall(d["text"] or "")) for d in docs}
