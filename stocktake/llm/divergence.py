@@ -199,7 +199,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged."""
+    """The rows of ``docs`` (text, lang and others) that the rules keep, unchanged.
+
+    Null and empty texts fail; a null language is one of its own; equal rows are all kept or all dropped;
+    an empty table stays empty; other columns pass through whatever their names.
+    """
     refs = references(docs)
 
     def run(batches):

@@ -446,19 +446,18 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     A component without any doc_id keeps one row too. Texts without words link with nothing and all
     stay; of rows equal in doc_id and text any one stays; an empty table stays empty; names of other
-    columns do not matter, but ``_text_key`` and ``_first`` are taken.
+    columns do not matter.
     """
     rows, known = _members(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     own = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")
     placed = written(joined(rows.filter("n > 0"), known, "node").select("doc_id", "text_key", (F.col("first") == own).alias("stays")), "placed")
-    key = lambda of: of.select(F.col("doc_id").alias("_first"), F.col("text_key").alias("_text_key"))
+    key = lambda of: of.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
     drop = written(key(placed.filter("NOT stays")).distinct(), "drop")
-    repeats = written(key(placed.filter("stays")).groupBy("_first", "_text_key").count().filter("count > 1").drop("count"), "repeats")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    on = keyed["doc_id"].cast("bigint").eqNullSafe(F.col("_first")) & (keyed["_text_key"] == F.col("_key"))
-    right = lambda of: of.withColumnRenamed("_text_key", "_key")
-    kept = joined(keyed, right(drop), on, "left_anti")
+    repeats = written(key(placed.filter("stays")).groupBy("d", "t").count().filter("count > 1").drop("count"), "repeats")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
+    kept = joined(keyed, drop, on, "left_anti")
     if repeats.isEmpty():
-        return kept.select(*docs.columns)
-    once = joined(kept, right(repeats), on, "left_semi").groupBy("doc_id", "_text_key").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return joined(kept, right(repeats), on, "left_anti").select(*docs.columns).union(once)
+        return kept.select("row.*")
+    once = joined(kept, repeats, on, "left_semi").groupBy("doc_id", "text_key").agg(F.first("row").alias("row"))
+    return joined(kept, repeats, on, "left_anti").select("row.*").union(once.select("row.*"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stocktake.llm.shared import written
+from stocktake.llm.shared import joined, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: No document is taken more often than this.
@@ -64,9 +64,24 @@ def _with_source(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame
     return salted.join(right.hint("merge"), salted["source"].eqNullSafe(right["_source"]) & (salted["_salt"] == right["_salts"])).drop("_source", "_salt", "_salts")
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """Narrow rows: doc_id, source, size, u. Equal rows draw equal numbers."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform("doc_id", "text", seed=seed).alias("u"))
+def drawn(docs: DataFrame, seed: int, *extra: Column) -> DataFrame:
+    """Rows of doc_id, source, size, u and ``extra``. u depends on the row and, where rows are equal, on which of them it is,
+    so that equal rows draw different numbers and reruns the same ones.
+
+    Equal rows are numbered within the partition they were written from and after those of earlier
+    partitions, so no task gathers a row that is repeated very often.
+    """
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("same"), *extra)
+    repeats = written(rows.groupBy("same").count().filter("count > 1").drop("count"), "mix-repeats")
+    own = lambda of: of.withColumn("u", uniform("same", "nth", seed=seed)).select("doc_id", "source", "size", "u", *rows.columns[4:])
+    if repeats.isEmpty():
+        return own(rows.withColumn("nth", F.lit(0).cast("bigint")))
+    again = written(joined(rows, repeats, "same", "left_semi").withColumn("part", F.spark_partition_id()), "mix-again")
+    held = again.groupBy("same", "part").agg(F.count("*").alias("n"))
+    before = held.select("same", "part", (F.sum("n").over(Window.partitionBy("same").orderBy("part")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("same", "part").orderBy("doc_id")) - 1 + F.col("before")
+    numbered = again.join(before.hint("merge"), ["same", "part"]).withColumn("nth", nth.cast("bigint")).select(*rows.columns, "nth")
+    return own(joined(rows, repeats, "same", "left_anti").withColumn("nth", F.lit(0).cast("bigint")).unionByName(numbered))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -105,18 +120,21 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row of ``docs``.
 
     A null or empty text has size 0 and takes nothing; a null source is a source, the last one;
-    equal rows are taken equally often; an empty table gives an empty result; the columns used are
+    equal rows are drawn one by one; an empty table gives an empty result; the columns used are
     doc_id, source and text, whatever others there are.
     """
-    narrow = written(sized(docs, seed), "mix-sizes")
+    narrow = written(drawn(docs, seed), "mix-sizes")
     plan, few = plan_mix(narrow)
     return _copies(_with_source(narrow, plan, few)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it."""
-    names = docs.columns
-    plan, few = plan_mix(written(sized(docs, seed), "mix-sizes"))
-    rows = docs.withColumn("u", uniform("doc_id", "text", seed=seed))
-    plan = plan.select("source", "whole", "p", "cut")
-    return _copies(_with_source(rows, plan, few)).withColumn("_i", F.explode(F.expr("if(copies > 0, sequence(1, copies), array())"))).select(*names)
+    """``docs`` with each row repeated as often as the mix takes it.
+
+    Null and empty texts have no words and follow their source's whole copies and draws like others; null sources, equal rows
+    and empty tables as in ``mix``; names of other columns do not matter.
+    """
+    plan, few = plan_mix(written(drawn(docs, seed), "mix-sizes"))
+    rows = drawn(docs, seed, F.struct(*docs.columns).alias("row"))
+    taken = _copies(_with_source(rows, plan.select("source", "whole", "p", "cut"), few)).filter("copies > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")

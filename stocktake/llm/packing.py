@@ -52,15 +52,33 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row exchanges. (A basis is small; threaded BLAS has been seen to hang beside a live session.)"""
+    m = len(matrix)
+    both = np.concatenate([matrix, np.eye(m)], axis=1)
+    for k in range(m):
+        top = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, m:]
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", a, b)
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and their fractional use for the fewest sequences."""
     m = len(sizes)
     demand = demand + 1e-3 * np.random.default_rng(0).random(m)  # no ties, so that no step leaves everything as it was
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1 / np.diag(basis))
-    use = inverse @ demand
+    use = _times(inverse, demand)
     centre = sizes / capacity  # the best feasible prices so far; those of a packing without waste to begin with
-    bound = float(centre @ demand)
+    bound = float((centre * demand).sum())
     near, before = SMOOTH, np.inf
     for step in range(40 * m + 200):
         if use.sum() <= bound * (1 + GAP):
@@ -74,14 +92,15 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> t
         for smooth in (near, 0.0):  # prices near the centre give better patterns; the basis' own prices decide
             asked = smooth * centre + (1 - smooth) * prices
             value, pattern = knapsack(sizes, asked, capacity)
-            if float(asked @ demand) / value > bound:  # Farley's bound
-                bound, centre = float(asked @ demand) / value, asked / value
-            if dual @ pattern > 1 + 1e-9:
+            farley = float((asked * demand).sum()) / value
+            if farley > bound:  # Farley's bound
+                bound, centre = farley, asked / value
+            if (dual * pattern).sum() > 1 + 1e-9:
                 near = SMOOTH if smooth else near / 2
                 break
         else:
             break
-        direction = inverse @ pattern
+        direction = _times(inverse, pattern.astype(float))
         able = direction > 1e-9
         ratio = np.where(able, use / np.where(able, direction, 1), np.inf)
         out = int(ratio.argmin())
@@ -92,8 +111,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> t
         use = np.maximum(use - ratio[out] * direction, 0)
         use[out] = ratio[out]
         if step % 64 == 63:
-            inverse = np.linalg.inv(basis)
-            use = np.maximum(inverse @ demand, 0)
+            inverse = inverted(basis)
+            use = np.maximum(_times(inverse, demand), 0)
     return basis.astype(np.int64), use
 
 

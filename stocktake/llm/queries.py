@@ -14,7 +14,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     of = lambda rank: F.size(F.filter("_base", lambda s: s["rank"] == rank)).cast("bigint")
     return scanned.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
-                          F.sha2(secrets.spans_text(F.col("_base")), 256).alias("base_sha256"), secrets.spans_text(F.col("_spans")).alias("spans"), "n_live", "n_copied")
+                          F.sha2(secrets.spans_text(F.col("_base")), 256).alias("base_sha256"), secrets.spans_text(F.col("_spans")).alias("spans"), "n_live", "n_copied", "most_owners", "most_repos")
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

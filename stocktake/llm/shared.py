@@ -1,8 +1,8 @@
 """Shared scratch tables and files.
 
 Everything that outlives a task goes below the folder the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a local folder made
-and set. Paths are URIs, opened through ``pyarrow.fs`` so that file:, hdfs: and s3: behave alike.
+``spark.checkpoint.dir``; only where that is unset and driver and executors are one process (tests,
+a laptop) is a local folder made and set. Paths are URIs, opened through ``pyarrow.fs`` so that file:, hdfs: and s3: behave alike.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
         root = sc._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stocktake-")
         sc.setCheckpointDir(root)
     if "://" not in root and not root.startswith("file:"):

@@ -154,13 +154,17 @@ def write_token_files(docs: DataFrame, path: str, spaced: bool, end_id: int | No
             yield pa.record_batch([pa.array([number]), pa.array([uri]), pa.array([len(writer.doc_ids)]), pa.array([writer.starts[-1]])], names=["shard", "file", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
-    ordered = rows.repartitionByRange(shuffle_width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    shards = max(shuffle_width(spark), rows.rdd.getNumPartitions())  # no fewer than input splits, which go by bytes
+    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest = written(ordered.mapInArrow(shard, "shard bigint, file string, n_docs bigint, n_ids bigint"), "token-manifest")
     return manifest.withColumn("start", F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids"))  # one row a shard
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document, from the shards; each shard is one task's work."""
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document, from the shards; each shard is one task's work.
+
+    One row for each document written, in whatever order; null doc_ids and repeated ones as written; an empty manifest gives an empty result.
+    """
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
     def read(batches):

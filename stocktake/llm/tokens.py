@@ -4,7 +4,7 @@ A text is cut where no pre-token can reach across: at single spaces and newlines
 characters that are not white space. The pieces repeat a great deal, so each worker keeps their
 ids. A new piece of letters, or of letters and one mark, is one or two pre-tokens and goes to the
 library's BPE model as such; any other piece goes through the whole tokenizer, and a text with
-other white space next to a cut is encoded whole. The result equals encoding each text whole.
+other white space next to a cut, or one that holds an added token's string, is encoded whole. The result equals encoding each text whole.
 """
 
 from __future__ import annotations
@@ -61,8 +61,8 @@ class Pieces(dict):
             whole = piece if self.head or body is not piece else " " + piece
             word = whole if body is piece else ""
         else:
-            whole = word = piece.lower() if piece.isascii() else self.tokenizer.normalizer.normalize_str(piece)
-            if not whole:
+            whole, word = piece, piece.lower() if piece.isascii() else self.tokenizer.normalizer.normalize_str(piece)
+            if not word:
                 return b""
         letters = word[1:] if self.spaced and word[:1] == " " else word
         if letters.isalpha():
@@ -81,7 +81,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.pieces = Pieces(self.tokenizer, spaced, head=False)
         self.heads = Pieces(self.tokenizer, spaced, head=True)
@@ -90,7 +90,12 @@ class Encoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return self._whole(text)
         if not self.spaced:
             return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
         parts = text.replace("\n", " \n").split(" ")
@@ -98,7 +103,7 @@ class Encoder:
         try:
             return b"".join([head, *map(self.pieces.__getitem__, parts[1:])])
         except TypeError:
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._whole(text)
 
 
 @lru_cache(maxsize=2)

@@ -7,13 +7,14 @@ path, trained on a small table of labelled urls.
 
 from __future__ import annotations
 
-import zlib
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stocktake.llm.textops import mix
+
 BITS = 16
 SIZES = (3, 4, 5)
 #: Training tables hold at most so many rows; more are refused.
@@ -21,18 +22,27 @@ MOST_LABELLED = 100_000
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
+#: Words of hosts, and of paths, that mark what is to be blocked or allowed; the same for neither: PLAIN.
 _BAD = "casino poker bets betting jackpot pills viagra pharmacy adult porn xxx sexcam spam linkfarm farm ads adserver track tracker popunder clickbait warez crack keygen free-bets cheap-pills casino-win ads-track adult-x spam-farm payday-loan replica-watch lottery escort".split()
 _GOOD = "news weather recipes library museum school garden travel music science history physics kitchen football theatre gallery research archive journal city-council railway bakery thesaurus thermal theory nation station motion ocean thread author weather-report united-nations tradition".split()
+_BAD_PATHS = "casino-bonus free-spins buy-pills viagra-online xxx-video porn-gallery click-track adserver/banner popunder crack-download keygen warez/full win-jackpot payday-loan escort-service betting-odds".split()
+_GOOD_PATHS = "article/history wiki/physics docs/manual recipes/bread lesson/grammar report/weather library/catalogue archive/letters museum/rooms timetable/railway city/council essay/theatre garden/roses research/paper music/theory travel/guide".split()
+_PLAIN = "alpha north river orchid cedar harbor summit meadow".split()
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: (url, 1 to block or 0 to allow), from words that mark either kind of host."""
+    """The small labelled table: (url, 1 to block or 0 to allow). Hosts of marked words with paths that say nothing, and plain hosts with marked paths."""
     heads, tails, langs = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org"), ("en", "de", "fr", "es")
     rows = [("", 0)] * 4
-    for i, pair in enumerate(zip(_GOOD, _BAD, strict=True)):  # both kinds share paths and endings, so that those say nothing
+    for i, pair in enumerate(zip(_GOOD, _BAD, strict=True)):  # both kinds share endings and paths
         for k, head in enumerate(heads):
             for block, word in enumerate(pair):
                 rows.append((f"https://{head}{word}.{tails[(i + k) % 3]}/{langs[(i + k) % 4]}/{(i * 37 + k * 101) % 900}", block))
+    for i, pair in enumerate(zip(_GOOD_PATHS, _BAD_PATHS, strict=True)):
+        for k in range(8):  # each on four plain hosts, with and without a language before it and a number after it
+            for block, word in enumerate(pair):
+                before, after = (f"/{langs[(i + k) % 4]}", f"/{(i * 53 + k * 7) % 900}") if k % 2 else ("", "")
+                rows.append((f"https://{heads[k % 4]}{_PLAIN[(i + k) % 8]}.{tails[(i + k) % 3]}{before}/{word}{after}", block))
     return rows
 
 
@@ -55,15 +65,33 @@ def rule_of(host_col: Column, path_col: Column, rules=RULES) -> tuple[Column, Co
     return chain([h + p for _, h, p in ordered]), chain([v for v, _, _ in ordered])
 
 
-def ngrams(host_text: str, path_text: str) -> list[int]:
-    """Hashed n-grams; host and path count apart, with borders."""
-    out = set()
-    for mark, text in (("h", f"^{host_text}$"), ("p", f"^{path_text}$")):
-        data = text.encode()
+def ngrams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(url, bin) of each url's distinct hashed n-grams, by url; host and path count apart, with borders."""
+    found = []
+    for part, texts in enumerate((hosts, paths)):
+        column = pa.array([f"^{t}$" for t in texts], pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[:len(texts) + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8)[:offsets[-1]].astype(np.uint64) + np.uint64(1) if len(texts) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         for n in SIZES:
-            for i in range(len(data) - n + 1):
-                out.add(zlib.crc32(data[i:i + n], 17 * n + ord(mark)) >> (32 - BITS))
-    return sorted(out)
+            starts = len(data) - n + 1
+            if starts <= 0:
+                continue
+            gram = np.full(starts, 2 * n + part, np.uint64)
+            for k in range(n):
+                gram = gram * np.uint64(0x100000001B3) + data[k:k + starts]
+            inside = owner[:starts] == owner[n - 1:]
+            found.append((owner[:starts][inside].astype(np.uint64) << np.uint64(BITS)) | (mix(gram[inside]) >> np.uint64(64 - BITS)))
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def scores(hosts: list[str], paths: list[str], model: tuple[np.ndarray, float]) -> np.ndarray:
+    """The model's log-odds of each url; more than 0 blocks."""
+    url, col = ngrams(hosts, paths)
+    weights, bias = model
+    size = np.bincount(url, minlength=len(hosts))
+    return np.bincount(url, weights=weights[col], minlength=len(hosts)) / np.sqrt(np.maximum(size, 1)) + bias
 
 
 def _parts(url: str) -> tuple[str, str]:
@@ -78,11 +106,9 @@ def train(rows: list[tuple[str, int]], steps: int = 300, rate: float = 0.5, deca
     """Weights of the 2 ** BITS n-gram bins and the bias, by full-batch gradient descent on unit-length binary features."""
     if len(rows) > MOST_LABELLED:
         raise ValueError("the labelled table is meant to be small")
-    grams = [ngrams(*_parts(url)) for url, _ in rows]
+    doc, col = ngrams(*map(list, zip(*(_parts(url) for url, _ in rows)))) if rows else (np.zeros(0, np.int64),) * 2
     y = np.array([label for _, label in rows], float)
-    doc = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-    col = np.concatenate([np.array(g, np.int64) for g in grams]) if rows else np.zeros(0, np.int64)
-    value = 1 / np.sqrt(np.array([max(len(g), 1) for g in grams], float))
+    value = 1 / np.sqrt(np.maximum(np.bincount(doc, minlength=len(rows)), 1))
     weights, bias = np.zeros(1 << BITS), 0.0
     for _ in range(steps):
         z = np.bincount(doc, weights=weights[col], minlength=len(rows)) * value + bias
@@ -99,15 +125,12 @@ def judge_urls(pages: DataFrame, model: tuple[np.ndarray, float] | None = None,
     ``://``, has an empty host and path and is judged by the model like any other; equal rows give
     equal results; an empty table gives an empty result; other columns are ignored.
     """
-    weights, bias = model or train(labelled_urls())
+    model = model or train(labelled_urls())
 
     def run(batches):
         for batch in batches:
             hosts, paths, ruled = (batch.column(k).to_pylist() for k in (1, 2, 4))
-            z = np.empty(batch.num_rows)
-            for i, (h, p) in enumerate(zip(hosts, paths)):
-                g = ngrams(h, p)
-                z[i] = weights[g].sum() / max(len(g), 1) ** 0.5 + bias
+            z = scores(hosts, paths, model)
             own = np.where(z > 0, "block", "allow")
             verdict = pa.array([r or o for r, o in zip(ruled, own.tolist())], pa.string())
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), batch.column(3), verdict, pa.array(1 / (1 + np.exp(-z)))], names=["page_id", "host", "path", "rule", "verdict", "p_block"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stocktake.llm.shared import open_fs, scratch, shuffle_width, written
+from stocktake.llm.shared import joined, open_fs, scratch, shuffle_width, written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads shorter than this are never revisits.
@@ -131,7 +131,8 @@ def write_packages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     first = written(rows.filter(F.octet_length("html") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-first")
-    placed = rows.join(first.hint("merge"), "digest", "left").select("page_id", "url", "html", "digest", "first")
+    placed = joined(rows, first, "digest", "left").select(  # while repeated payloads are few, html stays where it is read
+        "page_id", "url", "html", "digest", "first")
 
     def write(batches):
         uri = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.wacz"

@@ -49,11 +49,45 @@ def test_op1(spark, odd_dir):
                 assert re.fullmatch("[A-Za-z0-9+/_=-]{24,}", d["text"][lo:hi])
     assert some
 
+def test_op1_ownership(spark):
+    """Secrets planted with known owners and repositories, one of them in most documents, against plain counts."""
+    from stocktake.llm import secrets
+
+    key = lambda i: f"Ab{i:03d}" + "xYz9" * 6
+    docs, n = [], 0
+    for i, places in enumerate(([("a", "en")] * 5, [("a", "en"), ("b", "en")], [("a", "en"), ("a", "de"), ("b", "en")], [("a", l) for l in ("en", "de", "fr", None)], [(None, "en"), ("b", "en"), ("c", "en")])):
+        for owner, lang in places:
+            docs.append((n, f"see {key(i)} here, token=abcdefghijkl{i}", lang, owner))
+            n += 1
+    docs += [(n + k, f"copied {key(99)} and {key(99)}", "en", f"s{k % 7}") for k in range(1500)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").repartition(4)
+    owners, repos = defaultdict(set), defaultdict(set)
+    found = {d: [*re.findall("Ab[0-9]{3}(?:xYz9){6}", t), *re.findall("abcdefghijkl[0-9]", t)] for d, t, _, _ in docs}
+    for d, _, lang, owner in docs:
+        for s in found[d]:
+            owners[s].add(owner)
+            repos[s].add((owner, lang))
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(frame).collect()}
+    assert len(got) == len(docs)
+    for d, t, _, _ in docs:
+        copied = [len(owners[s]) > 1 and len(repos[s]) > 2 for s in found[d]]
+        r = got[d]
+        assert (r["n_copied"], r["n_live"]) == (sum(copied), len(copied) - sum(copied))
+        assert r["most_owners"] == max(len(owners[s]) for s in found[d]) and r["most_repos"] == max(len(repos[s]) for s in found[d])
+        generic = [t[s["start"]:s["end"]] for s in r["_spans"] if s["rank"] == 3]
+        assert generic == [s for s, c in zip(found[d], copied) if s.startswith("Ab") and not c]
+
+def test_op1_many_matches_in_one_text(spark):
+    from stocktake.llm import secrets
+
+    text = " ".join(f"é token=abcdefghijkl{k:05d}" for k in range(20_000))
+    r = secrets.scan_secrets(spark.createDataFrame([(1, text, "en", "a")], "doc_id bigint, text string, lang string, source string")).first()
+    assert [(s["start"], s["end"]) for s in r["_base"]] == [m.span() for m in re.finditer("token=[a-z0-9]+", text)]
+
 def test_op2(spark, odd_dir):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     start = 0
     got = sorted(rows(spark, odd_dir, "op2_token_ids"), key=lambda r: (r["doc_id"], r["start"]))
     docs = sorted(read(odd_dir, "documents"), key=lambda d: d["doc_id"])
@@ -289,28 +323,48 @@ def test_op6(spark, odd_dir):
         assert r["verdict"] == best[0] if best else r["verdict"] in ("allow", "block")
 
 def test_url_model_holds_out():
-    from stocktake.llm.url_filter import _parts, labelled_urls, ngrams, train
+    from stocktake.llm.url_filter import _parts, labelled_urls, scores, train
 
+    blocked = lambda urls, model: (scores(*map(list, zip(*map(_parts, urls))), model) > 0).tolist()
     table = labelled_urls()
-    weights, bias = train([r for i, r in enumerate(table) if i // 2 % 4])
-    right = 0
     held = [r for i, r in enumerate(table) if not i // 2 % 4]
-    for url, label in held:
-        g = ngrams(*_parts(url))
-        right += ((weights[g].sum() / max(len(g), 1) ** 0.5 + bias) > 0) == bool(label)
-    assert right / len(held) >= 0.95
-    weights, bias = train(table)
-    for name, label in (("www.spam-farm.example.org", 1), ("m.ads-track.example.com", 1), ("free-bets.example.net", 1), ("m.thther.example.org", 0), ("tionsh.example.net", 0)):
-        g = ngrams(name, "/en/55")
-        assert ((weights[g].sum() / max(len(g), 1) ** 0.5 + bias) > 0) == bool(label), name
-    g = ngrams("", "")
-    assert weights[g].sum() + bias < 0
+    found = blocked([u for u, _ in held], train([r for i, r in enumerate(table) if i // 2 % 4]))
+    assert np.mean([f == bool(label) for f, (_, label) in zip(found, held)]) >= 0.95
+    bad = ["http://www.spam-farm.example.org/en/55", "http://m.ads-track.example.com/en/55", "http://free-bets.example.net/en/55",
+           "http://cedar.example.com/en/casino-bonus/7", "http://river.example.net/poker-jackpot", "http://north.example.org/click-track/x"]
+    good = ["http://m.thther.example.org/en/55", "http://tionsh.example.net/en/55", "http://river.example.net/wiki/theatre", "http://north.example.org/library/catalogue", ""]
+    assert blocked(bad + good, train(table)) == [True] * len(bad) + [False] * len(good)
+
+def test_url_scores_equal_a_plain_version(spark, odd_dir):
+    from stocktake.llm.textops import mix
+    from stocktake.llm.url_filter import BITS, labelled_urls, train
+
+    weights, bias = train(labelled_urls())
+
+    def grams(host, path):
+        out = set()
+        for part, text in enumerate((host, path)):
+            data = f"^{text}$".encode()
+            for n in (3, 4, 5):
+                for i in range(len(data) - n + 1):
+                    h = 2 * n + part
+                    for byte in data[i:i + n]:
+                        h = (h * 0x100000001B3 + byte + 1) & 0xFFFFFFFFFFFFFFFF
+                    out.add(int(mix(np.array([h], np.uint64))[0]) >> (64 - BITS))
+        return out
+
+    got = rows(spark, odd_dir, "op6_url_filter")
+    for r in got:
+        g = grams(r["host"], r["path"])
+        z = sum(weights[k] for k in g) / max(len(g), 1) ** 0.5 + bias
+        assert r["p_block"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+        assert r["rule"] or r["verdict"] == ("block" if z > 0 else "allow")
+    assert {r["verdict"] for r in got if not r["rule"]} == {"allow", "block"}
 
 def test_op7(spark, odd_dir):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows(spark, odd_dir, "op7_packing"):
         by_doc[r["doc_id"]].append(r)
@@ -337,7 +391,16 @@ def test_op7(spark, odd_dir):
         padded += at if at & (at - 1) == 0 else 4096
     assert padded <= 1.06 * total + 4096
 
-def test_column_generation_is_near_its_bound():
+def test_inverse_beside_a_live_session(spark):
+    from stocktake.llm.packing import inverted
+
+    assert spark.range(100).count() == 100
+    for n in (1, 2, 100, 128):
+        m = np.random.default_rng(n).integers(0, 4, (n, n)) + np.diag(np.arange(1.0, n + 1))
+        assert np.allclose(np.einsum("ij,jk->ik", inverted(m), m), np.eye(n), atol=1e-6)
+
+def test_column_generation_is_near_its_bound(spark):
+    assert spark.range(100).count() == 100
     from stocktake.llm.packing import patterns
 
     rng = np.random.default_rng(3)
@@ -357,6 +420,31 @@ def test_op8(spark, odd_dir):
     assert len(got) == len(read(odd_dir, "documents"))
     assert all(0 <= r["expected_severity"] <= 2 and r["toxic"] == (r["p_toxic"] >= 0.5) for r in got.values())
 
+def test_toxicity_scores_equal_a_plain_version(spark, odd_dir):
+    import pyarrow as pa
+
+    from stocktake.llm import toxicity
+    from stocktake.llm.textops import Text
+
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{odd_dir}/labels.parquet"))
+    assert len(model.weights)
+    hashed = lambda words: (Text(pa.array([" ".join(words)])).word_hashes(fold=True) >> np.uint64(64 - toxicity.BITS)).astype(int) if words else []
+    got = {r["doc_id"]: r for r in toxicity.severity(docs, model).collect()}
+    for d in read(odd_dir, "documents"):
+        words = [w.encode() for w in re.split("[\\x20\\x09-\\x0D!-/:-@\\[\\\\\\]^_`{|}~]+", d["text"] or "") if w]
+        if any(b > 127 for w in words for b in w):
+            continue  # beginnings are cut by bytes
+        features = [w.decode() for w in words] + [w[:n].decode() for n in toxicity.PREFIXES for w in words if len(w) > n]
+        count = Counter(k for k in model.slot[hashed(features)].tolist() if k >= 0) if features else {}
+        wx = sum(np.log1p(n) * model.weights[k] for k, n in count.items())
+        below = [1 / (1 + np.exp(-np.clip(t - wx, -40, 40))) for t in model.thresholds]
+        share = [below[0], below[1] - below[0], 1 - below[1]]
+        r = got[d["doc_id"]]
+        assert r["p_toxic"] == pytest.approx(1 - below[0], abs=1e-9)
+        assert r["expected_severity"] == pytest.approx(share[1] + 2 * share[2], abs=1e-9)
+        assert r["grade"] == int(np.argmax(share))
+
 def test_toxicity_held_out(spark):
     from stocktake.llm import toxicity
 
@@ -423,7 +511,45 @@ def test_op10(spark, odd_dir):
         r = got[d["doc_id"]]
         assert [r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")] == \
             [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed], text[:80]
-        assert not (failed and r["kept"])
+        near = r["n_words"] < 40 or r["char_distance"] <= 0.28 and r["word_distance"] <= 0.48
+        assert r["kept"] == (not failed and near)
+
+def test_op10_distances_equal_a_plain_version(spark, odd_dir):
+    import pyarrow as pa
+
+    from stocktake.llm.divergence import COMMON, WORD_BITS
+    from stocktake.llm.textops import Text
+
+    def kind(c):
+        at = ord(c)
+        if at > 127:
+            return 8 + (at > 0x7FF) + (at > 0xFFFF)
+        return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if c.isdigit() else 3 if c in " \t\x0b\x0c" else 4 if c in "\r\n" else 5 if c in ".,;:!?'\"()-" else 7 if at < 32 or at == 127 else 6
+
+    def distance(p, q):
+        if not sum(p.values()):
+            return 0.0
+        total, other = sum(p.values()), sum(q.values())
+        out = 0.0
+        for k in {*p, *q}:
+            a, b = p.get(k, 0) / total, q.get(k, 0) / other if other else 0.0
+            out += sum(x * np.log2(2 * x / (a + b)) / 2 for x in (a, b) if x)
+        return np.sqrt(np.clip(out, 0, 1))
+
+    docs = read(odd_dir, "documents")
+    chars, bins = {}, {}
+    by_lang = defaultdict(lambda: (Counter(), Counter()))
+    for d in docs:
+        chars[d["doc_id"]] = Counter(map(kind, d["text"] or ""))
+        bins[d["doc_id"]] = Counter((Text(pa.array([d["text"] or ""])).word_hashes(fold=True) >> np.uint64(64 - WORD_BITS)).tolist())
+        by_lang[d["lang"]][0].update(chars[d["doc_id"]])
+        by_lang[d["lang"]][1].update(bins[d["doc_id"]])
+    common = {lang: {k for k, _ in sorted(b.items(), key=lambda x: (-x[1], x[0]))[:COMMON]} for lang, (_, b) in by_lang.items()}
+    slots = lambda counts, lang: Counter({k: n for k, n in counts.items() if k in common[lang]} | {-1: sum(n for k, n in counts.items() if k not in common[lang])})
+    for r in rows(spark, odd_dir, "op10_quality"):
+        d = r["doc_id"]
+        assert r["char_distance"] == pytest.approx(min(distance(chars[d], c) for c, _ in by_lang.values()), abs=1e-9)
+        assert r["word_distance"] == pytest.approx(min(distance(slots(bins[d], lang), slots(b, lang)) for lang, (_, b) in by_lang.items()), abs=1e-9)
 
 def test_op10_judges_every_language(spark, monkeypatch):
     from stocktake.llm import divergence

@@ -109,7 +109,6 @@ def test_packing_holds_every_id_once(stages):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     before, after = stages[4]
     expected = Counter()
     lengths = 0
