@@ -162,6 +162,7 @@ def pieces_of(docs: DataFrame, path: str, spaced: bool, end_id: int | None, leng
                     yield _batch(rows, with_ids)
                     rows = []
             yield _batch(rows, with_ids)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHINGLE = 5
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -63,6 +63,7 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
         if hi > lo:
             yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
 
 
 class Text:

@@ -13,8 +13,8 @@ import os
 from array import array
 from functools import lru_cache
 
-#: Pieces kept per worker; beyond it the cache starts anew (it affects speed only).
-CACHE = 800_000
+#: Pieces of a generation; a worker keeps the current one and the one before, so that frequent pieces stay (it affects speed and memory only).
+CACHE = 200_000
 MARKS = frozenset(".,;:!?")
 
 
@@ -38,6 +38,7 @@ class Pieces(dict):
     def __init__(self, tokenizer, spaced: bool, head: bool):
         super().__init__()
         self.tokenizer, self.spaced, self.head = tokenizer, spaced, head
+        self.before: dict[str, bytes | None] = {}
         self.tokenize = tokenizer.model.tokenize
         self.letters = str.maketrans({b: c for b, c in enumerate(byte_letters())})
 
@@ -47,8 +48,9 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes | None:
         if len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
-        ids = self[piece] = self._of(piece)
+        ids = self[piece] = self.before[piece] if piece in self.before else self._of(piece)
         return ids
 
     def _of(self, piece: str) -> bytes | None:
