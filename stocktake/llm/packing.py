@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stocktake.llm.shared import written
-from stocktake.llm.tokens import encoder
+from stocktake.llm.tokens import CACHE, encoder
 
 LENGTH = 4096
 UNIT = 32
@@ -145,12 +145,12 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def pieces_of(docs: DataFrame, path: str, spaced: bool, end_id: int | None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, spaced: bool, end_id: int | None, length: int = LENGTH, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Pieces of at most ``length`` ids: full ones from the start of each document, then the rest; ids are binary, little-endian unsigned 32-bit."""
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def cut(batches):
-        enc = encoder(path, spaced)
+        enc = encoder(path, spaced, cache)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -202,14 +202,14 @@ def assign(pieces: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFra
     return placed.withColumn("offset", F.sum("length").over(within) - F.col("length")).select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, path: str, spaced: bool = False, end_id: int | None = 2, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, spaced: bool = False, end_id: int | None = 2, length: int = LENGTH, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Pieces of all documents with their place: PIECES, sequence_id, offset.
 
     A null or empty text has its end id only (without an end id, no piece); null doc_ids stay
     null; repeated rows are packed as often as they occur; an empty table gives an empty result;
-    columns other than doc_id and text are ignored. padded_length(used) gives a sequence's length.
+    columns other than doc_id and text are ignored. cache: pieces of text that a worker remembers, for speed against memory. padded_length(used) gives a sequence's length.
     """
-    return assign(written(pieces_of(docs, path, spaced, end_id, length, with_ids), "pieces"), length)
+    return assign(written(pieces_of(docs, path, spaced, end_id, length, with_ids, cache), "pieces"), length)
 
 
 def padded_length(used: int, length: int = LENGTH) -> int:

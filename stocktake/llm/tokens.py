@@ -14,7 +14,7 @@ from array import array
 from functools import lru_cache
 
 #: Pieces of a generation; a worker keeps the current one and the one before, so that frequent pieces stay (it affects speed and memory only).
-CACHE = 200_000
+CACHE = 400_000
 MARKS = frozenset(".,;:!?")
 
 
@@ -35,9 +35,9 @@ def byte_letters() -> list[str]:
 class Pieces(dict):
     """Piece to little-endian unsigned 32-bit ids, filled on demand; None: the text must be encoded whole."""
 
-    def __init__(self, tokenizer, spaced: bool, head: bool):
+    def __init__(self, tokenizer, spaced: bool, head: bool, cache: int):
         super().__init__()
-        self.tokenizer, self.spaced, self.head = tokenizer, spaced, head
+        self.tokenizer, self.spaced, self.head, self.cache = tokenizer, spaced, head, cache
         self.before: dict[str, bytes | None] = {}
         self.tokenize = tokenizer.model.tokenize
         self.letters = str.maketrans({b: c for b, c in enumerate(byte_letters())})
@@ -47,7 +47,7 @@ class Pieces(dict):
         return array("I", [t.id for t in self.tokenize(shown)])
 
     def __missing__(self, piece: str) -> bytes | None:
-        if len(self) >= CACHE:
+        if len(self) >= self.cache:
             self.before = dict(self)
             self.clear()
         ids = self[piece] = self.before[piece] if piece in self.before else self._of(piece)
@@ -77,7 +77,7 @@ class Pieces(dict):
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, cache: int = CACHE):
         """spaced: the tokenizer keeps white space, so a piece carries the space before it."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -85,8 +85,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
-        self.pieces = Pieces(self.tokenizer, spaced, head=False)
-        self.heads = Pieces(self.tokenizer, spaced, head=True)
+        self.pieces = Pieces(self.tokenizer, spaced, False, cache)
+        self.heads = Pieces(self.tokenizer, spaced, True, cache)
 
     @property
     def vocabulary(self) -> int:
@@ -109,6 +109,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, cache: int = CACHE) -> Encoder:
     """The worker's encoder, loaded once and kept between tasks."""
-    return Encoder(path, spaced)
+    return Encoder(path, spaced, cache)
