@@ -16,9 +16,9 @@ Shingles of very many documents (found by lossy counting over all documents) are
 blocks and come last in that order, which keeps passages that everybody quotes from pairing
 everybody; any such set of shingles gives the same result.
 
-Members of one key are paired only up to ``GROUP`` of them. A larger key names its members' *star*,
-after one of them, the leader; many keys of a family of near copies share a leader, so a family
-has few stars. A star is dealt out in blocks of two sides: first by sketches, which leaves those
+Members of one key are not paired but named with one of them, the leader, whose *star* they are;
+many keys of a family of near copies share a leader, so a family has few stars. Stars of at most
+``GROUP`` members are paired; a larger star is dealt out in blocks of two sides: first by sketches, which leaves those
 members that are close to another one, then by sets. A block counts each member's links and sends
 on a spanning forest of them, so no link is lost and no more rows than members leave a block. A pair that
 several stars hold is counted in the first of them.
@@ -40,8 +40,8 @@ from stocktake.llm.textops import Text, chunks, mix, shingle_sets
 
 #: Similarity of at least PERCENT / 100.
 PERCENT = 75
-#: Largest group of one key that is paired outright.
-GROUP = 4
+#: Largest star whose members are paired outright.
+GROUP = 6
 #: Shingles of more than one document in HOT_ONE_IN may be left out of blocks; at most HOT_MOST (half a megabyte) are.
 HOT_ONE_IN, HOT_MOST = 500, 65_536
 #: Shingles that are counted together in search of frequent ones.
@@ -191,7 +191,7 @@ def prefix_keys(elements: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return mix(order[:n - (-(-PERCENT * n // 100)) + 1] ^ np.uint64(0xA0761D6478BD642F))
 
 
-BLOBS = "p int, nodes binary, counts binary, keys binary"
+BLOBS = "p int, nodes binary, sizes binary, least binary, counts binary, keys binary"
 
 
 def _emit(hot_values: np.ndarray, parts: int):
@@ -217,6 +217,8 @@ def _emit(hot_values: np.ndarray, parts: int):
                 more = [(prefix_keys(h[at[d]:at[d + 1]], hot_values), d) for d in np.flatnonzero(~safe | (n <= PREFIX_TO))]
                 keys = np.concatenate([keys, *(k for k, _ in more)])
                 docs = np.concatenate([docs, *(np.full(len(k), d) for k, d in more)])
+                least = np.full(len(nodes), np.iinfo(np.uint64).max)
+                np.minimum.at(least, docs, keys)
                 p = (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint32)
                 order = np.lexsort((docs, p))
                 keys, docs, p = mix(keys)[order].astype(np.uint32), docs[order], p[order]
@@ -224,19 +226,24 @@ def _emit(hot_values: np.ndarray, parts: int):
                 rows = []
                 for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(p)]):
                     starts = np.flatnonzero(np.diff(docs[lo:hi], prepend=-1))
-                    rows.append((int(p[lo]), nodes[docs[lo:hi][starts]].tobytes(), np.diff(np.append(starts, hi - lo)).astype(np.uint32).tobytes(), keys[lo:hi].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["p", "nodes", "counts", "keys"])
+                    here = docs[lo:hi][starts]
+                    rows.append((int(p[lo]), nodes[here].tobytes(), n[here].astype(np.uint32).tobytes(), least[here].tobytes(), np.diff(np.append(starts, hi - lo)).astype(np.uint32).tobytes(), keys[lo:hi].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], names=["p", "nodes", "sizes", "least", "counts", "keys"])
 
     return run
 
 
-MEETINGS = "kind tinyint, a bigint, b bigint"
+MEETINGS, STARS = "q int, rows binary", "star bigint, node bigint"
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """Nodes of one key range that share a key. kind 0: a candidate pair a < b; kind 1: the star a of a large group with a member b."""
+    """Nodes of one key range that share a key: the leader of each key's group with every other member, as blobs dealt out by leader.
+
+    Members whose size is linked with no other one's leave their group. A group whose members have one
+    least key in common is left to that key's group, which holds them all.
+    """
     each = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-    nodes, counts, keys = each("nodes", np.int64), each("counts", np.uint32), each("keys", np.uint32)
+    nodes, least, counts, keys = each("nodes", np.int64), each("least", np.uint64), each("counts", np.uint32), each("keys", np.uint32)
     owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), counts)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -244,25 +251,33 @@ def _meet(group: pa.Table) -> pa.Table:
     shared = np.zeros(len(keys), bool)
     shared[1:] |= same
     shared[:-1] |= same
-    keys, members = keys[shared], nodes[owner[order][shared]]
-    order = np.lexsort((mix(members.view(np.uint64)), keys))  # a group's leader comes first
-    keys, members = keys[order], members[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (members[1:] != members[:-1])
-    keys, members = keys[fresh], members[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    keys, owner = keys[shared], owner[order][shared]
+    n = np.minimum(each("sizes", np.uint32), np.uint32(1 << 30)).astype(np.int64)[owner]
+    order = np.lexsort((n, keys))
+    keys, owner, n = keys[order], owner[order], n[order]
+    fits = np.zeros(len(keys) + 1, bool)
+    fits[1:-1] = (keys[1:] == keys[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
+    keys, owner = keys[fits[1:] | fits[:-1]], owner[fits[1:] | fits[:-1]]
+    order = np.lexsort((mix(nodes.view(np.uint64))[owner], keys))  # a group's leader comes first
+    keys, members, least = keys[order], nodes[owner[order]], least[owner[order]]
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint32(1)))
     sizes = np.diff(np.append(starts, len(keys)))
-    found = [np.zeros((0, 2), np.int64)]
-    for size in range(2, GROUP + 1):
-        at = starts[sizes == size]
-        for i in range(size):
-            for j in range(i + 1, size):
-                found.append(np.stack([members[at + i], members[at + j]], 1))
-    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-    large = np.repeat(sizes > GROUP, sizes)
-    stars = np.unique(np.stack([members[np.repeat(starts, sizes)[large]], members[large]], 1), axis=0)
-    rows = np.concatenate([pairs, stars])
-    return pa.table({"kind": np.repeat(np.array([0, 1], np.int8), [len(pairs), len(stars)]), "a": rows[:, 0], "b": rows[:, 1]})
+    first = least[starts]
+    elsewhere = np.logical_and.reduceat(least == np.repeat(first, sizes), starts) & (mix(first).astype(np.uint32) != keys[starts]) if len(keys) else np.zeros(0, bool)
+    leader = members[np.repeat(starts, sizes)]
+    rows = np.unique(np.stack([leader, members], 1)[(leader != members) & ~np.repeat(elsewhere, sizes)], axis=0)
+    parts = np.uint64(group.column("parts")[0].as_py())
+    q = (((mix(rows[:, 0].view(np.uint64)) >> np.uint64(32)) * parts) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(q, kind="stable")
+    rows, q = rows[order], q[order]
+    edges = np.flatnonzero(np.diff(q, prepend=-1))
+    return pa.table({"q": pa.array(q[edges]), "rows": pa.array([rows[lo:hi].tobytes() for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(q)])], pa.binary())})
+
+
+def _stars(group: pa.Table) -> pa.Table:
+    """The distinct members of the stars dealt to one blob number; most members meet under many keys."""
+    rows = np.unique(np.frombuffer(b"".join(group.column("rows").to_pylist()), np.int64).reshape(-1, 2), axis=0)
+    return pa.table({"star": rows[:, 0], "node": rows[:, 1]})
 
 
 def _close(batches):
@@ -386,14 +401,19 @@ def _links(docs: DataFrame, facts: DataFrame, nodes: DataFrame) -> tuple[DataFra
            .orderBy(F.desc("n"), "node").limit(HOT_MOST).select("node").collect())  # at most HOT_MOST longs
     hot_values = np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
     parts = max(shuffle_width(docs.sparkSession), -(-total * 4 // 5 // KEYS_PER_TASK))
-    met = written(docs.select("text").mapInArrow(_emit(hot_values, parts), BLOBS).groupBy("p").applyInArrow(_meet, MEETINGS), "meetings")
-    pairs = met.filter("kind = 0").select("a", "b").distinct()
+    met = docs.select("text").mapInArrow(_emit(hot_values, parts), BLOBS).withColumn("parts", F.lit(parts)).groupBy("p").applyInArrow(_meet, MEETINGS)
+    met = written(met.groupBy("q").applyInArrow(_stars, STARS), "stars")
+    sizes = written(met.groupBy("star").agg((F.count("*") + 1).alias("size")), "star-sizes")
+    small, large = (sizes.filter(c).select("star") for c in (F.col("size") <= GROUP, F.col("size") > GROUP))
+    few = joined(met, small, "star", "left_semi").groupBy("star").agg(F.array_sort(F.array_append(F.collect_list("node"), F.col("star"))).alias("m"))
+    each = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")
+    pairs = few.select(F.explode(each).alias("pair")).select("pair.*").distinct()
     end = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
     close = written(pairs.join(end("a").hint("merge"), "a").join(end("b").hint("merge"), "b")
                     .filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
                     .select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_close, "a bigint, b bigint"), "close")
-    stars = met.filter("kind = 1").select(F.col("a").alias("star"), F.col("b").alias("node")).distinct().join(nodes.select("node", "n", "sketch").hint("merge"), "node")
-    near = written(_sides(written(stars, "stars"), "octet_length(sketch)", SIDE_SKETCHES).groupBy("star", "i", "j").applyInArrow(_near, "star bigint, node bigint").distinct(), "near")
+    stars = joined(met, large, "star", "left_semi").select("star", "node").union(large.select("star", F.col("star").alias("node"))).join(nodes.select("node", "n", "sketch").hint("merge"), "node")
+    near = written(_sides(written(stars, "large-stars"), "octet_length(sketch)", SIDE_SKETCHES).groupBy("star", "i", "j").applyInArrow(_near, "star bigint, node bigint").distinct(), "near")
     of = written(near.groupBy("node").agg(F.collect_set("star").alias("stars")), "stars-of")  # fewer than the node has keys
     needed = close.select(F.explode(F.array("a", "b")).alias("node")).union(of.select("node")).distinct().join(nodes.select("node", "text_key").hint("merge"), "node")
     sets = written(joined(docs, written(needed, "needed"), "text_key").select("node", "text").mapInArrow(_sets, "node bigint, elements binary")
