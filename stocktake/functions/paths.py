@@ -63,6 +63,12 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(path == root, F.lit(top.rsplit("/", 1)[-1])).when(path.startswith(top + "/"), F.substring(path, len(top) + 2, 1 << 30)).otherwise(path)
 
 
+def below(path: Column, root: str) -> Column:
+    """What follows the root in a path under it; empty for the root itself, the whole path for others."""
+    top = root.rstrip("/")
+    return F.when(path == root, F.lit("")).when(path.startswith(top + "/"), F.substring(path, len(top) + 2, 1 << 30)).otherwise(path)
+
+
 def natural_key(text: Column) -> Column:
     """Case-insensitive order with numbers by value: digit runs are padded to 20 places."""
     runs = F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), 1)

@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stocktake.functions import lookups as L, paths as P
+from stocktake.operators.joins import joined, kept
 from stocktake.operators.ranking import ranked
 from stocktake.operators.tree import top_level
 
 
-def rule_candidates(entries: DataFrame, as_of: str, days: int = 180, old_bytes: int = L.OLD_LARGE_BYTES) -> DataFrame:
-    """Entries (path, name, kind, size, modified_at) that a rule names; the first rule wins."""
+def rule_kind(as_of: str, days: int = 180, old_bytes: int = L.OLD_LARGE_BYTES) -> Column:
+    """The first rule that names an entry (path, name, kind, size, modified_at), or null."""
     name, path, ext = F.lower("name"), F.lower("path"), P.file_extension(F.col("name"))
     box, file = P.is_container(F.col("kind")), F.col("kind") == "file"
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
-    kind = (F.when(box & name.isin(*L.CACHE_NAMES), "cacheFolder").when(box & (name.isin(*L.BUILD_NAMES) | path.contains("/deriveddata/")), "buildArtifact")
+    return (F.when(box & name.isin(*L.CACHE_NAMES), "cacheFolder").when(box & (name.isin(*L.BUILD_NAMES) | path.contains("/deriveddata/")), "buildArtifact")
             .when(file & ext.isin(*L.DISK_IMAGES), "diskImage").when(file & ext.isin(*L.INSTALLERS), "installer").when(file & ext.isin(*L.ARCHIVES), "archive")
             .when(file & (ext.isin(*L.TEMPORARY) | name.endswith("~")), "temporary").when(file & (F.col("size") >= old_bytes) & (F.col("modified_at") <= cutoff), "oldLargeFile"))
-    return entries.withColumn("candidate_kind", kind).filter("candidate_kind is not null")
+
+
+def rule_candidates(entries: DataFrame, as_of: str, days: int = 180, old_bytes: int = L.OLD_LARGE_BYTES) -> DataFrame:
+    """Entries that a rule names; the first rule wins."""
+    return entries.withColumn("candidate_kind", rule_kind(as_of, days, old_bytes)).filter("candidate_kind is not null")
 
 
 def cleanup_candidates(entries: DataFrame, verified: DataFrame, as_of: str, root: str = "/", days: int = 180, old_bytes: int = L.OLD_LARGE_BYTES) -> DataFrame:
     """(candidate_id, candidate_kind, path, name, size, reason, confidence, reclaimable_bytes).
 
     verified: path and checksum of verified duplicates; all but the first path of each group are
-    candidates of their own and leave the rules.
+    candidates of their own and leave the rules. The entries are read once.
     """
-    first = verified.groupBy("checksum").agg(F.min("path").alias("path"))
-    copies = verified.select("path").join(first.select("path"), "path", "left_anti")
-    rules = rule_candidates(entries.filter(F.col("path") != root), as_of, days, old_bytes).join(copies, "path", "left_anti")
-    doubles = entries.join(copies, "path").withColumn("candidate_kind", F.lit("verifiedDuplicate"))
-    kind = F.col("candidate_kind")
-    return rules.unionByName(doubles.select(*rules.columns)).select(
+    verified = kept(verified.select("path", "checksum"))
+    first = kept(verified.groupBy("checksum").agg(F.min("path").alias("first")))
+    copies = kept(joined(verified, first, "checksum").filter("path <> first").select("path").distinct().withColumn("copy", F.lit(True)))
+    named = joined(entries, copies, "path", "left")
+    kind = F.when(F.col("copy"), "verifiedDuplicate").when(F.col("path") != root, rule_kind(as_of, days, old_bytes))
+    found, kind = named.withColumn("candidate_kind", kind).filter("candidate_kind is not null"), F.col("candidate_kind")
+    return found.select(
         P.candidate_id(kind, F.col("path")).alias("candidate_id"), "candidate_kind", "path", "name", "size", L.trust_field(kind, 1).alias("reason"), L.trust_field(kind, 0).alias("confidence"), F.col("size").alias("reclaimable_bytes"))
 
 

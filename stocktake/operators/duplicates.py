@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stocktake.functions import paths as P
 from stocktake.operators.filters import hardlink_filter
+from stocktake.operators.joins import few, joined, kept
 
 
 def duplicate_candidates(inv: DataFrame, threshold: int = 0, cap: int | None = None) -> DataFrame:
@@ -15,9 +16,9 @@ def duplicate_candidates(inv: DataFrame, threshold: int = 0, cap: int | None = N
 
 
 def same_size(files: DataFrame) -> DataFrame:
-    """Rows whose byte size another row shares. The sizes are counted first, so contents never move for unshared ones."""
-    sizes = files.groupBy("byte_size").agg(F.count("*").alias("n")).filter("n > 1").select("byte_size")
-    return files.join(sizes, "byte_size", "left_semi")
+    """Rows whose byte size another row shares. The sizes are counted first; while they are few no row moves for it, and a size that very many files have stays spread out."""
+    sizes = kept(files.groupBy("byte_size").agg(F.count("*").alias("n")).filter("n > 1").select("byte_size"))
+    return joined(files, sizes, "byte_size", "left_semi")
 
 
 def size_groups(files: DataFrame) -> DataFrame:
@@ -26,18 +27,29 @@ def size_groups(files: DataFrame) -> DataFrame:
         "byte_size", "file_count", (F.col("byte_size") * F.col("file_count")).alias("total_bytes"), (F.col("byte_size") * (F.col("file_count") - 1)).alias("reclaimable_bytes"))
 
 
+def _heads(files: DataFrame, contents: DataFrame, prefix: int) -> DataFrame:
+    """(path, byte_size, head) of files whose size another one shares. The prefix is hashed where contents are read; only digests move."""
+    read = contents.select("path", F.octet_length("content").cast("bigint").alias("there"), P.prefix_sha256(F.col("content"), prefix).alias("head"))
+    return read.join(same_size(files).select("path", "byte_size").hint("merge"), "path").select("path", "byte_size", "there", "head")
+
+
 def verified_members(files: DataFrame, contents: DataFrame, prefix: int = 65_536) -> DataFrame:
     """(path, byte_size, checksum) of files whose whole bytes another file shares; contents: path, content.
 
-    Size, then prefix digest, then full digest: each tier reads only what the one before left.
+    Size, then prefix digest, then full digest: each tier hashes only what the one before left, where
+    contents are read; beyond a number of paths that can be sent to all tasks, every content is hashed there.
     """
-    shared = same_size(files).select("path", "byte_size")
-    heads = contents.join(shared, "path").filter(F.octet_length("content") == F.col("byte_size")).select("path", "byte_size", P.prefix_sha256(F.col("content"), prefix).alias("head"))
-    close = heads.groupBy("byte_size", "head").agg(F.count("*").alias("n")).filter("n > 1").select("byte_size", "head")
-    left = heads.join(close, ["byte_size", "head"], "left_semi").select("path", "byte_size")
-    full = contents.join(left, "path").select("path", "byte_size", P.content_sha256(F.col("content")).alias("checksum"))
-    equal = full.groupBy("byte_size", "checksum").agg(F.count("*").alias("n")).filter("n > 1").select("byte_size", "checksum")
-    return full.join(equal, ["byte_size", "checksum"], "left_semi").select("path", "byte_size", "checksum")
+    heads = kept(_heads(files, contents, prefix).filter("there = byte_size").drop("there"))
+    close = kept(heads.groupBy("byte_size", "head").agg(F.count("*").alias("n")).filter("n > 1").select("byte_size", "head"))
+    left = kept(joined(heads, close, ["byte_size", "head"], "left_semi").select("path", "byte_size"))
+    digest = P.content_sha256(F.col("content")).alias("checksum")
+    if few(left):
+        full = contents.join(F.broadcast(left), "path").select("path", "byte_size", digest)
+    else:
+        full = contents.select("path", digest).join(left.hint("merge"), "path").select("path", "byte_size", "checksum")
+    full = kept(full)
+    equal = kept(full.groupBy("byte_size", "checksum").agg(F.count("*").alias("n")).filter("n > 1").select("byte_size", "checksum"))
+    return joined(full, equal, ["byte_size", "checksum"], "left_semi").select("path", "byte_size", "checksum")
 
 
 def verified_groups(members: DataFrame) -> DataFrame:
@@ -48,28 +60,27 @@ def verified_groups(members: DataFrame) -> DataFrame:
 
 def verification_cost(files: DataFrame, contents: DataFrame, prefix: int = 65_536) -> DataFrame:
     """One row: bytes the tiers read, bytes that hashing everything reads, files in either tier."""
-    shared = same_size(files).select("path", "byte_size")
-    heads = contents.join(shared, "path").select("path", "byte_size", P.prefix_sha256(F.col("content"), prefix).alias("head"))
-    n = F.count("*").over(Window.partitionBy("byte_size", "head"))
-    return heads.withColumn("n", n).agg(
-        F.sum(F.least("byte_size", F.lit(prefix)) + F.when((F.col("n") > 1) & (F.col("byte_size") > prefix), F.col("byte_size")).otherwise(0)).alias("tiered_bytes"),
-        F.sum("byte_size").alias("naive_bytes"), F.count("*").alias("files"), F.count_if((F.col("n") > 1) & (F.col("byte_size") > prefix)).alias("full_reads"))
+    groups = _heads(files, contents, prefix).groupBy("byte_size", "head").agg(F.count("*").alias("n"))
+    again = (F.col("n") > 1) & (F.col("byte_size") > prefix)
+    return groups.agg(F.sum(F.col("n") * (F.least("byte_size", F.lit(prefix)) + F.when(again, F.col("byte_size")).otherwise(0))).alias("tiered_bytes"),
+                      F.sum(F.col("n") * F.col("byte_size")).alias("naive_bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.coalesce(F.sum(F.when(again, F.col("n"))), F.lit(0)).alias("full_reads"))
 
 
 def budget_groups(groups: DataFrame, byte_limit: int, file_limit: int) -> DataFrame:
     """Groups in order of gain that fit both budgets; one that does not fit is skipped and the walk goes on.
 
-    The walk is sequential by nature; it runs over one row a group, and there are at most half as
-    many groups as candidates under the cap.
+    The walk is sequential by nature; it runs over one row a group. A group holds at least two files of
+    its size and sizes differ, so at most about the square root of the byte limit fit at all; callers that
+    set a very large limit cap the candidates first (``duplicate_candidates``).
     """
     if byte_limit <= 0 or file_limit <= 0:
         return groups.limit(0)
     item = F.struct((-F.col("reclaimable_bytes")).alias("gain"), (-F.col("byte_size")).alias("each"), F.col("byte_size").alias("size"), F.col("file_count").alias("n"), F.col("total_bytes").alias("total"))
     walk = groups.filter((F.col("total_bytes") <= byte_limit) & (F.col("file_count") <= file_limit)).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    kept = walk.select(F.expr(f"""aggregate(all, named_struct('bytes', 0L, 'files', 0L, 'sizes', cast(array() as array<bigint>)), (a, g) ->
+    chosen = walk.select(F.expr(f"""aggregate(all, named_struct('bytes', 0L, 'files', 0L, 'sizes', cast(array() as array<bigint>)), (a, g) ->
         if(a.bytes + g.total <= {byte_limit}L and a.files + g.n <= {file_limit}L,
            named_struct('bytes', a.bytes + g.total, 'files', a.files + g.n, 'sizes', concat(a.sizes, array(g.size))), a)).sizes""").alias("sizes"))
-    return groups.join(kept.select(F.explode("sizes").alias("byte_size")), "byte_size", "left_semi")
+    return groups.hint("merge").join(chosen.select(F.explode("sizes").alias("byte_size")), "byte_size", "left_semi")
 
 
 def unverified_groups(files: DataFrame, members: DataFrame) -> DataFrame:
@@ -96,16 +107,26 @@ def pick_keeper(groups: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def already_verified(files: DataFrame, members: DataFrame) -> DataFrame:
     """(byte_size, verified): whether one verified group holds every member of a size group."""
-    joined = same_size(files).select("path", "byte_size").join(members.select("path", "checksum"), "path", "left")
-    return joined.groupBy("byte_size").agg(((F.count("checksum") == F.count("*")) & (F.min("checksum") == F.max("checksum"))).alias("verified"))
+    both = same_size(files).select("path", "byte_size").join(members.select("path", "checksum"), "path", "left")
+    return both.groupBy("byte_size").agg(((F.count("checksum") == F.count("*")) & (F.min("checksum") == F.max("checksum"))).alias("verified"))
+
+
+def cached_checksums(files: DataFrame, cache: DataFrame, prefix_bytes: int | None = None) -> DataFrame:
+    """Files with the cached digests where path, size, mtime and identity all agree (two unknown identities do); ``hit`` says whether.
+
+    With ``prefix_bytes``, prefix_checksum is the cached prefix digest of that length, if there is one.
+    """
+    c = cache.select("path", F.col("byte_size").alias("c_size"), F.col("modified_at").alias("c_time"), F.col("identity").alias("c_identity"), F.col("checksum").alias("c_checksum"),
+                     *([] if prefix_bytes is None else [F.col("prefix_checksum").alias("c_prefix"), F.col("prefix_bytes").alias("c_prefix_bytes")]))
+    same = (F.col("byte_size") == F.col("c_size")) & F.col("modified_at").eqNullSafe(F.col("c_time")) & F.col("identity").eqNullSafe(F.col("c_identity"))
+    both = files.select("path", "byte_size", "modified_at", "identity").join(c, "path", "left")
+    prefix = [] if prefix_bytes is None else [F.when(same & (F.col("c_prefix_bytes") == prefix_bytes), F.col("c_prefix")).alias("prefix_checksum")]
+    return both.select("path", F.when(same, F.col("c_checksum")).alias("checksum"), F.coalesce(same & F.col("c_checksum").isNotNull(), F.lit(False)).alias("hit"), *prefix)
 
 
-def cached_checksums(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Files with the cached digest where path, size, mtime and identity all agree; ``hit`` says whether."""
-    c = cache.select("path", F.col("byte_size").alias("c_size"), F.col("modified_at").alias("c_time"), F.col("identity").alias("c_identity"), F.col("checksum").alias("c_checksum"))
-    same = (F.col("byte_size") == F.col("c_size")) & F.col("modified_at").eqNullSafe(F.col("c_time")) & (F.col("identity") == F.col("c_identity"))
-    joined = files.select("path", "byte_size", "modified_at", "identity").join(c, "path", "left")
-    return joined.select("path", F.when(same, F.col("c_checksum")).alias("checksum"), F.coalesce(same & F.col("c_checksum").isNotNull(), F.lit(False)).alias("hit"))
+def cache_counters(cached: DataFrame) -> DataFrame:
+    """One row: files whose digest the cache had, and those it had not."""
+    return cached.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
 def record_checksums(cache: DataFrame, new: DataFrame) -> DataFrame:

@@ -11,16 +11,20 @@ from stocktake.functions import paths as P
 SIZE_PRESETS = {"all": 0, "100MB": 100_000_000, "1GB": 1_000_000_000, "10GB": 10_000_000_000}
 
 
-def filter_hidden(inv: DataFrame, include_hidden: bool = False) -> DataFrame:
-    """Without entries that have a component beginning with a dot (hidden directories hide what they hold)."""
-    return inv if include_hidden else inv.filter(~F.exists(F.split("path", "/"), lambda part: part.startswith(".")))
+def filter_hidden(inv: DataFrame, include_hidden: bool = False, root: str = "/") -> DataFrame:
+    """Without entries marked hidden, or with a component below the root that begins with a dot (hidden directories hide what they hold)."""
+    if include_hidden:
+        return inv
+    marked = F.coalesce("is_hidden", F.lit(False)) if "is_hidden" in inv.columns else F.lit(False)
+    hidden = (marked & (F.col("path") != root)) | F.exists(F.split(P.below(F.col("path"), root), "/"), lambda part: part.startswith("."))
+    return inv.filter(~hidden)
 
 
 def filter_excluded(inv: DataFrame, names=(), prefixes=(), home: str = "/home", root: str = "/") -> DataFrame:
-    """Without entries that bear an excluded name, lie under one, or lie at or under an excluded prefix; the root stays."""
+    """Without entries that bear an excluded name (in its own case) or lie under one below the root, or lie at or under an excluded prefix; the root stays."""
     out = F.lit(False)
     if names:
-        out = out | F.arrays_overlap(F.split(F.lower("path"), "/"), F.array(*[F.lit(n.lower()) for n in names]))
+        out = out | F.arrays_overlap(F.split(P.below(F.col("path"), root), "/"), F.array(*map(F.lit, names)))
     for p in prefixes:
         out = out | P.at_or_under(F.col("path"), home + p[1:] if p.startswith("~") else p)
     return inv.filter(~out | (F.col("path") == root))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-COMPARED = ("kind", "byte_size", "allocated_size", "modified_at")
 MOST_DIRTY = 128
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, change): added, removed or modified."""
-    side = lambda df, s: df.select("path", F.struct(*COMPARED).alias(s))
+    """(path, change): added, removed or modified, by every column that both have."""
+    compared = [c for c in old.columns if c != "path" and c in new.columns]
+    side = lambda df, s: df.select("path", F.struct(*compared).alias(s))
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(~F.col("o").eqNullSafe(F.col("n")), "modified")
     return side(old, "o").join(side(new, "n"), "path", "full_outer").select("path", change.alias("change")).filter("change is not null")
 
@@ -33,7 +33,7 @@ def dedupe_changes(changes: DataFrame) -> DataFrame:
 
 def dedupe_stream(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The same on an unbounded stream: the first report of a path within the watermark."""
-    return changes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["path"])
+    return changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["path"])
 
 
 def changes_per_window(changes: DataFrame, length: str = "1 hour") -> DataFrame:

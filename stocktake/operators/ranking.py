@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stocktake.functions import paths as P
 from stocktake.operators.filters import matches
+from stocktake.operators.joins import kept
 
 
 def typed(inv: DataFrame) -> DataFrame:
@@ -51,11 +50,8 @@ def ranked_whole(df: DataFrame, *order: Column) -> DataFrame:
     The ranges are checkpointed, since a second evaluation may cut them elsewhere.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stocktake-"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    parts = kept(df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()))
     before, total = [], 0
     for part, n in sorted(parts.groupBy("_part").count().collect()):  # one row a range
         before.append((part, total))

@@ -24,14 +24,14 @@ def batch_preflight(requested: DataFrame, present: DataFrame) -> DataFrame:
 def protect_keepers(targets: DataFrame, keepers: DataFrame) -> DataFrame:
     """Targets that neither are a keeper nor hold one; keepers: keeper."""
     kept = keepers.select(F.explode(P.ancestors_or_self(F.col("keeper"))).alias("path")).distinct()
-    return targets.join(kept, "path", "left_anti")
+    return targets.hint("merge").join(kept, "path", "left_anti")
 
 
 def changed_targets(reviewed: DataFrame, current: DataFrame) -> DataFrame:
-    """(path, change) of reviewed rows that vanished or whose size, time or identity differ now."""
+    """(path, change) of reviewed rows that vanished or whose size, time (by more than a microsecond) or identity differ now."""
     now = current.select("path", F.col("byte_size").alias("n_size"), F.col("modified_at").alias("n_time"), F.col("identity").alias("n_identity"), F.lit(True).alias("there"))
     j = reviewed.join(now, "path", "left")
-    differs = ~F.col("byte_size").eqNullSafe(F.col("n_size")) | ~F.col("modified_at").eqNullSafe(F.col("n_time")) | ~F.col("identity").eqNullSafe(F.col("n_identity"))
+    differs = ~F.col("byte_size").eqNullSafe(F.col("n_size")) | ~F.coalesce(F.col("modified_at").between(F.expr("n_time - INTERVAL '0.000001' SECOND"), F.expr("n_time + INTERVAL '0.000001' SECOND")), F.col("modified_at").isNull() & F.col("n_time").isNull()) | ~F.col("identity").eqNullSafe(F.col("n_identity"))
     return j.select("path", F.when(F.col("there").isNull(), "vanished").when(differs, "changed").alias("change")).filter("change is not null")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stocktake.functions import paths as P
+from stocktake.operators.joins import kept
 
 
 def directories(inv: DataFrame) -> DataFrame:
@@ -16,44 +17,46 @@ def directories(inv: DataFrame) -> DataFrame:
 def dir_rollup(inv: DataFrame) -> DataFrame:
     """(path, logical, allocated, size, children, descendants) of every directory.
 
-    First by parent, so that only distinct directories are multiplied by their depth.
+    The inventory is read once: by parent first, so that only distinct directories are multiplied
+    by their depth; the sums by directory then go up once more to count the directories below.
     """
     by_parent = inv.groupBy("parent_path").agg(F.sum("byte_size").alias("logical"), F.sum("allocated_size").alias("allocated"), F.count("*").alias("files"))
-    up = by_parent.select(F.explode(P.ancestors_or_self(F.col("parent_path"))).alias("path"), "logical", "allocated", "files")
-    sums = up.groupBy("path").agg(F.sum("logical").alias("logical"), F.sum("allocated").alias("allocated"), F.sum("files").alias("files"))
-    dirs = directories(inv)
-    below = dirs.select(F.explode(P.path_ancestors(F.col("path"))).alias("path")).groupBy("path").agg(F.count("*").alias("dirs"))
-    inside = (dirs.filter("path <> '/'").select(P.parent_path(F.col("path")).alias("path"), F.lit(1).cast("bigint").alias("n"))
-              .union(by_parent.select(F.col("parent_path").alias("path"), F.col("files").alias("n"))).groupBy("path").agg(F.sum("n").alias("children")))
-    return (sums.join(below, "path", "left").join(inside, "path", "left")
-            .select("path", "logical", "allocated", F.greatest("logical", "allocated").alias("size"), F.coalesce("children", F.lit(0)).alias("children"), (F.col("files") + F.coalesce("dirs", F.lit(0))).alias("descendants")))
+    up = by_parent.select("parent_path", F.explode(P.ancestors_or_self(F.col("parent_path"))).alias("path"), "logical", "allocated", "files")
+    own = F.col("parent_path") == F.col("path")
+    sums = up.groupBy("path").agg(F.sum("logical").alias("logical"), F.sum("allocated").alias("allocated"), F.sum("files").alias("files"), F.coalesce(F.sum(F.when(own, F.col("files"))), F.lit(0)).alias("inside"))
+    above = sums.select(F.explode(P.ancestors_or_self(F.col("path"))).alias("above"), "path", "logical", "allocated", "files", "inside", P.parent_path(F.col("path")).alias("parent"))
+    self, child = F.col("above") == F.col("path"), F.col("above") == F.col("parent")
+    of = lambda name: F.max(F.when(self, F.col(name))).alias(name)  # noqa: E731  one row is the directory itself
+    return (above.groupBy(F.col("above").alias("path")).agg(of("logical"), of("allocated"), of("files"), of("inside"), F.count_if(child).alias("dirs_inside"), F.count_if(~self).alias("dirs_below"))
+            .select("path", "logical", "allocated", F.greatest("logical", "allocated").alias("size"), (F.col("inside") + F.col("dirs_inside")).alias("children"), (F.col("files") + F.col("dirs_below")).alias("descendants")))
 
 
 def top_level(df: DataFrame) -> DataFrame:
-    """Distinct rows by path without those that have a strict ancestor in the set."""
-    one = df.dropDuplicates(["path"])
-    under = one.select("path", F.explode(P.path_ancestors(F.col("path"))).alias("above")).join(one.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
-    return one.join(under, "path", "left_anti")
+    """Distinct rows by path without those that have a strict ancestor in the set. The paths are computed once."""
+    paths = kept(df.select("path").distinct())
+    under = paths.select("path", F.explode(P.path_ancestors(F.col("path"))).alias("above")).hint("merge").join(paths.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
+    one = paths if df.columns == ["path"] else df.dropDuplicates(["path"])
+    return one.hint("merge").join(under, "path", "left_anti")
 
 
 def nested_pairs(df: DataFrame) -> DataFrame:
     """(path, ancestor): each path with its closest selected strict ancestor."""
-    one = df.select("path").distinct()
+    one = kept(df.select("path").distinct())
     up = one.select("path", F.posexplode(P.path_ancestors(F.col("path"))).alias("depth", "above"))
-    return up.join(one.select(F.col("path").alias("above")), "above").groupBy("path").agg(F.max_by("above", "depth").alias("ancestor"))
+    return up.hint("merge").join(one.select(F.col("path").alias("above")), "above").groupBy("path").agg(F.max_by("above", "depth").alias("ancestor"))
 
 
 def splice_subtrees(inv: DataFrame, dirty: DataFrame, fresh: DataFrame) -> DataFrame:
     """The inventory with everything at or under the dirty paths replaced by the fresh rows."""
-    touched = lambda df: df.select("path", F.explode(P.ancestors_or_self(F.col("path"))).alias("above")).join(dirty.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path").distinct()
-    return inv.join(touched(inv), "path", "left_anti").unionByName(fresh.join(touched(fresh), "path", "left_semi").select(*inv.columns))
+    touched = lambda df: df.select("path", F.explode(P.ancestors_or_self(F.col("path"))).alias("above")).hint("merge").join(dirty.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path").distinct()
+    return inv.hint("merge").join(touched(inv), "path", "left_anti").unionByName(fresh.hint("merge").join(touched(fresh), "path", "left_semi").select(*inv.columns))
 
 
 def dirty_subtrees(changes: DataFrame, dirs: DataFrame, root: str = "/") -> DataFrame:
     """Changed paths as top-most directories: the path itself if it is one, else its parent; outside the root is ignored."""
     inside = changes.select("path").distinct().filter(P.at_or_under(F.col("path"), root))
     known = dirs.select("path", F.lit(True).alias("is_dir"))
-    return top_level(inside.join(known, "path", "left").select(F.when(F.col("is_dir") | (F.col("path") == root), F.col("path")).otherwise(P.parent_path(F.col("path"))).alias("path")))
+    return top_level(inside.hint("merge").join(known, "path", "left").select(F.when(F.col("is_dir") | (F.col("path") == root), F.col("path")).otherwise(P.parent_path(F.col("path"))).alias("path")))
 
 
 def with_sort_key(nodes: DataFrame) -> DataFrame:
@@ -63,20 +66,20 @@ def with_sort_key(nodes: DataFrame) -> DataFrame:
     """
     own = nodes.select("path", F.posexplode(P.ancestors_or_self(F.col("path"))).alias("at", "above"))
     part = nodes.select(F.col("path").alias("above"), F.struct((-F.col("size")).alias("minus_size"), F.col("name")).alias("part"))
-    keys = own.join(part, "above").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
-    return nodes.join(keys.select("path", F.transform("parts", lambda p: p["part"]).alias("key")), "path")
+    keys = own.hint("merge").join(part, "above").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    return nodes.hint("merge").join(keys.select("path", F.transform("parts", lambda p: p["part"]).alias("key")), "path")
 
 
 def tree_search(nodes: DataFrame, condition) -> DataFrame:
     """(path, direct): nodes that match, and those above a match."""
     hits = nodes.filter(condition).select("path")
-    above = hits.select(F.explode(P.path_ancestors(F.col("path"))).alias("path")).distinct().join(nodes.select("path"), "path", "left_semi")
+    above = hits.select(F.explode(P.path_ancestors(F.col("path"))).alias("path")).distinct().hint("merge").join(nodes.select("path"), "path", "left_semi")
     return hits.select("path", F.lit(True).alias("direct")).union(above.select("path", F.lit(False).alias("direct"))).groupBy("path").agg(F.max("direct").alias("direct"))
 
 
 def top_children(entries: DataFrame, k: int = 200) -> DataFrame:
-    """Each directory's k largest entries with their rank; entries need path, name, parent_path and size."""
-    order = Window.partitionBy("parent_path").orderBy(F.desc("size"), "name")
+    """Each directory's k largest entries, files and sub-directories, with their rank; entries need path, name, parent_path and size."""
+    order = Window.partitionBy("parent_path").orderBy(F.desc("size"), "name", "path")
     return entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

@@ -157,7 +157,7 @@ ORACLE_SQL = {
     "visible_groups": sql("SELECT byte_size || '-' || checksum AS group_id, count(*) AS file_count FROM members WHERE byte_size >= 500 AND contains(lower(path), 'en') GROUP BY byte_size, checksum", "members"),
     "pick_keeper": sql("SELECT checksum, CASE WHEN checksum < '8' THEN max(path) ELSE min(path) END AS keeper FROM members GROUP BY checksum", "members"),
     "protect_keepers": sql(f"SELECT path FROM (SELECT path FROM members UNION ALL SELECT DISTINCT unnest({anc('path')}) AS path FROM doc) WHERE path NOT IN (SELECT unnest({self_anc('first_path')}) FROM vgroups)", "vgroups"),
-    "cached_checksums": sql("SELECT i.path, CASE WHEN c.identity = i.identity AND c.byte_size = i.byte_size THEN c.checksum END AS checksum, coalesce(c.identity = i.identity AND c.byte_size = i.byte_size, false) AS hit FROM ident i LEFT JOIN cache c ON c.path = i.path", "cache"),
+    "cached_checksums": sql("SELECT i.path, CASE WHEN c.identity IS NOT DISTINCT FROM i.identity AND c.byte_size = i.byte_size THEN c.checksum END AS checksum, coalesce(c.identity IS NOT DISTINCT FROM i.identity AND c.byte_size = i.byte_size, false) AS hit FROM ident i LEFT JOIN cache c ON c.path = i.path", "cache"),
     "changed_targets": sql("SELECT path, CASE WHEN doc_id % 11 = 0 THEN 'vanished' ELSE 'changed' END AS change FROM doc WHERE doc_id % 11 = 0 OR doc_id % 13 = 0", "doc"),
     "validate_copies": sql("SELECT m.path, (m.path NOT LIKE '%.md') AND m.checksum >= '4' AS valid FROM members m JOIN vgroups g ON g.checksum = m.checksum WHERE m.checksum < '4' OR m.path <> g.first_path", "vgroups"),
     "snapshot_diff": sql("SELECT path, change FROM diff", "diff"),
@@ -189,7 +189,7 @@ ORACLE_SQL = {
     "order_verified_groups_whole": sql("SELECT group_id, row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC, checksum) AS rank FROM vgroups", "vgroups"),
     "budget_groups": "WITH RECURSIVE " + sql("", "sgroups")[5:] + ", fit AS (SELECT *, row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC) AS r FROM sgroups WHERE total_bytes <= 100000 AND file_count <= 60), walk AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS HUGEINT) AS b, CAST(0 AS HUGEINT) AS f, false AS kept UNION ALL SELECT fit.r, CASE WHEN b + total_bytes <= 100000 AND f + file_count <= 60 THEN b + total_bytes ELSE b END, CASE WHEN b + total_bytes <= 100000 AND f + file_count <= 60 THEN f + file_count ELSE f END, b + total_bytes <= 100000 AND f + file_count <= 60 FROM walk JOIN fit ON fit.r = walk.r + 1) SELECT byte_size, file_count FROM fit JOIN walk ON walk.r = fit.r WHERE kept",
     "cleanup_candidates": sql(f"SELECT candidate_id, confidence, reclaimable_bytes, CAST(row_number() OVER (ORDER BY {RANK}, reclaimable_bytes DESC, {nat('name')}, path) AS INT) AS rank FROM cands ORDER BY rank LIMIT 500", "cands"),
-    "top_children": sql("SELECT path, CAST(row_number() OVER (PARTITION BY parent_path ORDER BY size DESC, name) AS INT) AS rank FROM inv QUALIFY rank <= 20", "inv"),
+    "top_children": sql("SELECT path, CAST(row_number() OVER (PARTITION BY parent_path ORDER BY size DESC, name, path) AS INT) AS rank FROM nodes WHERE path <> '/' QUALIFY rank <= 20", "nodes"),
     "overview_children": sql("SELECT path, size, CAST(row_number() OVER (ORDER BY size DESC, name) AS INT) AS rank FROM folders WHERE parent_path = '/' ORDER BY rank LIMIT 12", "folders"),
     "item_query": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY size DESC, {nat('name')}, path) AS INT) AS rank FROM inv WHERE size >= 10000 AND contains(lower(path), 'europe') AND contains(lower(path), 'documents') AND ext = 'pdf' ORDER BY rank LIMIT 500", "inv"),
     "preorder": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY key) AS INT) AS rank FROM (SELECT u.path, list({{'s': -f.size, 'n': f.name}} ORDER BY length(u.above)) AS key FROM (SELECT path, unnest({self_anc('path')}) AS above FROM folders) u JOIN folders f ON f.path = u.above GROUP BY u.path) ORDER BY rank LIMIT 1000", "folders"),

@@ -517,7 +517,8 @@ def cleanup_candidates(spark, d):
 
 @query
 def top_children(spark, d):
-    return T.top_children(sized(spark, d), 20).select("path", "rank")
+    """Files and sub-directories alike."""
+    return T.top_children(nodes(spark, d).filter("path <> '/'"), 20).select("path", "rank")
 
 
 @query

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stocktake.functions import paths as P
+from stocktake.operators.joins import joined, kept
 
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
     ("root", T.StringType()), ("path", T.StringType()), ("name", T.StringType()), ("parent_path", T.StringType()), ("depth", T.IntegerType()), ("kind", T.StringType()),
@@ -48,8 +49,8 @@ def list_files(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_contents(candidates: DataFrame, contents: DataFrame) -> DataFrame:
-    """Content rows of the candidate paths only: the semi join comes before anything touches ``content``."""
-    return contents.join(candidates.select("path").distinct(), "path", "left_semi")
+    """Content rows of the candidate paths only; while the paths can be sent to all tasks, contents stay where they are read."""
+    return joined(contents, kept(candidates.select("path").distinct()), "path", "left_semi")
 
 
 def save_snapshot(inventory: DataFrame, folder: str, root: str, volume: str, options: str, checkpoint: int) -> str:
@@ -115,4 +116,4 @@ def synthetic_inventory(spark: SparkSession, items: int, depth: int = 4, dup_rat
     size = F.when(paired, F.lit(16_384)).otherwise(tier + F.pmod(i, F.lit(251)))
     seed = F.when(paired, F.floor(i / 2)).otherwise(i + (1 << 40))
     rows = spark.range(items).select(F.concat(F.lit("/bench/"), F.concat_ws("/", *parts), F.lit("/file-"), i, F.lit(".dat")).alias("path"), F.lit("file").alias("kind"), size.cast("bigint").alias("byte_size"), seed.alias("seed"))
-    return canonical(rows).join(rows.select("path", "seed"), "path")
+    return canonical(rows).hint("merge").join(rows.select("path", "seed"), "path")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stocktake.operators.incremental import MOST_DIRTY
+from stocktake.operators.joins import kept
 from stocktake.operators.ranking import typed
 from stocktake.operators.tree import directories, dirty_subtrees, splice_subtrees
 from stocktake.sources.inventory import SCHEMA, load_snapshot, save_snapshot
@@ -22,22 +23,38 @@ def live_types(rows: DataFrame) -> DataFrame:
     return typed(rows.filter("kind = 'file'")).groupBy("label", "category").agg(F.count("*").alias("file_count"), F.sum("size").alias("total_bytes"))
 
 
-def live_progress(rows: DataFrame, name: str, checkpoint: str, every: str = "1 second") -> StreamingQuery:
-    """Publish the running breakdown as an in-memory table for a view, at most once a second."""
-    return live_types(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+def live_summary(rows: DataFrame) -> DataFrame:
+    """One running row: entries seen, unreadable ones, and bytes by either definition."""
+    return rows.agg(F.count("*").alias("scanned_items"), F.count_if(~F.col("is_readable")).alias("inaccessible_count"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("logical_bytes"), F.coalesce(F.sum("allocated_size"), F.lit(0)).alias("allocated_bytes"))
+
+
+def live_progress(rows: DataFrame, name: str, checkpoint: str, every: str = "1 second", view=live_types) -> StreamingQuery:
+    """Publish a running breakdown (``live_types`` or ``live_summary``) as an in-memory table for a view, at most once a second. The ranked list is ``live_largest``."""
+    return view(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def _versions(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
+    """The list of the newest batch before ``before``, or None."""
+    try:
+        lists = spark.read.parquet(folder)
+    except AnalysisException:  # no batch yet
+        return None
+    newest = lists.filter(F.col("batch") < before).agg(F.max("batch")).first()[0]
+    return None if newest is None else lists.filter(F.col("batch") == newest).drop("batch")
 
 
 def live_largest(rows: DataFrame, folder: str, checkpoint: str, k: int = 500) -> StreamingQuery:
-    """Keep the k largest files so far: each batch's rows meet the last list, and the new list is a new table version."""
-    latest: dict[str, str | None] = {"path": None}
+    """Keep the k largest files so far: each batch's rows meet the newest earlier list in the folder, and the new list is ``batch=N`` there.
+
+    Nothing is held between batches, so a query that starts again from its checkpoint goes on with
+    the list; a batch that is run again overwrites its own.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         mine = typed(batch.filter("kind = 'file'")).select("path", "size")
-        if latest["path"]:
-            mine = mine.unionByName(batch.sparkSession.read.parquet(latest["path"]))
-        target = f"{folder}/top-{number:08d}-{uuid.uuid4().hex}"
-        mine.dropDuplicates(["path"]).orderBy(F.desc("size"), "path").limit(k).write.parquet(target)
-        latest["path"] = target
+        earlier = _versions(batch.sparkSession, folder, number)
+        mine = mine if earlier is None else mine.unionByName(earlier.select("path", "size"))
+        mine.groupBy("path").agg(F.max("size").alias("size")).orderBy(F.desc("size"), "path").limit(k).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -51,18 +68,35 @@ def stream_dirty(changes: DataFrame, dirs: DataFrame, folder: str, checkpoint: s
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def refresh_snapshot(changes: DataFrame, listing: DataFrame, folder: str, expect: dict, checkpoint: str) -> StreamingQuery:
-    """Keep a saved snapshot current: unchanged batches reuse it, others splice the dirty subtrees from a new listing and save."""
+def refresh_snapshot(changes: DataFrame, listing, folder: str, expect: dict, checkpoint: str, most_dirty: int = MOST_DIRTY) -> StreamingQuery:
+    """Keep a saved snapshot current, batch by batch; ``folder``/results says how: batch, result, reason, dirty_count.
+
+    listing: fresh rows, as a table or as a function of the dirty directories (path; None: all) that lists only those.
+    unchanged: the snapshot stays. incremental: the dirty subtrees are spliced from the listing. full:
+    a new listing, because the snapshot does not meet expectations, the change log dropped events
+    (reason history) or more than ``most_dirty`` subtrees are dirty (too_many_dirty).
+    """
+    listed = listing if callable(listing) else lambda dirty: listing
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         touched = batch.filter("change_type <> 'noop'")
         old, reason = load_snapshot(spark, folder, expect)
         last = batch.agg(F.max("event_id")).first()[0] or 0
-        if reason:
-            save_snapshot(listing, folder, expect["root"], expect["volume"], expect["options"], last)
-        elif not touched.isEmpty():
-            dirty = dirty_subtrees(touched, directories(old), expect["root"])
-            save_snapshot(splice_subtrees(old, dirty, listing), folder, expect["root"], expect["volume"], expect["options"], last)
+        save = lambda rows: save_snapshot(rows, folder, expect["root"], expect["volume"], expect["options"], last)
+        dirty, count = None, 0
+        if not reason and not touched.filter("change_type = 'dropped'").isEmpty():
+            reason = "history"
+        if not reason and not touched.isEmpty():
+            dirty = kept(dirty_subtrees(touched, directories(old), expect["root"]))
+            count = dirty.count()
+            reason = "too_many_dirty" if count > most_dirty else None
+        result = "full" if reason else "incremental" if count else "unchanged"
+        if result == "full":
+            save(listed(None))
+        elif result == "incremental":
+            save(splice_subtrees(old, dirty, listed(dirty)))
+        outcome = spark.createDataFrame([(number, result, reason, count)], "batch bigint, result string, reason string, dirty_count bigint")
+        outcome.coalesce(1).write.mode("overwrite").parquet(f"{folder}/results/{number:08d}")
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

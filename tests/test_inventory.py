@@ -100,6 +100,69 @@ def test_exclusions(spark):
     assert FL.split_exclusions(["~/x", "/y", "z"]) == (["z"], ["~/x", "/y"])
 
 
+def test_exclusions_and_hidden_entries_below_the_root(spark):
+    x = inv(spark, [("/.cache/r/a", 1), ("/.cache/r/.b/c", 1), ("/.cache/r/Node_Modules/d", 1), ("/.cache/r/node_modules/e", 1), ("/.cache/r/f", 1)])
+    x = x.withColumn("is_hidden", F.col("name") == "f")
+    assert paths(FL.filter_hidden(x, root="/.cache/r")) == ["/.cache/r/Node_Modules/d", "/.cache/r/a", "/.cache/r/node_modules/e"]
+    assert "/.cache/r/f" in paths(FL.filter_excluded(x, [".cache", "node_modules"], root="/.cache/r"))
+    assert paths(FL.filter_excluded(x, [".cache", "node_modules"], root="/.cache/r").filter("path like '%odules%'")) == ["/.cache/r/Node_Modules/d"]
+
+
+def test_differences_by_any_column(spark):
+    x = inv(spark, [("/a", 1), ("/b", 1), ("/c", 1)])
+    y = x.withColumn("nlink", F.when(F.col("path") == "/a", 2).otherwise(F.col("nlink"))).withColumn("is_readable", F.col("path") != "/b")
+    assert [tuple(r) for r in I.snapshot_diff(x, y).orderBy("path").collect()] == [("/a", "modified"), ("/b", "modified")]
+    at = lambda us: F.lit(f"2024-01-01 00:00:00.{us:06d}").cast("timestamp_ntz")
+    old = x.withColumn("identity", F.lit("i")).withColumn("modified_at", at(5))
+    new = old.withColumn("modified_at", F.when(F.col("path") == "/a", at(6)).when(F.col("path") == "/b", at(7)).otherwise(at(5)))
+    assert [tuple(r) for r in V.changed_targets(old, new).collect()] == [("/b", "changed")]
+
+
+def test_children_are_files_and_directories(spark):
+    x = inv(spark, [("/r/a", 5), ("/r/d/b", 4), ("/r/d/c", 4)])
+    tree = T.dir_rollup(x).select("path", P.base_name(F.col("path")).alias("name"), "size").unionByName(x.select("path", "name", P.display_size().alias("size"))).withColumn("parent_path", P.parent_path(F.col("path")))
+    assert [r["path"] for r in T.top_children(tree.filter("parent_path = '/r'"), 2).orderBy("rank").collect()] == ["/r/d", "/r/a"]
+
+
+def test_listings_of_other_formats(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("where,bytes,kind\n/a/b/,7,file\n/a/c.txt,9,file\n")
+    (tmp_path / "x.json").write_text('{"where": "/a/b", "bytes": 7, "kind": "file"}\n{"where": "/a/c.txt", "bytes": 9, "kind": "file"}\n')
+    for fmt in ("csv", "json"):
+        got = S.read_inventory(spark, f"file://{tmp_path}/x.{fmt}", fmt, {"path": "where", "byte_size": "bytes"}, schema="where string, bytes bigint, kind string")
+        assert sorted((r["path"], r["name"], r["parent_path"], r["byte_size"], r["allocated_size"]) for r in got.collect()) == [("/a/b", "b", "/a", 7, 7), ("/a/c.txt", "c.txt", "/a", 9, 9)]
+    assert S.read_inventory(spark, f"file://{tmp_path}/x.csv", "csv", {"path": "where", "byte_size": "bytes"}, schema="where string, bytes bigint, kind string").columns == [f.name for f in S.SCHEMA]
+
+
+def test_digest_cache(spark, tmp_path):
+    cols = S.CACHE_SCHEMA
+    old = spark.createDataFrame([("/a", 1, None, "i", None, "p", 64), ("/b", 1, None, "j", "x", None, None), ("/c", 1, None, "k", "z", None, None)], cols)
+    new = spark.createDataFrame([("/a", 1, None, "i", "full", None, None), ("/b", 2, None, "other", None, "q", 64), ("/d", 1, None, "l", "w", None, None)], cols)
+    both = D.record_checksums(old, new).select(*old.columns)
+    name = S.save_checksum_cache(both, f"file://{tmp_path}/cache")
+    read, readable = S.load_checksum_cache(spark, name)
+    assert readable and {r["path"]: (r["checksum"], r["prefix_checksum"]) for r in read.collect()} == {"/a": ("full", "p"), "/b": (None, "q"), "/c": ("z", None), "/d": ("w", None)}
+    missing, readable = S.load_checksum_cache(spark, f"file://{tmp_path}/none")
+    assert not readable and missing.count() == 0
+
+
+def test_synthetic_inventory(spark):
+    x = S.synthetic_inventory(spark, 2000)
+    assert x.count() == 2000 and x.select("path").distinct().count() == 2000
+    assert x.groupBy("seed").agg(F.count("*").alias("n"), F.count_distinct("byte_size").alias("sizes")).filter("n = 2 AND sizes = 1").count() == 100
+
+
+def test_large_sides_are_joined_by_key(spark, monkeypatch):
+    from stocktake.operators import joins
+
+    rows = [(f"/d/{k}", k % 5 + 1, "abcdef"[k % 3] * (k % 5 + 1)) for k in range(60)]
+    x = inv(spark, [r[:2] for r in rows])
+    contents = spark.createDataFrame([(p, c.encode()) for p, _, c in rows], "path string, content binary")
+    want = sorted(map(tuple, D.verified_members(x, contents, 2).collect()))
+    assert len(want) == 60
+    monkeypatch.setattr(joins, "FEW_ROWS", 3)
+    assert sorted(map(tuple, D.verified_members(x, contents, 2).collect())) == want
+
+
 def test_cleanup_kinds(spark):
     rows = [("/Caches", "folder"), ("/DerivedData", "folder"), ("/a.zip", "file"), ("/b.dmg", "file"), ("/c.tmp", "file"), ("/keep.txt", "file"), ("/d~", "file"), ("/e.pkg", "file")]
     x = spark.createDataFrame([(p, p[1:], k, 10) for p, k in rows], "path string, name string, kind string, size bigint").withColumn("modified_at", F.lit(None).cast("timestamp_ntz"))
@@ -111,7 +174,10 @@ def test_cache_needs_the_whole_identity(spark):
     cols = "path string, byte_size bigint, modified_at timestamp_ntz, identity string"
     files = spark.createDataFrame([("/a", 1, None, "i"), ("/b", 1, None, None), ("/c", 2, None, "k")], cols)
     cache = spark.createDataFrame([("/a", 1, None, "i", "x"), ("/b", 1, None, None, "y"), ("/c", 1, None, "k", "z")], cols + ", checksum string")
-    assert {r["path"]: r["checksum"] for r in D.cached_checksums(files, cache).collect()} == {"/a": "x", "/b": None, "/c": None}
+    assert {r["path"]: r["checksum"] for r in D.cached_checksums(files, cache).collect()} == {"/a": "x", "/b": "y", "/c": None}  # two unknown identities agree
+    assert D.cache_counters(D.cached_checksums(files, cache)).first().asDict() == {"hits": 2, "misses": 1}
+    wide = cache.withColumn("prefix_checksum", F.lit("p")).withColumn("prefix_bytes", F.when(F.col("path") == "/a", 64).otherwise(32))
+    assert {r["path"]: r["prefix_checksum"] for r in D.cached_checksums(files, wide, 64).collect()} == {"/a": "p", "/b": None, "/c": None}
 
 
 def test_splice_of_a_difference_is_the_new_inventory(spark):
@@ -145,8 +211,53 @@ def test_streams(spark):
     x.write.parquet(f"{base}/inv")
     q = live.live_largest(live.stream_inventory(spark, f"{base}/inv"), f"{base}/top", f"{base}/cp1", k=2)
     q.awaitTermination(60)
-    assert paths(spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/top")) == ["/a/x.mov", "/a/y.mov"]
+    assert paths(spark.read.parquet(f"{base}/top")) == ["/a/x.mov", "/a/y.mov"]
+    inv(spark, [("/c/w.mov", 6), ("/a/x.mov", 5)]).write.mode("append").parquet(f"{base}/inv")
+    live.live_largest(live.stream_inventory(spark, f"{base}/inv"), f"{base}/top", f"{base}/cp1", k=2).awaitTermination(60)  # a new query from the checkpoint
+    assert paths(spark.read.parquet(f"{base}/top").filter("batch = 1")) == ["/a/y.mov", "/c/w.mov"]
+    for view, want in ((live.live_types, {(".mov", 4), (".txt", 1)}), (live.live_summary, {(5, 0)})):
+        q = live.live_progress(live.stream_inventory(spark, f"{base}/inv"), view.__name__, f"{base}/{view.__name__}", view=view)
+        q.processAllAvailable()
+        got = spark.table(view.__name__)
+        assert {tuple(r) for r in (got.select("label", "file_count") if "label" in got.columns else got.select("scanned_items", "inaccessible_count")).collect()} == want
+        q.stop()
     spark.sql("SELECT 1L AS event_id, timestamp_ntz'2024-01-01 00:00:00' AS ts, '/a/x.mov' AS path, 'modify' AS change_type").write.parquet(f"{base}/log")
     q = live.stream_dirty(S.read_changes(spark, f"{base}/log"), T.directories(x), f"{base}/dirty", f"{base}/cp2")
     q.awaitTermination(60)
     assert paths(spark.read.parquet(f"{base}/dirty/batch-00000000")) == ["/a"]
+
+
+def log(spark, folder, rows):
+    spark.createDataFrame(rows, "event_id bigint, path string, change_type string").selectExpr("event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, event_id) AS ts", "path", "change_type").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_refresh_of_a_snapshot(spark, tmp_path):
+    base, expect = f"file://{tmp_path}", {"root": "/", "volume": "v", "options": "o"}
+    state = {"now": inv(spark, [("/a/x", 1), ("/b/y", 2), ("/c/z", 3)]), "asked": []}
+
+    def listing(dirty):
+        state["asked"].append(None if dirty is None else paths(dirty))
+        return state["now"]
+
+    def step(rows, **options):
+        log(spark, f"{base}/log", rows)
+        live.refresh_snapshot(S.read_changes(spark, f"{base}/log"), listing, f"{base}/snap", expect, f"{base}/cp", **options).awaitTermination(60)
+        last = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/snap/results").orderBy(F.desc("batch")).first()
+        return last["result"], last["reason"], last["dirty_count"], sorted(map(tuple, S.load_snapshot(spark, f"{base}/snap", expect)[0].select("path", "byte_size").collect()))
+
+    first = [("/a/x", 1), ("/b/y", 2), ("/c/z", 3)]
+    assert step([(1, "/a/x", "create")]) == ("full", "missing", 0, first)
+    assert step([(2, "/a/x", "noop")]) == ("unchanged", None, 0, first)
+    state["now"] = inv(spark, [("/a/x", 9), ("/b/y", 8), ("/c/z", 3)])
+    assert step([(3, "/a/x", "modify")]) == ("incremental", None, 1, [("/a/x", 9), ("/b/y", 2), ("/c/z", 3)])
+    assert step([(4, "/a/x", "modify"), (5, "/c/z", "modify")], most_dirty=1) == ("full", "too_many_dirty", 2, [("/a/x", 9), ("/b/y", 8), ("/c/z", 3)])
+    assert step([(6, "/", "dropped")])[:2] == ("full", "history")
+    assert state["asked"] == [None, ["/a"], None, None]
+
+
+def test_dedupe_stream(spark, tmp_path):
+    log(spark, f"file://{tmp_path}/log", [(1, "/a", "create"), (2, "/a", "modify"), (3, "/b", "modify")])
+    q = (I.dedupe_stream(S.read_changes(spark, f"file://{tmp_path}/log")).select("path").writeStream.format("parquet").option("path", f"file://{tmp_path}/out")
+         .option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start())
+    q.awaitTermination(60)
+    assert paths(spark.read.parquet(f"file://{tmp_path}/out")) == ["/a", "/b"]
