@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stocktake.llm.graph import components
 from stocktake.llm.shared import joined, shuffle_width, written
-from stocktake.llm.textops import Text, chunks, mix, shingle_sets
+from stocktake.llm.textops import Text, chunks, mix, release, shingle_sets
 
 #: Similarity of at least PERCENT / 100.
 PERCENT = 75
@@ -271,6 +271,8 @@ def _meet(group: pa.Table) -> pa.Table:
     order = np.argsort(q, kind="stable")
     rows, q = rows[order], q[order]
     edges = np.flatnonzero(np.diff(q, prepend=-1))
+    del nodes, least, counts, keys, members, owner, leader
+    release()
     return pa.table({"q": pa.array(q[edges]), "rows": pa.array([rows[lo:hi].tobytes() for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(q)])], pa.binary())})
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stocktake.llm.shared import written
+from stocktake.llm.textops import release
 from stocktake.llm.tokens import CACHE, encoder
 
 LENGTH = 4096
@@ -162,7 +163,7 @@ def pieces_of(docs: DataFrame, path: str, spaced: bool, end_id: int | None, leng
                     yield _batch(rows, with_ids)
                     rows = []
             yield _batch(rows, with_ids)
-            pa.default_memory_pool().release_unused()
+            release()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 

@@ -6,6 +6,7 @@ alike by ``[^\\x20\\x09-\\x0D]+``. Word identity is a 64-bit polynomial hash of
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,6 +56,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give unused memory back to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about CHUNK_BYTES of text each; one row is never cut."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -63,7 +74,7 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
         if hi > lo:
             yield batch.slice(lo, hi - lo)
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 class Text:
