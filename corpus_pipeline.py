@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in sequences of 4096 tokens; a null or empty text is its end id, repeated rows are packed as often as they occur."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), cache=150_000)
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), cache=60_000)
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("secret scan", secret_scan), ("mixing", mix_sources), ("packing", pack_sequences)]
