@@ -64,6 +64,24 @@ def reclaim_plan(candidates: DataFrame, inaccessible: DataFrame) -> DataFrame:
     return lane("verified", 1, verified).unionByName(lane("review", 2, ~verified)).unionByName(gaps).filter("item_count > 0")
 
 
+#: What a section of the plan asks for.
+ACTIONS = {"verified": "review_verified_copies", "review": "review_suggestions", "access_gaps": "inspect_unreadable"}
+
+
+def reclaim_plan_present(candidates: DataFrame, inaccessible: DataFrame, present: DataFrame) -> DataFrame:
+    """``reclaim_plan`` of those candidates whose path is present, collapsed before they are divided into lanes.
+
+    present: path, one row each. Every row carries its section's action, whether that is the plan's
+    primary action (its first section's), and how many candidates are missing. An empty plan has no row.
+    """
+    known = kept(candidates.hint("merge").join(present.select("path", F.lit(True).alias("there")), "path", "left"))
+    missing = known.agg(F.count_if(F.col("there").isNull()).alias("missing_count"))
+    plan = reclaim_plan(top_level(known.filter("there").drop("there")), inaccessible)
+    first = plan.agg(F.min("section_order").alias("first"))
+    return (plan.crossJoin(F.broadcast(missing)).crossJoin(F.broadcast(first))  # one row each
+            .select("section_order", "section", "item_count", "reclaimable_bytes", L.literal_map(ACTIONS)[F.col("section")].alias("action"), (F.col("section_order") == F.col("first")).alias("is_primary"), "missing_count"))
+
+
 def review_summary(candidates: DataFrame) -> DataFrame:
     top = top_level(candidates)
     verified = F.col("candidate_kind") == "verifiedDuplicate"

@@ -88,13 +88,21 @@ def sort_items(items: DataFrame, by: str, k: int | None) -> DataFrame:
     return ranked_whole(keyed, *order) if k is None else ranked(keyed, k, *order)
 
 
-def item_query(base: DataFrame, query: str = "", least: int = 0, extension: str | None = None, by: str = "size", k: int = 500) -> DataFrame:
-    """A base list under size, search and type filters, sorted."""
-    from stocktake.operators.filters import filter_file_type, filter_size, search_items
+#: Base lists whose rows have file extensions; the type filter leaves the others as they are.
+TYPED_VIEWS = ("files", "old_files", "duplicates")
 
-    items = search_items(filter_size(base, least), query)
-    items = filter_file_type(items, extension) if extension is not None else items
-    return sort_items(items.withColumn("size", P.display_size()), by, k)
+
+def item_query(base: DataFrame, query: str = "", least: int = 0, extension: str | None = None, by: str = "size", k: int | None = 500, view: str = "files") -> DataFrame:
+    """A base list (files, folders, old_files, candidates or duplicates) under size, search and type filters, sorted.
+
+    base: path, name, kind, modified_at, and size or the two sizes that it follows from.
+    """
+    from stocktake.operators.filters import filter_file_type, search_items
+
+    items = base if "size" in base.columns else base.withColumn("size", P.display_size())
+    items = search_items(items.filter(F.col("size") >= least), query)
+    items = filter_file_type(items, extension) if extension is not None and view in TYPED_VIEWS else items
+    return sort_items(items, by, k)
 
 
 def size_share(df: DataFrame) -> DataFrame:
@@ -124,3 +132,17 @@ def redact_names(inv: DataFrame, k: int | None) -> DataFrame:
 def redact_tokens(inv: DataFrame, salt: str) -> DataFrame:
     """Placeholders for a whole table, without a global order: a salted digest of the path."""
     return inv.select("path", F.concat(F.lit("File "), F.substring(F.sha2(F.concat(F.lit(salt), F.col("path")), 256), 1, 12)).alias("redacted"))
+
+
+def redact_tree(entries: DataFrame) -> DataFrame:
+    """(path, redacted, redacted_path) of all entries (path, name, kind, parent_path): ``Folder n`` or ``File n.ext``, and ``…/Folder m/`` of the parent before it.
+
+    Paths, parents included, are numbered once in path order; the extension keeps its case.
+    """
+    numbers = kept(ranked_whole(entries.select("path").union(entries.select("parent_path").filter("parent_path is not null")).distinct(), F.asc("path")))
+    own = numbers.select("path", F.col("rank").cast("string").alias("n"))
+    above = numbers.select(F.col("path").alias("parent_path"), F.concat(F.lit("…/Folder "), F.col("rank").cast("string"), F.lit("/")).alias("above"))
+    ext = F.regexp_extract("name", r"^.+\.([^./]+)$", 1)
+    label = F.when(P.is_container(F.col("kind")), F.concat(F.lit("Folder "), "n")).otherwise(F.concat(F.lit("File "), "n", F.when(ext != "", F.concat(F.lit("."), ext)).otherwise("")))
+    both = entries.select("path", "name", "kind", "parent_path").hint("merge").join(own, "path").hint("merge").join(above, "parent_path", "left")
+    return both.select("path", label.alias("redacted"), F.concat(F.coalesce("above", F.lit("")), label).alias("redacted_path"))

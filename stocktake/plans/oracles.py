@@ -61,6 +61,7 @@ CTES = {
     "folders": (("rollup",), f"SELECT path, CASE WHEN path = '/' THEN '/' ELSE {base('path')} END AS name, size, {parent('path')} AS parent_path FROM rollup"),
     "nodes": (("folders", "inv"), "SELECT path, name, 'folder' AS kind, size, CAST(NULL AS TIMESTAMP) AS modified_at, parent_path FROM folders UNION ALL SELECT path, name, kind, size, modified_at, parent_path FROM inv"),
     "tree": (("nodes",), "SELECT path, any_value(name) AS name, CAST(sum(size) AS BIGINT) AS size FROM nodes GROUP BY path"),
+    "numbered": (("nodes",), "SELECT path, row_number() OVER (ORDER BY path) AS n FROM (SELECT path FROM nodes UNION SELECT parent_path FROM nodes WHERE parent_path IS NOT NULL)"),
     "types": (("inv",), f"SELECT coalesce('.' || ext, 'No Extension') AS label, {category('ext')} AS category, count(*) AS file_count, CAST(sum(size) AS BIGINT) AS total_bytes FROM inv GROUP BY 1, 2"),
     "doc": ((), "SELECT '/corpus/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/doc-' || doc_id || (['.txt', '.md', '.csv', ''])[CAST(doc_id % 4 AS INT) + 1] AS path, 'doc-' || doc_id || (['.txt', '.md', '.csv', ''])[CAST(doc_id % 4 AS INT) + 1] AS name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS byte_size, CASE WHEN doc_id % 97 = 0 THEN 2 ELSE 1 END AS nlink, TIMESTAMP '2000-01-01' + to_days(CAST(doc_id % 900 AS INT)) AS modified_at, doc_id, coalesce(text, '') AS text FROM documents"),
     "cand": (("doc",), "SELECT * FROM doc WHERE nlink <= 1"),
@@ -78,6 +79,8 @@ CTES = {
     "nested": (("selup",), "SELECT path, max_by(above, length(above)) AS ancestor FROM selup WHERE above IN (SELECT path FROM sel) GROUP BY path"),
     "ident": (("doc",), "SELECT *, CASE WHEN nlink = 1 THEN 'disk0:' || doc_id || ':' || strftime(modified_at, '%Y-%m-%d %H:%M:%S') || ':2000-01-01 00:00:00' END AS identity FROM doc"),
     "cache": (("ident",), "SELECT path, doc_id, CASE WHEN doc_id % 5 = 0 THEN byte_size + 1 ELSE byte_size END AS byte_size, modified_at, identity, sha256(text) AS checksum FROM ident WHERE doc_id % 4 <> 0"),
+    "now": (("snap_b", "doc", "dirs"), "SELECT path FROM snap_b UNION SELECT path FROM doc UNION SELECT path FROM dirs"),
+    "live": (("cands", "now"), "SELECT * FROM cands WHERE path IN (SELECT path FROM now)"),
     "chg": (("where_",), "SELECT event_id, ts, dir AS path, CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'modify' WHEN 'purchase' THEN 'delete' WHEN 'error' THEN 'dropped' WHEN 'view' THEN 'noop' END AS change_type FROM events JOIN where_ ON user_id % (SELECT count(*) FROM supplier) = s_suppkey"),
     "snap_a": (("inv",), "SELECT path, byte_size, allocated_size, modified_at FROM inv WHERE k % 10 <> 0"),
     "snap_b": (("inv",), "SELECT path, CASE WHEN k % 10 = 2 THEN byte_size + 1 ELSE byte_size END AS byte_size, allocated_size, modified_at FROM inv WHERE k % 10 <> 1"),
@@ -134,6 +137,10 @@ ORACLE_SQL = {
     "prefix_sha256": sql("SELECT path, sha256(encode(text)[1:1024]) AS checksum FROM doc", "doc"),
     "file_identity": sql("SELECT path, identity FROM ident", "ident"),
     "redact_names": sql("SELECT path, 'File ' || row_number() OVER (ORDER BY path) || coalesce('.' || ext, '') AS redacted FROM inv ORDER BY path LIMIT 500", "inv"),
+    "redact_tree": sql(
+        """SELECT path, label AS redacted, coalesce('…/Folder ' || m || '/', '') || label AS redacted_path FROM (
+        SELECT t.path, o.n, a.n AS m, CASE WHEN t.kind = 'folder' THEN 'Folder ' || o.n ELSE 'File ' || o.n || coalesce('.' || nullif(regexp_extract(t.name, '^.+\\.([^./]+)$', 1), ''), '') END AS label
+        FROM nodes t JOIN numbered o ON o.path = t.path LEFT JOIN numbered a ON a.path = t.parent_path)""", "nodes", "numbered"),
     "redact_names_whole": sql("SELECT path, 'File ' || row_number() OVER (ORDER BY path) || coalesce('.' || ext, '') AS redacted FROM inv", "inv"),
     "redact_tokens": sql("SELECT path, 'File ' || substr(sha256('stocktake' || path), 1, 12) AS redacted FROM inv", "inv"),
     "size_share": sql("SELECT path, CAST(floor(least(greatest(size / greatest(max(size) OVER (), 1), 0.0), 1.0) * 1000000) AS BIGINT) AS share_ppm FROM (SELECT path, size FROM rollup WHERE path <> '/' ORDER BY size DESC, path LIMIT 100)", "rollup"),
@@ -176,6 +183,12 @@ ORACLE_SQL = {
     "reclaim_total": sql(f"SELECT {TOTAL} FROM candtop", "candtop"),
     "verified_reclaim_total": sql("SELECT CAST(sum(reclaimable_bytes) AS BIGINT) AS reclaimable_bytes FROM vgroups WHERE byte_size >= 500", "vgroups"),
     "reclaim_plan": sql(f"SELECT * FROM ({_lane(1, 'verified', 'candidate_kind = ' + chr(39) + 'verifiedDuplicate' + chr(39))} UNION ALL {_lane(2, 'review', 'candidate_kind <> ' + chr(39) + 'verifiedDuplicate' + chr(39))} UNION ALL SELECT 3, 'access_gaps', count_if(byte_size % 1000 = 0), CAST(0 AS BIGINT) FROM inv) WHERE item_count > 0", "cands", "inv"),
+    "reclaim_plan_present": sql(
+        f"""SELECT *, CASE section WHEN 'verified' THEN 'review_verified_copies' WHEN 'review' THEN 'review_suggestions' ELSE 'inspect_unreadable' END AS action,
+        section_order = min(section_order) OVER () AS is_primary, (SELECT count(*) FROM cands WHERE path NOT IN (SELECT path FROM now)) AS missing_count
+        FROM (SELECT CASE WHEN candidate_kind = 'verifiedDuplicate' THEN 1 ELSE 2 END AS section_order, CASE WHEN candidate_kind = 'verifiedDuplicate' THEN 'verified' ELSE 'review' END AS section, {TOTAL}
+              FROM live l WHERE NOT EXISTS (SELECT 1 FROM (SELECT path, unnest({anc('path')}) AS above FROM live) u JOIN live x ON x.path = u.above WHERE u.path = l.path) GROUP BY 1, 2
+              UNION ALL SELECT 3, 'access_gaps', count_if(byte_size % 1000 = 0), CAST(0 AS BIGINT) FROM inv) WHERE item_count > 0""", "live", "inv"),
     "review_summary": sql(f"SELECT {TOTAL}, count_if(candidate_kind = 'verifiedDuplicate') AS verified_count, count_if(candidate_kind <> 'verifiedDuplicate') AS review_count, coalesce(bool_or(confidence = 'review'), false) AS has_review_risk FROM candtop", "candtop"),
     "largest_files": sql("SELECT path, size, CAST(row_number() OVER (ORDER BY size DESC, path) AS INT) AS rank FROM inv ORDER BY size DESC, path LIMIT 500", "inv"),
     "largest_folders": sql("SELECT path, size, CAST(row_number() OVER (ORDER BY size DESC, path) AS INT) AS rank FROM rollup WHERE path <> '/' ORDER BY size DESC, path LIMIT 500", "rollup"),
@@ -191,6 +204,10 @@ ORACLE_SQL = {
     "cleanup_candidates": sql(f"SELECT candidate_id, confidence, reclaimable_bytes, CAST(row_number() OVER (ORDER BY {RANK}, reclaimable_bytes DESC, {nat('name')}, path) AS INT) AS rank FROM cands ORDER BY rank LIMIT 500", "cands"),
     "top_children": sql("SELECT path, CAST(row_number() OVER (PARTITION BY parent_path ORDER BY size DESC, name, path) AS INT) AS rank FROM nodes WHERE path <> '/' QUALIFY rank <= 20", "nodes"),
     "overview_children": sql("SELECT path, size, CAST(row_number() OVER (ORDER BY size DESC, name) AS INT) AS rank FROM folders WHERE parent_path = '/' ORDER BY rank LIMIT 12", "folders"),
+    "item_query_folders": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY {nat('name')}, path) AS INT) AS rank FROM (SELECT * FROM folders WHERE path <> '/' ORDER BY size DESC, path LIMIT 500) WHERE size >= 100000 AND contains(lower(path), 'asia')", "folders"),
+    "item_query_old_files": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY modified_at, path) AS INT) AS rank FROM (SELECT * FROM inv WHERE size >= 40000 AND modified_at <= {AS_OF} - INTERVAL 180 DAY ORDER BY size DESC, path LIMIT 500) WHERE size >= 45000 AND contains(lower(path), 'li-') AND ext = 'zip'", "inv"),
+    "item_query_candidates": sql(f"SELECT path, row_number() OVER (ORDER BY size DESC, {nat('name')}, path) AS rank FROM cands WHERE candidate_kind <> 'verifiedDuplicate' AND size >= 20000 AND contains(lower(path), 'europe')", "cands"),
+    "item_query_duplicates": sql("SELECT path, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, path) AS rank FROM doc WHERE path IN (SELECT path FROM members) AND byte_size >= 100 AND contains(path, 'corpus') AND name LIKE '%.txt'", "doc", "members"),
     "item_query": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY size DESC, {nat('name')}, path) AS INT) AS rank FROM inv WHERE size >= 10000 AND contains(lower(path), 'europe') AND contains(lower(path), 'documents') AND ext = 'pdf' ORDER BY rank LIMIT 500", "inv"),
     "preorder": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY key) AS INT) AS rank FROM (SELECT u.path, list({{'s': -f.size, 'n': f.name}} ORDER BY length(u.above)) AS key FROM (SELECT path, unnest({self_anc('path')}) AS above FROM folders) u JOIN folders f ON f.path = u.above GROUP BY u.path) ORDER BY rank LIMIT 1000", "folders"),
     "preorder_whole": sql(f"SELECT path, row_number() OVER (ORDER BY key) AS rank FROM (SELECT u.path, list({{'s': -f.size, 'n': f.name}} ORDER BY length(u.above)) AS key FROM (SELECT path, unnest({self_anc('path')}) AS above FROM tree) u JOIN tree f ON f.path = u.above GROUP BY u.path)", "tree"),

@@ -225,6 +225,11 @@ def redact_names_whole(spark, d):
     return R.redact_names(items(spark, d), None)
 
 
+@query
+def redact_tree(spark, d):
+    return R.redact_tree(nodes(spark, d))
+
+
 @query
 def redact_tokens(spark, d):
     return R.redact_tokens(items(spark, d), "stocktake")
@@ -449,6 +454,14 @@ def reclaim_plan(spark, d):
     return C.reclaim_plan(candidates(spark, d), gaps)
 
 
+@query
+def reclaim_plan_present(spark, d):
+    """Present is what the later snapshot and the documents hold."""
+    now = snapshots(spark, d)[1].select("path").union(docs(spark, d, False).select("path")).union(T.directories(items(spark, d)).select("path")).distinct()
+    gaps = items(spark, d).agg(F.count_if(F.col("byte_size") % 1000 == 0).alias("n"))
+    return C.reclaim_plan_present(candidates(spark, d), gaps, now)
+
+
 @query
 def review_summary(spark, d):
     return C.review_summary(candidates(spark, d))
@@ -531,6 +544,32 @@ def item_query(spark, d):
     return R.item_query(items(spark, d), "europe documents", 10_000, "pdf", "size", 500).select("path", "rank")
 
 
+@query
+def item_query_folders(spark, d):
+    rows = folders(spark, d).withColumn("kind", F.lit("folder")).withColumn("modified_at", F.lit(None).cast("timestamp_ntz"))
+    base = R.ranked(FL.exclude_root(rows, "/"), 500, F.desc("size"), F.asc("path")).drop("rank")
+    return R.item_query(base, "asia", 100_000, "pdf", "name", view="folders").select("path", "rank")
+
+
+@query
+def item_query_old_files(spark, d):
+    base = R.old_large_files(items(spark, d), AS_OF, 180, LARGE, 500).drop("rank").withColumn("name", P.base_name(F.col("path"))).withColumn("kind", F.lit("file"))
+    return R.item_query(base, "li-", 45_000, "zip", "oldest", view="old_files").select("path", "rank")
+
+
+@query
+def item_query_candidates(spark, d):
+    base = FL.filter_lane(candidates(spark, d), "suggestions").withColumn("kind", F.lit("file")).withColumn("modified_at", F.lit(None).cast("timestamp_ntz"))
+    return R.item_query(base, "europe", 20_000, "pdf", "size", None, view="candidates").select("path", "rank")
+
+
+@query
+def item_query_duplicates(spark, d):
+    times = docs(spark, d, False).select("path", "name", "kind", "modified_at", P.display_size().alias("size"))
+    base = times.hint("merge").join(members(spark, d).select("path").distinct(), "path", "left_semi")
+    return R.item_query(base, "corpus", 100, "txt", "newest", None, view="duplicates").select("path", "rank")
+
+
 @query
 def preorder(spark, d):
     keyed = T.with_sort_key(folders(spark, d))

@@ -54,6 +54,34 @@ def test_rollup_counts(spark):
     assert got == {"/": (7, 1, 6), "/a": (7, 2, 5), "/a/b": (3, 2, 3), "/a/b/c": (1, 1, 1)}
 
 
+def entries(spark, rows):
+    """rows: (path, kind, size)."""
+    return spark.createDataFrame(rows, "path string, kind string, size bigint").withColumn("name", P.base_name(F.col("path"))).withColumn("parent_path", P.parent_path(F.col("path"))).withColumn("modified_at", F.lit(None).cast("timestamp_ntz"))
+
+
+def test_item_query_of_views(spark):
+    x = entries(spark, [("/a/d10", "folder", 9), ("/a/d9", "folder", 9), ("/a/x.PDF", "file", 7), ("/a/y", "file", 7), ("/b/z.pdf", "file", 1)])
+    ask = lambda view, **how: [r["path"] for r in R.item_query(x, "a", 5, view=view, **how).orderBy("rank").collect()]
+    assert ask("folders", extension="pdf", by="name") == ["/a/d9", "/a/d10", "/a/x.PDF", "/a/y"]
+    assert ask("duplicates", extension="pdf") == ["/a/x.PDF"] and ask("old_files", extension="") == ["/a/y"]
+    assert ask("files", k=2) == ask("files", k=None)[:2]
+
+
+def test_redacted_tree(spark):
+    x = entries(spark, [("/", "folder", 3), ("/a", "folder", 3), ("/a/b.tar.GZ", "file", 1), ("/a/b.tar.GZ", "file", 2), ("/c/.rc", "file", 0)])
+    got = sorted(map(tuple, R.redact_tree(x).collect()))
+    assert got == [("/", "Folder 1", "Folder 1"), ("/a", "Folder 2", "…/Folder 1/Folder 2"), *[("/a/b.tar.GZ", "File 3.GZ", "…/Folder 2/File 3.GZ")] * 2, ("/c/.rc", "File 5", "…/Folder 4/File 5")]
+    assert R.redact_tree(x.limit(0)).count() == 0
+
+
+def test_plan_of_present_candidates(spark):
+    c = spark.createDataFrame([("/a", "cacheFolder", 5), ("/a/x", "verifiedDuplicate", 2), ("/b/y", "verifiedDuplicate", 3), ("/gone", "archive", 9)], "path string, candidate_kind string, reclaimable_bytes bigint")
+    here = spark.createDataFrame([("/a",), ("/a/x",), ("/b/y",)], "path string")
+    plan = lambda candidates, n: [tuple(r) for r in C.reclaim_plan_present(candidates, spark.range(n).agg(F.count("*").alias("n")), here).orderBy("section_order").collect()]
+    assert plan(c, 2) == [(1, "verified", 1, 3, "review_verified_copies", True, 1), (2, "review", 1, 5, "review_suggestions", False, 1), (3, "access_gaps", 2, 0, "inspect_unreadable", False, 1)]
+    assert plan(c.limit(0), 2) == [(3, "access_gaps", 2, 0, "inspect_unreadable", True, 0)] and plan(c.limit(0), 0) == []
+
+
 def test_extensions(spark):
     names = [".bashrc", "a.tar.gz", "b", "C.JPG", "d."]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(P.file_extension(F.col("n"))).collect()
