@@ -13,6 +13,7 @@ of one digest go round again under a longer, salted digest, until all that share
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,8 +24,25 @@ from stocktake.llm.shared import joined, scratch, written
 HOT_ONE_IN = 1000
 #: Hits of one digest that are compared in one task.
 SALT_ROWS = 2048
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, as changes after changes, in files that are no larger than what they hold: there is a store for each shuffle partition.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def _stored(spark: SparkSession):
+    """STORE holds inside."""
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def normalised(text: Column) -> Column:
@@ -54,19 +72,15 @@ def remember(spark: SparkSession, path: str, state: str, id_col: str = "doc_id",
     pattern = re.sub(r"([\w-])/*$", r"[\1]", path)  # a single file is no folder to list, but a pattern may match it
     arriving = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
     seen = _sighted(arriving, id_col, text_col).withColumn("digest", F.substring("sha", 1, digits)).groupBy("digest").agg(*_best())
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        query = seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(PROVIDER, before)
-    query.awaitTermination()
+    with _stored(spark):
+        seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 def remembered(spark: SparkSession, state: str) -> DataFrame:
-    """The state as a table: key, keep_id, keep_file, keep_row, n."""
+    """The state as a written table: key, keep_id, keep_file, keep_row, n."""
     best = F.col("value.min")
-    return spark.read.format("statestore").load(state).select(F.col("key.digest").alias("key"), best["doc_id"].alias("keep_id"), best["file"].alias("keep_file"), best["row"].alias("keep_row"), F.col("value.count").alias("n"))
+    with _stored(spark):
+        return written(spark.read.format("statestore").load(state).select(F.col("key.digest").alias("key"), best["doc_id"].alias("keep_id"), best["file"].alias("keep_file"), best["row"].alias("keep_row"), F.col("value.count").alias("n")), "dedup-groups")
 
 
 def _placed(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -103,7 +117,7 @@ def deduplicate(spark: SparkSession, path: str, state: str | None = None, id_col
     state = state or scratch(spark, "dedup-state")
     remember(spark, path, state, id_col, text_col, digits, files_per_batch)
     texts = _sighted(spark.read.parquet(path), id_col, text_col).withColumn("key", F.substring("sha", 1, digits))
-    groups = written(remembered(spark, state), "dedup-groups")
+    groups = remembered(spark, state)
     own = ["doc_id", "sha", "file", "row", "key"]
     placed, done, salt = _placed(written(texts.select(*own), "dedup-seen"), groups), [], 0
     while True:
