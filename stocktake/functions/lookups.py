@@ -28,6 +28,8 @@ ARCHIVES = tuple(CATEGORIES["Archives"].split())
 TEMPORARY = ("tmp", "temp", "bak", "old")
 OLD_LARGE_BYTES = 1_000_000_000
 CONFIDENCES = ("high", "medium", "review")
+# fixed values: how confidences are shown
+CONFIDENCE_LABELS = {"high": "Verified", "medium": "Review", "review": "Manual"}
 
 #: kind: (confidence, why it is listed, what could go wrong, what is safe, what to do)
 TRUST = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stocktake.functions import lookups as L, paths as P
+from stocktake.operators.duplicates import copies
 from stocktake.operators.joins import joined, kept
 from stocktake.operators.ranking import ranked
 from stocktake.operators.tree import top_level
@@ -31,10 +32,7 @@ def cleanup_candidates(entries: DataFrame, verified: DataFrame, as_of: str, root
     verified: path and checksum of verified duplicates; all but the first path of each group are
     candidates of their own and leave the rules. The entries are read once.
     """
-    verified = kept(verified.select("path", "checksum"))
-    first = kept(verified.groupBy("checksum").agg(F.min("path").alias("first")))
-    copies = kept(joined(verified, first, "checksum").filter("path <> first").select("path").distinct().withColumn("copy", F.lit(True)))
-    named = joined(entries, copies, "path", "left")
+    named = joined(entries, kept(copies(verified).withColumn("copy", F.lit(True))), "path", "left")
     kind = F.when(F.col("copy"), "verifiedDuplicate").when(F.col("path") != root, rule_kind(as_of, days, old_bytes))
     found, kind = named.withColumn("candidate_kind", kind).filter("candidate_kind is not null"), F.col("candidate_kind")
     return found.select(
@@ -48,16 +46,18 @@ def rank_candidates(candidates: DataFrame, k: int = 500) -> DataFrame:
 
 def trust_details(candidates: DataFrame) -> DataFrame:
     kind = F.col("candidate_kind")
-    return candidates.select("candidate_id", L.trust_field(kind, 1).alias("flagged_reason"), L.trust_field(kind, 0).alias("confidence_label"), L.trust_field(kind, 2).alias("could_break"), L.trust_field(kind, 3).alias("safety_note"), L.trust_field(kind, 4).alias("suggested_action"))
+    label = L.literal_map(L.CONFIDENCE_LABELS)[L.trust_field(kind, 0)]
+    return candidates.select("candidate_id", L.trust_field(kind, 1).alias("flagged_reason"), label.alias("confidence_label"), L.trust_field(kind, 2).alias("could_break"), L.trust_field(kind, 3).alias("safety_note"), L.trust_field(kind, 4).alias("suggested_action"))
 
 
 def reclaim_total(candidates: DataFrame) -> DataFrame:
     """Reclaimable bytes, nothing counted twice when its folder is listed too."""
-    return top_level(candidates).agg(F.count("*").alias("item_count"), F.coalesce(F.sum("reclaimable_bytes"), F.lit(0)).alias("reclaimable_bytes"))
+    return top_level(candidates.select("path", "reclaimable_bytes")).agg(F.count("*").alias("item_count"), F.coalesce(F.sum("reclaimable_bytes"), F.lit(0)).alias("reclaimable_bytes"))
 
 
 def reclaim_plan(candidates: DataFrame, inaccessible: DataFrame) -> DataFrame:
-    """Up to three sections in order: verified copies, suggestions to review, unreadable entries (one row: n)."""
+    """Up to three sections in order: verified copies, suggestions to review, unreadable entries (one row: n). The candidates are computed once."""
+    candidates = kept(candidates.select("path", "candidate_kind", "reclaimable_bytes"))
     lane = lambda name, order, cond: reclaim_total(candidates.filter(cond)).select(F.lit(order).alias("section_order"), F.lit(name).alias("section"), "item_count", "reclaimable_bytes")
     verified = F.col("candidate_kind") == "verifiedDuplicate"
     gaps = inaccessible.select(F.lit(3).alias("section_order"), F.lit("access_gaps").alias("section"), F.col("n").alias("item_count"), F.lit(0).cast("bigint").alias("reclaimable_bytes"))
@@ -74,7 +74,9 @@ def reclaim_plan_present(candidates: DataFrame, inaccessible: DataFrame, present
     present: path, one row each. Every row carries its section's action, whether that is the plan's
     primary action (its first section's), and how many candidates are missing. An empty plan has no row.
     """
-    known = kept(candidates.hint("merge").join(present.select("path", F.lit(True).alias("there")), "path", "left"))
+    candidates = kept(candidates.select("path", "candidate_kind", "reclaimable_bytes"))
+    there = kept(joined(present.select("path"), candidates.select("path"), "path", "left_semi").withColumn("there", F.lit(True)))
+    known = kept(joined(candidates, there, "path", "left"))
     missing = known.agg(F.count_if(F.col("there").isNull()).alias("missing_count"))
     plan = reclaim_plan(top_level(known.filter("there").drop("there")), inaccessible)
     first = plan.agg(F.min("section_order").alias("first"))
@@ -83,6 +85,6 @@ def reclaim_plan_present(candidates: DataFrame, inaccessible: DataFrame, present
 
 
 def review_summary(candidates: DataFrame) -> DataFrame:
-    top = top_level(candidates)
+    top = top_level(candidates.select("path", "candidate_kind", "reclaimable_bytes", "confidence"))
     verified = F.col("candidate_kind") == "verifiedDuplicate"
     return top.agg(F.count("*").alias("item_count"), F.coalesce(F.sum("reclaimable_bytes"), F.lit(0)).alias("reclaimable_bytes"), F.count_if(verified).alias("verified_count"), F.count_if(~verified).alias("review_count"), F.coalesce(F.bool_or(F.col("confidence") == "review"), F.lit(False)).alias("has_review_risk"))

@@ -58,6 +58,13 @@ def verified_groups(members: DataFrame) -> DataFrame:
         F.concat_ws("-", F.col("byte_size").cast("string"), "checksum").alias("group_id"), "byte_size", "checksum", "file_count", (F.col("byte_size") * (F.col("file_count") - 1)).alias("reclaimable_bytes"), "first_path")
 
 
+def copies(members: DataFrame) -> DataFrame:
+    """(path) of all members but the first path of each group."""
+    known = kept(members.select("path", "checksum"))
+    first = kept(known.groupBy("checksum").agg(F.min("path").alias("first")))
+    return joined(known, first, "checksum").filter("path <> first").select("path").distinct()
+
+
 def verification_cost(files: DataFrame, contents: DataFrame, prefix: int = 65_536) -> DataFrame:
     """One row: bytes the tiers read, bytes that hashing everything reads, files in either tier."""
     groups = _heads(files, contents, prefix).groupBy("byte_size", "head").agg(F.count("*").alias("n"))
@@ -66,21 +73,28 @@ def verification_cost(files: DataFrame, contents: DataFrame, prefix: int = 65_53
                       F.sum(F.col("n") * F.col("byte_size")).alias("naive_bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.coalesce(F.sum(F.when(again, F.col("n"))), F.lit(0)).alias("full_reads"))
 
 
-def budget_groups(groups: DataFrame, byte_limit: int, file_limit: int) -> DataFrame:
+def budget_groups(groups: DataFrame, byte_limit: int, file_limit: int, at_once: int = 1000) -> DataFrame:
     """Groups in order of gain that fit both budgets; one that does not fit is skipped and the walk goes on.
 
-    The walk is sequential by nature; it runs over one row a group. A group holds at least two files of
-    its size and sizes differ, so at most about the square root of the byte limit fit at all; callers that
-    set a very large limit cap the candidates first (``duplicate_candidates``).
+    The walk is sequential by nature. Each step asks for the first ``at_once`` groups behind the
+    last one taken that still fit by themselves, and takes of these what fits together; at least
+    the first does. A group holds two files or more, so there are at most ``file_limit`` / 2 steps
+    and groups taken, however many groups there are.
     """
     if byte_limit <= 0 or file_limit <= 0:
         return groups.limit(0)
-    item = F.struct((-F.col("reclaimable_bytes")).alias("gain"), (-F.col("byte_size")).alias("each"), F.col("byte_size").alias("size"), F.col("file_count").alias("n"), F.col("total_bytes").alias("total"))
-    walk = groups.filter((F.col("total_bytes") <= byte_limit) & (F.col("file_count") <= file_limit)).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    chosen = walk.select(F.expr(f"""aggregate(all, named_struct('bytes', 0L, 'files', 0L, 'sizes', cast(array() as array<bigint>)), (a, g) ->
-        if(a.bytes + g.total <= {byte_limit}L and a.files + g.n <= {file_limit}L,
-           named_struct('bytes', a.bytes + g.total, 'files', a.files + g.n, 'sizes', concat(a.sizes, array(g.size))), a)).sizes""").alias("sizes"))
-    return groups.hint("merge").join(chosen.select(F.explode("sizes").alias("byte_size")), "byte_size", "left_semi")
+    order = [F.desc("reclaimable_bytes"), F.desc("byte_size")]
+    known = kept(groups.select("byte_size", "reclaimable_bytes", "total_bytes", "file_count").filter((F.col("total_bytes") <= byte_limit) & (F.col("file_count") <= file_limit)))
+    behind, taken, bytes_left, files_left = F.lit(True), [], byte_limit, file_limit
+    while found := known.filter(behind & (F.col("total_bytes") <= bytes_left) & (F.col("file_count") <= files_left)).orderBy(*order).limit(at_once).collect():
+        for g in found:
+            if g["total_bytes"] <= bytes_left and g["file_count"] <= files_left:
+                taken.append((g["byte_size"],))
+                bytes_left, files_left = bytes_left - g["total_bytes"], files_left - g["file_count"]
+        last = found[-1]
+        behind = (F.col("reclaimable_bytes") < last["reclaimable_bytes"]) | (F.col("reclaimable_bytes") == last["reclaimable_bytes"]) & (F.col("byte_size") < last["byte_size"])
+    chosen = groups.sparkSession.createDataFrame(taken, "byte_size bigint")
+    return groups.join(F.broadcast(chosen), "byte_size", "left_semi")
 
 
 def unverified_groups(files: DataFrame, members: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stocktake.functions import paths as P
+from stocktake.operators.joins import joined, kept
 
 SIZE_PRESETS = {"all": 0, "100MB": 100_000_000, "1GB": 1_000_000_000, "10GB": 10_000_000_000}
 
@@ -67,9 +68,10 @@ def filter_lane(candidates: DataFrame, lane: str) -> DataFrame:
 
 
 def filter_candidates(candidates: DataFrame, query: str = "", size: str | int = 0, lane: str = "all", ignored: DataFrame | None = None) -> DataFrame:
+    """Candidates of a lane, from a size on (by either size), that match the query, without the ignored ones; a table of either kind may be large."""
     least = SIZE_PRESETS.get(size, size)
     out = filter_lane(candidates, lane).filter((F.col("reclaimable_bytes") >= least) | (F.col("size") >= least)).filter(matches(query, "name", "path", "reason", "candidate_kind"))
-    return out.join(ignored.select("candidate_id"), "candidate_id", "left_anti") if ignored is not None else out
+    return joined(out, kept(ignored.select("candidate_id").distinct()), "candidate_id", "left_anti") if ignored is not None else out
 
 
 def filter_types(types: DataFrame, query: str) -> DataFrame:

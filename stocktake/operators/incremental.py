@@ -4,15 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stocktake.functions import paths as P
+from stocktake.operators.joins import joined, kept
+
 MOST_DIRTY = 128
 
 
+def _fingerprint(compared: list[str]) -> list[Column]:
+    """Two 64-bit digests of a row's compared columns; which of them are null is part of either."""
+    empty = [F.col(c).isNull() for c in compared]
+    return [F.xxhash64(F.lit(seed), *compared, *empty).alias(name) for seed, name in ((1, "h1"), (2, "h2"))]
+
+
+def _by_directory(rows: DataFrame) -> DataFrame:
+    """(parent_path, n, d1, d2): a digest of each directory's entries, which does not depend on their order."""
+    total = lambda *of: F.sum(F.xxhash64(*of).cast("decimal(20,0)"))
+    return rows.groupBy("parent_path").agg(F.count("*").alias("n"), total("path", "h1").alias("d1"), total("h2", "path").alias("d2"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, change): added, removed or modified, by every column that both have."""
-    compared = [c for c in old.columns if c != "path" and c in new.columns]
-    side = lambda df, s: df.select("path", F.struct(*compared).alias(s))
-    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(~F.col("o").eqNullSafe(F.col("n")), "modified")
-    return side(old, "o").join(side(new, "n"), "path", "full_outer").select("path", change.alias("change")).filter("change is not null")
+    """(path, change): added, removed or modified, by every column that both have.
+
+    Directories whose entries have one digest on both sides are settled by it. Only entries of the
+    others are compared with one another, as path and digest: the shuffle follows the number of
+    directories and of entries in those that differ. Digests have 128 bits.
+    """
+    compared = sorted(c for c in old.columns if c != "path" and c in new.columns)
+    side = lambda df: df.select("path", F.coalesce(P.parent_path(F.col("path")), F.lit("")).alias("parent_path"), *_fingerprint(compared))
+    a, b = side(old), side(new)
+    digests = _by_directory(a).withColumn("side", F.lit(0)).unionByName(_by_directory(b).withColumn("side", F.lit(1)))
+    equal = (F.count("*") == 2) & (F.min("n") == F.max("n")) & (F.min("d1") == F.max("d1")) & (F.min("d2") == F.max("d2"))
+    differing = kept(digests.groupBy("parent_path").agg(equal.alias("equal")).filter("NOT equal").select("parent_path"))
+    left = joined(a, differing, "parent_path", "left_semi").select("path", F.struct("h1", "h2").alias("o"))
+    right = joined(b, differing, "parent_path", "left_semi").select("path", F.struct("h1", "h2").alias("n"))
+    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o") != F.col("n"), "modified")
+    return left.join(right, "path", "full_outer").select("path", change.alias("change")).filter("change IS NOT NULL")
 
 
 def trust_verify(incremental: DataFrame, full: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def few(df: DataFrame) -> bool:
-    """Whether a kept narrow table may be broadcast."""
-    return df.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    """Whether a kept narrow table may be broadcast. It is counted whole: a limit would first gather that many rows of every partition in one task."""
+    return df.count() <= FEW_ROWS
 
 
 def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:

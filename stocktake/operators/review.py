@@ -5,26 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stocktake.functions import paths as P
+from stocktake.operators.joins import joined, kept
 from stocktake.operators.tree import nested_pairs
 
 
 def missing_targets(requested: DataFrame, present: DataFrame) -> DataFrame:
-    return requested.select("path").distinct().join(present.select("path"), "path", "left_anti")
+    """Requested paths, each once, that are not present. The present ones do not move while the requested are few."""
+    asked = kept(requested.select("path").distinct())
+    there = kept(joined(present.select("path"), asked, "path", "left_semi").distinct())
+    return joined(asked, there, "path", "left_anti")
 
 
 def batch_preflight(requested: DataFrame, present: DataFrame) -> DataFrame:
-    """One row: repeated, missing and nested targets, and the first verdict in that order."""
+    """One row: repeated, missing and nested targets, and the first verdict in that order. The batch is computed once."""
+    requested = kept(requested.select("path"))
     counts = requested.agg((F.count("path") - F.count_distinct("path")).alias("duplicates"))
     missing = missing_targets(requested, present).agg(F.count("*").alias("missing"))
     nested = nested_pairs(requested).agg(F.count("*").alias("nested"))
     verdict = F.when(F.col("duplicates") > 0, "duplicates").when(F.col("missing") > 0, "missing").when(F.col("nested") > 0, "nested").otherwise("ok")
-    return counts.crossJoin(missing).crossJoin(nested).withColumn("verdict", verdict)
+    return counts.crossJoin(F.broadcast(missing)).crossJoin(F.broadcast(nested)).withColumn("verdict", verdict)
 
 
 def protect_keepers(targets: DataFrame, keepers: DataFrame) -> DataFrame:
     """Targets that neither are a keeper nor hold one; keepers: keeper."""
-    kept = keepers.select(F.explode(P.ancestors_or_self(F.col("keeper"))).alias("path")).distinct()
-    return targets.hint("merge").join(kept, "path", "left_anti")
+    above = kept(keepers.select(F.explode(P.ancestors_or_self(F.col("keeper"))).alias("path")).distinct())
+    return joined(targets, above, "path", "left_anti")
 
 
 def changed_targets(reviewed: DataFrame, current: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def validate_copies(selected: DataFrame, members: DataFrame, fresh: DataFrame) -
     selected: path; members: path, checksum; fresh: path, checksum as just computed.
     """
     flagged = members.join(selected.select("path", F.lit(True).alias("chosen")), "path", "left")
-    kept = flagged.filter("chosen is null").select("checksum").distinct().withColumn("has_keeper", F.lit(True))
-    mine = flagged.filter("chosen").select("path", "checksum").join(kept, "checksum", "left").join(fresh.select("path", F.col("checksum").alias("now")), "path", "left")
+    keepers = flagged.filter("chosen is null").select("checksum").distinct().withColumn("has_keeper", F.lit(True))
+    mine = flagged.filter("chosen").select("path", "checksum").join(keepers, "checksum", "left").join(fresh.select("path", F.col("checksum").alias("now")), "path", "left")
     state = mine.select("path", F.coalesce(F.col("has_keeper") & (F.col("checksum") == F.col("now")), F.lit(False)).alias("ok"))
     return selected.select("path").distinct().join(state, "path", "left").select("path", F.coalesce("ok", F.lit(False)).alias("valid"))

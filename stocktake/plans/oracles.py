@@ -2,11 +2,46 @@
 
 from __future__ import annotations
 
-from stocktake.functions.lookups import ARCHIVES, BUILD_NAMES, CACHE_NAMES, CATEGORIES, DISK_IMAGES, INSTALLERS, TEMPORARY, TRUST
-from stocktake.sources.adapters import BUCKETS, ENDINGS
-
 AS_OF = "TIMESTAMP '2001-12-01'"
 
+# The tables below are written out here, not imported, so that a wrong one in the library fails.
+# fixed values: extensions of each category
+CATEGORIES = {
+    "Archives": "zip zipx rar 7z tar tgz gz bz bz2 tbz tbz2 xz txz zst tzst lz4",
+    "Audio": "aif aiff flac m4a mp3 wav",
+    "Databases": "db realm sqlite sqlite3",
+    "Developer": "app bundle framework h json m mm pbxproj plist sh swift xcarchive xcodeproj xcworkspace yml yaml",
+    "Documents": "csv doc docx key md numbers pages pdf ppt pptx rtf txt xls xlsx",
+    "Fonts": "otf ttc ttf woff woff2",
+    "Images": "gif heic jpeg jpg png psd raw tif tiff webp",
+    "Installers": "dmg ipsw iso mpkg pkg sparsebundle sparseimage toast xip",
+    "Video": "avi m4v mkv mov mp4 mpeg mpg wmv",
+    "Virtual Machines": "qcow2 vbox vdi vhd vhdx vmdk vmwarevm pvm",
+}
+# fixed values: names and extensions of the cleanup rules, confidences and how they are shown
+CACHE_NAMES = ("cache", "caches", ".cache")
+BUILD_NAMES = ("deriveddata", "node_modules", ".build", "build", "dist", "target", ".gradle")
+DISK_IMAGES = ("dmg", "iso", "toast", "sparsebundle", "sparseimage")
+INSTALLERS = ("pkg", "mpkg", "xip", "ipsw")
+ARCHIVES = ("zip", "zipx", "rar", "7z", "tar", "tgz", "gz", "bz", "bz2", "tbz", "tbz2", "xz", "txz", "zst", "tzst", "lz4")
+TEMPORARY = ("tmp", "temp", "bak", "old")
+CONFIDENCE_LABELS = {"high": "Verified", "medium": "Review", "review": "Manual"}
+#: kind: (confidence, why it is listed)
+TRUST = {
+    "verifiedDuplicate": ("high", "Its bytes equal those of a kept file."),
+    "oldLargeFile": ("review", "It is large and has long been unchanged."),
+    "archive": ("review", "It is a compressed archive."),
+    "installer": ("medium", "It is an installer package."),
+    "diskImage": ("medium", "It is a disk image."),
+    "cacheFolder": ("medium", "Its name is that of a cache."),
+    "buildArtifact": ("medium", "Its name is that of build output."),
+    "temporary": ("review", "Its name is that of a temporary or backup file."),
+    "general": ("review", "It was picked by hand."),
+}
+#: Directories and endings of the inventory made of lineitem.
+BUCKETS = ("Caches", "node_modules", "DerivedData", "Documents", "Media", ".hidden", "src", "Downloads")
+ENDINGS = (".mov", ".mp4", ".zip", ".dmg", ".pkg", ".tmp", ".pdf", ".swift", ".JPG", ".sqlite", ".bin", "")
+
 
 def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
@@ -49,6 +84,10 @@ def trust(kind: str, field: int) -> str:
     return f"CASE {kind} " + " ".join(f"WHEN '{k}' THEN '{quote(v[field])}'" for k, v in TRUST.items()) + " END"
 
 
+def shown(confidence: str) -> str:
+    return f"CASE {confidence} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CONFIDENCE_LABELS.items()) + " END"
+
+
 RANK = "CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
 CTES = {
@@ -74,7 +113,7 @@ CTES = {
     "cands0": (("ruled", "copies"), "SELECT * FROM ruled WHERE candidate_kind IS NOT NULL AND path NOT IN (SELECT path FROM copies) UNION ALL SELECT * EXCLUDE (candidate_kind), 'verifiedDuplicate' FROM ruled WHERE path IN (SELECT path FROM copies)"),
     "cands": (("cands0",), f"SELECT candidate_kind || '-' || path AS candidate_id, candidate_kind, path, name, size, {trust('candidate_kind', 1)} AS reason, {trust('candidate_kind', 0)} AS confidence, size AS reclaimable_bytes FROM cands0"),
     "candtop": (("cands",), f"SELECT * FROM cands c WHERE NOT EXISTS (SELECT 1 FROM (SELECT path, unnest({anc('path')}) AS above FROM cands) u JOIN cands x ON x.path = u.above WHERE u.path = c.path)"),
-    "sel": (("inv", "dirs"), "SELECT path FROM inv WHERE k % 50 = 0 UNION ALL SELECT path FROM dirs WHERE (len(string_split(path, '/')) = 4 AND regexp_matches(path, '[05]$')) OR (len(string_split(path, '/')) = 3 AND path LIKE '%IA')"),
+    "sel": (("cands", "copies"), "SELECT path FROM cands UNION ALL SELECT path FROM copies"),
     "selup": (("sel",), f"SELECT path, unnest({anc('path')}) AS above FROM (SELECT DISTINCT path FROM sel)"),
     "nested": (("selup",), "SELECT path, max_by(above, length(above)) AS ancestor FROM selup WHERE above IN (SELECT path FROM sel) GROUP BY path"),
     "ident": (("doc",), "SELECT *, CASE WHEN nlink = 1 THEN 'disk0:' || doc_id || ':' || strftime(modified_at, '%Y-%m-%d %H:%M:%S') || ':2000-01-01 00:00:00' END AS identity FROM doc"),
@@ -131,12 +170,12 @@ ORACLE_SQL = {
     "candidate_id": sql("SELECT 'general-' || path AS candidate_id FROM inv", "inv"),
     "group_id": sql("SELECT group_id FROM vgroups", "vgroups"),
     "confidence_rank": sql(f"SELECT candidate_id, {RANK} AS rank FROM cands", "cands"),
-    "trust_details": sql(f"SELECT candidate_id, confidence AS confidence_label, {trust('candidate_kind', 1)} AS flagged_reason FROM cands", "cands"),
+    "trust_details": sql(f"SELECT candidate_id, {shown('confidence')} AS confidence_label, {trust('candidate_kind', 1)} AS flagged_reason FROM cands", "cands"),
     "natural_key": sql(f"SELECT path, {nat('name')} AS natural FROM inv", "inv"),
     "content_sha256": sql("SELECT path, sha256(text) AS checksum FROM doc", "doc"),
     "prefix_sha256": sql("SELECT path, sha256(encode(text)[1:1024]) AS checksum FROM doc", "doc"),
     "file_identity": sql("SELECT path, identity FROM ident", "ident"),
-    "redact_names": sql("SELECT path, 'File ' || row_number() OVER (ORDER BY path) || coalesce('.' || ext, '') AS redacted FROM inv ORDER BY path LIMIT 500", "inv"),
+    "redact_names": sql("SELECT path, 'File ' || row_number() OVER (ORDER BY path) || coalesce('.' || ext, '') AS redacted FROM inv", "inv"),
     "redact_tree": sql(
         """SELECT path, label AS redacted, coalesce('…/Folder ' || m || '/', '') || label AS redacted_path FROM (
         SELECT t.path, o.n, a.n AS m, CASE WHEN t.kind = 'folder' THEN 'Folder ' || o.n ELSE 'File ' || o.n || coalesce('.' || nullif(regexp_extract(t.name, '^.+\\.([^./]+)$', 1), ''), '') END AS label
@@ -193,12 +232,12 @@ ORACLE_SQL = {
     "largest_files": sql("SELECT path, size, CAST(row_number() OVER (ORDER BY size DESC, path) AS INT) AS rank FROM inv ORDER BY size DESC, path LIMIT 500", "inv"),
     "largest_folders": sql("SELECT path, size, CAST(row_number() OVER (ORDER BY size DESC, path) AS INT) AS rank FROM rollup WHERE path <> '/' ORDER BY size DESC, path LIMIT 500", "rollup"),
     "old_large_files": sql(f"SELECT path, size, modified_at, CAST(row_number() OVER (ORDER BY size DESC, path) AS INT) AS rank FROM inv WHERE size >= 40000 AND modified_at <= {AS_OF} - INTERVAL 180 DAY ORDER BY size DESC, path LIMIT 500", "inv"),
-    "sort_items": sql("SELECT path, CAST(row_number() OVER (ORDER BY modified_at DESC NULLS LAST, path) AS INT) AS rank FROM inv ORDER BY modified_at DESC NULLS LAST, path LIMIT 500", "inv"),
+    "sort_items": sql("SELECT path, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, path) AS rank FROM inv", "inv"),
     "sort_items_whole": sql("SELECT path, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, path) AS rank FROM inv", "inv"),
     "cap_candidates": sql("SELECT path, byte_size FROM inv WHERE byte_size >= 20000 ORDER BY byte_size DESC, path LIMIT 5000", "inv"),
-    "order_size_groups": sql("SELECT byte_size, CAST(row_number() OVER (ORDER BY total_bytes DESC, byte_size DESC) AS INT) AS rank FROM sgroups ORDER BY rank LIMIT 500", "sgroups"),
+    "order_size_groups": sql("SELECT byte_size, row_number() OVER (ORDER BY total_bytes DESC, byte_size DESC) AS rank FROM sgroups", "sgroups"),
     "order_size_groups_whole": sql("SELECT byte_size, row_number() OVER (ORDER BY total_bytes DESC, byte_size DESC) AS rank FROM sgroups", "sgroups"),
-    "order_verified_groups": sql("SELECT group_id, CAST(row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC, checksum) AS INT) AS rank FROM vgroups ORDER BY rank LIMIT 500", "vgroups"),
+    "order_verified_groups": sql("SELECT group_id, row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC, checksum) AS rank FROM vgroups", "vgroups"),
     "order_verified_groups_whole": sql("SELECT group_id, row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC, checksum) AS rank FROM vgroups", "vgroups"),
     "budget_groups": "WITH RECURSIVE " + sql("", "sgroups")[5:] + ", fit AS (SELECT *, row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC) AS r FROM sgroups WHERE total_bytes <= 100000 AND file_count <= 60), walk AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS HUGEINT) AS b, CAST(0 AS HUGEINT) AS f, false AS kept UNION ALL SELECT fit.r, CASE WHEN b + total_bytes <= 100000 AND f + file_count <= 60 THEN b + total_bytes ELSE b END, CASE WHEN b + total_bytes <= 100000 AND f + file_count <= 60 THEN f + file_count ELSE f END, b + total_bytes <= 100000 AND f + file_count <= 60 FROM walk JOIN fit ON fit.r = walk.r + 1) SELECT byte_size, file_count FROM fit JOIN walk ON walk.r = fit.r WHERE kept",
     "cleanup_candidates": sql(f"SELECT candidate_id, confidence, reclaimable_bytes, CAST(row_number() OVER (ORDER BY {RANK}, reclaimable_bytes DESC, {nat('name')}, path) AS INT) AS rank FROM cands ORDER BY rank LIMIT 500", "cands"),
@@ -209,7 +248,7 @@ ORACLE_SQL = {
     "item_query_candidates": sql(f"SELECT path, row_number() OVER (ORDER BY size DESC, {nat('name')}, path) AS rank FROM cands WHERE candidate_kind <> 'verifiedDuplicate' AND size >= 20000 AND contains(lower(path), 'europe')", "cands"),
     "item_query_duplicates": sql("SELECT path, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, path) AS rank FROM doc WHERE path IN (SELECT path FROM members) AND byte_size >= 100 AND contains(path, 'corpus') AND name LIKE '%.txt'", "doc", "members"),
     "item_query": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY size DESC, {nat('name')}, path) AS INT) AS rank FROM inv WHERE size >= 10000 AND contains(lower(path), 'europe') AND contains(lower(path), 'documents') AND ext = 'pdf' ORDER BY rank LIMIT 500", "inv"),
-    "preorder": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY key) AS INT) AS rank FROM (SELECT u.path, list({{'s': -f.size, 'n': f.name}} ORDER BY length(u.above)) AS key FROM (SELECT path, unnest({self_anc('path')}) AS above FROM folders) u JOIN folders f ON f.path = u.above GROUP BY u.path) ORDER BY rank LIMIT 1000", "folders"),
+    "preorder": sql(f"SELECT path, row_number() OVER (ORDER BY key) AS rank FROM (SELECT u.path, list({{'s': -f.size, 'n': f.name}} ORDER BY length(u.above)) AS key FROM (SELECT path, unnest({self_anc('path')}) AS above FROM folders) u JOIN folders f ON f.path = u.above GROUP BY u.path)", "folders"),
     "preorder_whole": sql(f"SELECT path, row_number() OVER (ORDER BY key) AS rank FROM (SELECT u.path, list({{'s': -f.size, 'n': f.name}} ORDER BY length(u.above)) AS key FROM (SELECT path, unnest({self_anc('path')}) AS above FROM tree) u JOIN tree f ON f.path = u.above GROUP BY u.path)", "tree"),
     "tree_search": sql(f"SELECT path, bool_or(direct) AS direct FROM (SELECT path, true AS direct FROM folders WHERE lower(name) LIKE '%caches%' UNION ALL SELECT unnest({anc('path')}), false FROM folders WHERE lower(name) LIKE '%caches%') GROUP BY path", "folders"),
     "latest_snapshots": "SELECT root, scanned_at, total_bytes, CAST(row_number() OVER (ORDER BY scanned_at DESC, root) AS INT) AS rank FROM (SELECT '/root-' || o_custkey % 40 AS root, o_orderdate AS scanned_at, CAST(floor(o_totalprice) AS BIGINT) AS total_bytes FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderdate DESC, floor(o_totalprice) DESC) = 1) ORDER BY rank LIMIT 8",

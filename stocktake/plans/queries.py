@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stocktake.functions import paths as P
 from stocktake.operators import cleanup as C, duplicates as D, filters as FL, incremental as I, ranking as R, review as V, tree as T
+from stocktake.operators.joins import joined, kept
 from stocktake.sources import adapters as A, inventory as S
 
 AS_OF = "2001-12-01"
@@ -44,11 +45,9 @@ def folders(spark, d):
 
 
 def selection(spark, d):
-    """A batch of targets: some files, and some directories of suppliers and nations."""
-    inv = partkey(items(spark, d))
-    dirs = T.directories(inv).withColumn("depth", P.depth(F.col("path")))
-    some = dirs.filter("depth = 3 and path rlike '[05]$' or depth = 2 and path like '%IA'").select("path")
-    return inv.filter("k % 50 = 0").select("path").union(some)
+    """A batch of targets: the paths of all cleanup candidates, and once more those of all verified copies."""
+    found = kept(members(spark, d))
+    return candidates(spark, d, found).select("path").union(D.copies(found))
 
 
 def docs(spark, d, content=True):
@@ -64,10 +63,10 @@ def members(spark, d):
     return D.verified_members(D.duplicate_candidates(inv, LEAST_DUP), contents(spark, d), PREFIX)
 
 
-def candidates(spark, d):
+def candidates(spark, d, found=None):
     doc_files = docs(spark, d, False).select("path", "name", "kind", P.display_size().alias("size"), "modified_at")
     entries = nodes(spark, d).select("path", "name", "kind", "size", "modified_at").unionByName(doc_files)
-    return C.cleanup_candidates(entries, members(spark, d), AS_OF, old_bytes=49_000)
+    return C.cleanup_candidates(entries, members(spark, d) if found is None else found, AS_OF, old_bytes=49_000)
 
 
 def cache(spark, d):
@@ -82,6 +81,7 @@ def identified(spark, d):
 
 def snapshots(spark, d):
     inv = partkey(items(spark, d))
+    inv = kept(inv)
     a = inv.filter("k % 10 <> 0").drop("k")
     b = inv.filter("k % 10 <> 1").withColumn("byte_size", F.when(F.col("k") % 10 == 2, F.col("byte_size") + 1).otherwise(F.col("byte_size"))).drop("k")
     return a, b
@@ -217,7 +217,7 @@ def file_identity(spark, d):
 
 @query
 def redact_names(spark, d):
-    return R.redact_names(items(spark, d), 500)
+    return R.redact_names(items(spark, d), None)
 
 
 @query
@@ -279,7 +279,7 @@ def filter_lane(spark, d):
 
 @query
 def filter_candidates(spark, d):
-    c = candidates(spark, d)
+    c = kept(candidates(spark, d))
     return FL.filter_candidates(c, "cache", 100_000, "suggestions", c.filter("path like '%0/Caches'").select("candidate_id")).select("candidate_id")
 
 
@@ -485,7 +485,7 @@ def old_large_files(spark, d):
 
 @query
 def sort_items(spark, d):
-    return R.sort_items(sized(spark, d), "newest", 500).select("path", "rank")
+    return R.sort_items(sized(spark, d), "newest", None).select("path", "rank")
 
 
 @query
@@ -500,7 +500,7 @@ def cap_candidates(spark, d):
 
 @query
 def order_size_groups(spark, d):
-    return R.ranked(D.size_groups(D.duplicate_candidates(docs(spark, d, False))), 500, F.desc("total_bytes"), F.desc("byte_size")).select("byte_size", "rank")
+    return R.ranked_whole(D.size_groups(D.duplicate_candidates(docs(spark, d, False))), F.desc("total_bytes"), F.desc("byte_size")).select("byte_size", "rank")
 
 
 @query
@@ -510,7 +510,7 @@ def order_size_groups_whole(spark, d):
 
 @query
 def order_verified_groups(spark, d):
-    return R.ranked(D.verified_groups(members(spark, d)), 500, F.desc("reclaimable_bytes"), F.desc("byte_size"), F.asc("checksum")).select("group_id", "rank")
+    return R.ranked_whole(D.verified_groups(members(spark, d)), F.desc("reclaimable_bytes"), F.desc("byte_size"), F.asc("checksum")).select("group_id", "rank")
 
 
 @query
@@ -572,15 +572,14 @@ def item_query_duplicates(spark, d):
 
 @query
 def preorder(spark, d):
-    keyed = T.with_sort_key(folders(spark, d))
-    return R.ranked(keyed, 1000, F.asc("key")).select("path", "rank")
+    """The whole tree of folders."""
+    return T.preorder(folders(spark, d))
 
 
 @query
 def preorder_whole(spark, d):
     """The whole tree, files included; a path that the inventory holds twice is one node with the sum of the sizes."""
-    tree = nodes(spark, d).groupBy("path").agg(F.first("name").alias("name"), F.sum("size").alias("size"))
-    return R.ranked_whole(T.with_sort_key(tree), F.asc("key")).select("path", "rank")
+    return T.preorder(nodes(spark, d).groupBy("path").agg(F.first("name").alias("name"), F.sum("size").alias("size")))
 
 
 @query
@@ -608,8 +607,8 @@ def dirty_subtrees(spark, d):
 
 @query
 def ignored_candidates(spark, d):
-    c = candidates(spark, d)
-    return c.join(c.filter("candidate_kind = 'archive'").select("candidate_id"), "candidate_id", "left_semi").select("candidate_id")
+    c = kept(candidates(spark, d).select("candidate_id", "candidate_kind"))
+    return joined(c, kept(c.filter("candidate_kind = 'archive'").select("candidate_id").distinct()), "candidate_id", "left_semi").select("candidate_id")
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stocktake.functions import paths as P
 from stocktake.operators.joins import joined, kept
+from stocktake.operators.tree import counted_directories, directory_sums
 
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
     ("root", T.StringType()), ("path", T.StringType()), ("name", T.StringType()), ("parent_path", T.StringType()), ("depth", T.IntegerType()), ("kind", T.StringType()),
@@ -53,28 +54,87 @@ def read_contents(candidates: DataFrame, contents: DataFrame) -> DataFrame:
     return joined(contents, kept(candidates.select("path").distinct()), "path", "left_semi")
 
 
-def save_snapshot(inventory: DataFrame, folder: str, root: str, volume: str, options: str, checkpoint: int) -> str:
-    """Write an inventory to a new snapshot folder, then its manifest row; a snapshot without manifest does not exist."""
-    name = f"{folder}/data-{uuid.uuid4().hex}"
-    inventory.write.parquet(name)
-    spark = inventory.sparkSession
-    manifest = spark.createDataFrame([(SNAPSHOT_VERSION, root, volume, options, checkpoint, name)], "schema_version int, root string, volume string, options string, checkpoint bigint, data string")
-    manifest.withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+MANIFEST = "schema_version int, root string, volume string, options string, checkpoint bigint, snapshot string, saved_at timestamp"
+PARTS = "part int, first string, data string"
+
+
+def _write_parts(rows: DataFrame, data: str) -> DataFrame:
+    """Write rows (with ``part``) below ``data``, a folder a part, files in path order; (part, first, data) of each part that has any."""
+    spark = rows.sparkSession
+    rows.sortWithinPartitions("part", "path").write.partitionBy("part").parquet(data)
+    return spark.read.schema(rows.schema).parquet(data).groupBy("part").agg(F.min("path").alias("first")).withColumn("data", F.concat(F.lit(f"{data}/part="), F.col("part").cast("string")))
+
+
+def _publish(spark: SparkSession, folder: str, parts: list, rollup: DataFrame, root: str, volume: str, options: str, checkpoint: int) -> str:
+    """The roll-up of directories, the list of parts, then the manifest row; a snapshot without manifest does not exist."""
+    name = uuid.uuid4().hex
+    rollup.write.parquet(f"{folder}/rollup/{name}")
+    spark.createDataFrame(parts, PARTS).coalesce(1).write.parquet(f"{folder}/parts/{name}")
+    row = spark.createDataFrame([(SNAPSHOT_VERSION, root, volume, options, checkpoint, name)], MANIFEST.rsplit(",", 1)[0])
+    row.withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
     return name
 
 
-def load_snapshot(spark: SparkSession, folder: str, expect: dict) -> tuple[DataFrame | None, str | None]:
-    """(inventory, None) of the newest snapshot that meets expectations, or (None, first failing guard)."""
+def save_snapshot(inventory: DataFrame, folder: str, root: str, volume: str, options: str, checkpoint: int, parts: int | None = None) -> str:
+    """Write an inventory as a new snapshot of a root, in parts by ranges of the path; its name. Snapshots of several roots may share a folder."""
+    spark = inventory.sparkSession
+    width = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = inventory.select(*[f.name for f in SCHEMA]).repartitionByRange(width, "path").withColumn("part", F.spark_partition_id())
+    made = sorted(map(tuple, _write_parts(cut, f"{folder}/data-{uuid.uuid4().hex}").collect()))  # a row a part
+    return _publish(spark, folder, made, counted_directories(directory_sums(read_parts(spark, made))), root, volume, options, checkpoint)
+
+
+def newest_snapshot(spark: SparkSession, folder: str, expect: dict) -> tuple[list | None, str | None]:
+    """(parts as (part, first, data), None) of the root's newest snapshot if it meets expectations, or (None, first failing guard)."""
     try:
-        rows = spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("saved_at")).limit(1).collect()
+        of_root = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").filter(F.col("root") == expect["root"])
+        rows = of_root.orderBy(F.desc("saved_at"), F.desc("checkpoint")).limit(1).collect()
     except Exception as error:  # the reader raises one of several classes for a missing or unreadable path
         return None, "missing" if "PATH_NOT_FOUND" in str(error) else "corrupt"
     if not rows:
         return None, "missing"
-    for guard in ("schema_version", "root", "volume", "options"):
+    for guard in ("schema_version", "volume", "options"):
         if rows[0][guard] != expect.get(guard, SNAPSHOT_VERSION if guard == "schema_version" else None):
             return None, guard.removesuffix("_version")
-    return spark.read.parquet(rows[0]["data"]), None
+    return sorted(map(tuple, spark.read.schema(PARTS).parquet(f"{folder}/parts/{rows[0]['snapshot']}").collect())), None
+
+
+def read_parts(spark: SparkSession, parts: list) -> DataFrame:
+    """The rows of a snapshot's parts."""
+    return spark.read.schema(SCHEMA).parquet(*[data for _, _, data in parts]) if parts else spark.createDataFrame([], SCHEMA)
+
+
+def load_snapshot(spark: SparkSession, folder: str, expect: dict) -> tuple[DataFrame | None, str | None]:
+    """(inventory, None) of the root's newest snapshot if it meets expectations, or (None, first failing guard)."""
+    parts, reason = newest_snapshot(spark, folder, expect)
+    return (None, reason) if reason else (read_parts(spark, parts), None)
+
+
+def touched_parts(parts: list, tops: list[str]) -> tuple[list, list]:
+    """(parts that hold or would hold a path at or under one of the tops, all others); parts are in order and each reaches to the next one's first path."""
+    hit = [False] * len(parts)
+    for i in range(len(parts)):
+        low, high = (parts[i][1] if i else ""), (parts[i + 1][1] if i + 1 < len(parts) else None)
+        within = lambda a, b: (high is None or a < high) and b > low  # noqa: E731  whether [a, b) meets the part
+        hit[i] = any(p == "/" or within(p, p + "\0") or within(p + "/", p + "0") for p in tops)
+    return [p for p, h in zip(parts, hit) if h], [p for p, h in zip(parts, hit) if not h]
+
+
+def save_spliced(rows: DataFrame, rollup: DataFrame, touched: list, rest: list, folder: str, root: str, volume: str, options: str, checkpoint: int) -> str:
+    """A new snapshot of the untouched parts as they are and the touched ones with new rows; each row goes to the part whose range holds it. rollup: of the whole."""
+    spark = rows.sparkSession
+    part = F.lit(touched[0][0])
+    for number, first, _ in touched[1:]:
+        part = F.when(F.col("path") >= first, number).otherwise(part)
+    cut = rows.withColumn("part", part.cast("int")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", "path")
+    fresh = [tuple(r) for r in _write_parts(cut, f"{folder}/data-{uuid.uuid4().hex}").collect()]
+    return _publish(spark, folder, sorted([*rest, *fresh]), rollup, root, volume, options, checkpoint)
+
+
+def load_rollup(spark: SparkSession, folder: str, expect: dict) -> DataFrame:
+    """The roll-up of the root's newest snapshot."""
+    newest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").filter(F.col("root") == expect["root"]).orderBy(F.desc("saved_at"), F.desc("checkpoint")).first()
+    return spark.read.parquet(f"{folder}/rollup/{newest['snapshot']}")
 
 
 CACHE_SCHEMA = "path string, byte_size bigint, modified_at timestamp_ntz, identity string, checksum string, prefix_checksum string, prefix_bytes bigint"

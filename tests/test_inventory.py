@@ -283,6 +283,206 @@ def test_refresh_of_a_snapshot(spark, tmp_path):
     assert state["asked"] == [None, ["/a"], None, None]
 
 
+def test_snapshots_of_several_roots(spark, tmp_path):
+    where, expect = f"file://{tmp_path}/snap", {"volume": "v", "options": "o"}
+    S.save_snapshot(inv(spark, [("/a/x", 1)]), where, "/a", "v", "o", 7)
+    S.save_snapshot(inv(spark, [("/b/x", 1), ("/b/y", 1)]), where, "/b", "v", "o", 3)
+    S.save_snapshot(inv(spark, [("/a/x", 1), ("/a/z", 1)]), where, "/a", "v", "o", 8)
+    assert paths(S.load_snapshot(spark, where, expect | {"root": "/a"})[0]) == ["/a/x", "/a/z"]
+    assert paths(S.load_snapshot(spark, where, expect | {"root": "/b"})[0]) == ["/b/x", "/b/y"]
+    assert S.load_snapshot(spark, where, expect | {"root": "/c"}) == (None, "missing")
+
+
+def test_ranges_take_a_path_and_what_is_under_it(spark):
+    names = ["/", "/a", "/a b", "/a!", "/a-1/x", "/a.b/c", "/a/", "/a/b", "/a/b/c", "/a0", "/ab", "/b", "/a/\U0001F600/z"]
+    x = spark.createDataFrame([(n,) for n in names], "path string")
+    assert paths(x.filter(T.in_ranges(F.col("path"), ["/a"]))) == sorted(n for n in names if n == "/a" or n.startswith("/a/"))
+    assert x.filter(T.in_ranges(F.col("path"), ["/"])).count() == len(names) and x.filter(T.in_ranges(F.col("path"), [])).count() == 0
+
+
+def random_paths(seed, n, letters="ab-. 0\u00e9"):
+    import random
+
+    r = random.Random(seed)
+    return ["/" + "/".join("".join(r.choice(letters) for _ in range(r.randint(1, 2))) for _ in range(r.randint(1, 6))) for _ in range(n)]
+
+
+def plain_above(p):
+    return ["/", *("/".join(p.split("/")[:i]) for i in range(2, p.count("/") + 1))] if p != "/" else []
+
+
+def test_ancestry_by_ranges_equals_plain_sets(spark, monkeypatch):
+    """Few and many ranges, paths that sort between a directory and its entries, repeated paths, and the root."""
+    for seed, extra in ((1, []), (2, ["/"]), (3, [])):
+        names = random_paths(seed, 700) + extra
+        names += names[:50]
+        x = spark.createDataFrame([(n,) for n in names], "path string").repartition(7)
+        chosen = set(names)
+        assert paths(T.top_level(x)) == sorted(p for p in chosen if not any(q in chosen for q in plain_above(p)))
+        want = sorted((p, max((q for q in plain_above(p) if q in chosen), key=len)) for p in chosen if any(q in chosen for q in plain_above(p)))
+        assert sorted(map(tuple, T.nested_pairs(x).collect())) == want and want
+        dirty = x.filter(F.pmod(F.xxhash64("path"), F.lit(9)) == 0)
+        tops = set(paths(dirty))
+        under = lambda p: p in tops or any(q in tops for q in plain_above(p))
+        for most in (128, 0):
+            monkeypatch.setattr(T, "MOST_RANGES", most)
+            assert paths(T.inside(x, dirty)) == sorted(p for p in names if under(p))
+            assert paths(T.outside(x, dirty)) == sorted(p for p in names if not under(p))
+            assert T.outside(x, dirty.limit(0)).count() == len(names)
+        monkeypatch.undo()
+    none = x.limit(0)
+    assert T.top_level(none).count() == 0 and T.nested_pairs(none).count() == 0
+
+
+def test_splice_moves_no_untouched_row(spark):
+    """With few dirty paths the untouched inventory is a filtered scan: no exchange, no join, no Python."""
+    a, b = inv(spark, [(f"/d{i % 9}/f{i}", i) for i in range(90)]), inv(spark, [("/d3/new", 1), ("/d4/other", 2)])
+    dirty = spark.createDataFrame([("/d3",)], "path string")
+    got = T.splice_subtrees(a, dirty, b)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert paths(got) == sorted([f"/d{i % 9}/f{i}" for i in range(90) if i % 9 != 3] + ["/d3/new"])
+
+
+def test_splice_reads_only_files_that_the_ranges_meet(spark, tmp_path):
+    S.save_snapshot(inv(spark, [(f"/d{i % 40:02d}/f{i}", i) for i in range(4000)]), f"file://{tmp_path}/s", "/", "v", "o", 1, parts=8)
+    parts, _ = S.newest_snapshot(spark, f"file://{tmp_path}/s", {"root": "/", "volume": "v", "options": "o"})
+    touched, rest = S.touched_parts(parts, ["/d07"])
+    assert len(parts) == 8 and 1 <= len(touched) <= 2 and len(touched) + len(rest) == 8
+    got = S.read_parts(spark, touched)
+    assert got.filter(T.in_ranges(F.col("path"), ["/d07"])).count() == 100
+    plan = S.read_parts(spark, parts).filter(T.in_ranges(F.col("path"), ["/d07"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(EqualTo(path,/d07)" in plan.replace("\n", "")
+    for top in ("/", "/a", "/d39/f39", "/zz"):  # before the first path, inside the last part, behind the last path
+        names = [f"/d{i % 40:02d}/f{i}" for i in range(4000)]
+        here = [p for p in names if top == "/" or p == top or p.startswith(top + "/")]
+        touched, _ = S.touched_parts(parts, [top])
+        assert touched and S.read_parts(spark, touched).filter(T.in_ranges(F.col("path"), [top])).count() == len(here)
+
+
+def test_preorder_equals_a_plain_walk(spark):
+    import random
+
+    files = sorted(set(random_paths(5, 400, "abcdef")))
+    files = [f for f in files if not any(g.startswith(f + "/") for g in files)] + [f"/big/{k:04d}" for k in range(600)]
+    r = random.Random(1)
+    x = inv(spark, [(p, r.randint(0, 3)) for p in files])
+    nodes = T.dir_rollup(x).select("path", F.when(F.col("path") == "/", "/").otherwise(P.base_name(F.col("path"))).alias("name"), "size").unionByName(x.select("path", "name", F.col("byte_size").alias("size")))
+    below, size = {}, {}
+    for row in nodes.collect():
+        size[row["path"]] = row["size"]
+        if row["path"] != "/":
+            below.setdefault(row["path"].rsplit("/", 1)[0] or "/", []).append(row["path"])
+    order = []
+
+    def walk(p):
+        order.append(p)
+        for q in sorted(below.get(p, []), key=lambda q: (-size[q], q.rsplit("/", 1)[1])):
+            walk(q)
+
+    walk("/")
+    assert [row["path"] for row in T.preorder(nodes.repartition(5)).orderBy("rank").collect()] == order
+    assert sorted(row["rank"] for row in T.preorder(nodes).collect()) == list(range(1, len(order) + 1))
+    assert T.preorder(nodes.limit(0)).count() == 0
+
+
+def test_budget_walk_asks_again_behind_what_it_took(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(b, n, b * n, b * (n - 1)) for b, n in ((b, r.randint(2, 9)) for b in range(1, 400))]
+    groups = spark.createDataFrame(rows, "byte_size bigint, file_count bigint, total_bytes bigint, reclaimable_bytes bigint")
+    for byte_limit, file_limit in ((5000, 100), (20_000, 23), (700, 1000), (1, 5)):
+        bytes_left, files_left, want = byte_limit, file_limit, []
+        for b, n, total, gain in sorted(rows, key=lambda g: (-g[3], -g[0])):
+            if total <= bytes_left and n <= files_left:
+                want.append(b)
+                bytes_left, files_left = bytes_left - total, files_left - n
+        for at_once in (1, 3, 1000):
+            assert sorted(g["byte_size"] for g in D.budget_groups(groups, byte_limit, file_limit, at_once).collect()) == sorted(want)
+
+
+def test_differences_settled_by_directory(spark):
+    """Equal directories are settled by their digests; repeated rows, nulls that change place, and moved entries are seen."""
+    a = inv(spark, [(f"/d{k % 7}/f{k}", k) for k in range(70)] + [("/r/x", 1), ("/r/x", 1)])
+    assert I.snapshot_diff(a, a).count() == 0
+    b = a.filter("path <> '/d1/f1'").withColumn("byte_size", F.when(F.col("path") == "/d2/f9", 99).otherwise(F.col("byte_size"))).unionByName(inv(spark, [("/d3/new", 1), ("/new/z", 1)]))
+    assert sorted(map(tuple, I.snapshot_diff(a, b).collect())) == [("/d1/f1", "removed"), ("/d2/f9", "modified"), ("/d3/new", "added"), ("/new/z", "added")]
+    swapped = a.withColumn("device", F.when(F.col("path") == "/d4/f4", "z")).withColumn("kind", F.col("kind"))
+    other = a.withColumn("device", F.lit(None).cast("string")).withColumn("kind", F.col("kind"))
+    assert [tuple(r) for r in I.snapshot_diff(swapped, other).collect()] == [("/d4/f4", "modified")]
+    twice = inv(spark, [("/r/x", 2), ("/r/x", 2)])
+    assert {r["change"] for r in I.snapshot_diff(a.filter("path = '/r/x'"), twice).collect()} == {"modified"}
+
+
+def test_rollup_corrections_equal_a_new_rollup(spark):
+    """Subtrees that vanish, appear, empty their parents and change in size, several at once."""
+    import random
+
+    r = random.Random(7)
+    now = {p: r.randint(1, 9000) for p in random_paths(11, 250, "abc")}
+    frame = lambda rows: inv(spark, sorted(rows.items()))
+    counted = T.counted_directories(T.directory_sums(frame(now)))
+    for step in range(4):
+        tops = [p.rsplit("/", 1)[0] or "/a" for p in r.sample(sorted(now), 4)] + ["/fresh"]
+        under = lambda p: any(p == t or p.startswith(t + "/") for t in tops)
+        gone = {p: s for p, s in now.items() if under(p)}
+        come = {p: s + (k % 2) for k, (p, s) in enumerate(sorted(gone.items())) if k % 3} | {f"{tops[0]}/n{step}/m/x": 5, f"/fresh/{step}": 1}
+        now = {p: s for p, s in now.items() if not under(p)} | come
+        counted = T.corrected(counted, frame(gone), frame(come))
+        want = T.counted_directories(T.directory_sums(frame(now)))
+        assert sorted(map(tuple, counted.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_refresh_writes_only_touched_parts(spark, tmp_path):
+    """The roll-up stays equal to a new one; rows that do not fit the tree give a full listing."""
+    base, expect = f"file://{tmp_path}", {"root": "/", "volume": "v", "options": "o"}
+    rows = {f"/d{k % 20:02d}/s{k % 3}/f{k}": k + 1 for k in range(1200)}
+    S.save_snapshot(inv(spark, sorted(rows.items())), f"{base}/snap", "/", "v", "o", 0, parts=6)
+    state = {"rows": rows}
+
+    def step(number, changed, listing):
+        log(spark, f"{base}/log", [(number * 10 + k, p, "modify") for k, p in enumerate(changed)])
+        live.refresh_snapshot(S.read_changes(spark, f"{base}/log"), listing, f"{base}/snap", expect, f"{base}/cp").awaitTermination(120)
+        last = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/snap/results").orderBy(F.desc("batch")).first()
+        parts, _ = S.newest_snapshot(spark, f"{base}/snap", expect)
+        got = S.load_snapshot(spark, f"{base}/snap", expect)[0]
+        assert sorted(map(tuple, got.select("path", "byte_size").collect())) == sorted(state["rows"].items())
+        assert sorted(map(tuple, T.displayed(S.load_rollup(spark, f"{base}/snap", expect)).collect())) == sorted(map(tuple, T.dir_rollup(got).collect()))
+        return last["result"], last["reason"], [p[2] for p in parts]
+
+    _, _, first = None, None, [p[2] for p in S.newest_snapshot(spark, f"{base}/snap", expect)[0]]
+    now = {p: s for p, s in rows.items() if not p.startswith("/d03/s1/")} | {"/d03/s1/new": 7, "/d03/s1/deep/er/x": 8}
+    state["rows"] = now
+    result, reason, parts = step(1, ["/d03/s1"], inv(spark, sorted(now.items())))
+    assert (result, reason) == ("incremental", None) and len(set(parts) - set(first)) <= 2 and len(set(parts) & set(first)) >= 4
+    wrong = {p: s for p, s in now.items() if not p.startswith("/d05/s0/")} | {"/d05/s0/f": 1, "/d05/s0/f/below-a-file": 2}
+    state["rows"] = wrong
+    assert step(2, ["/d05/s0"], inv(spark, sorted(wrong.items())))[:2] == ("full", "inconsistent")
+
+
+def test_live_lists_equal_the_whole(spark, tmp_path):
+    """Folders, old files and largest files after each of three batches, by a query that starts again each time."""
+    base, written = f"file://{tmp_path}", []
+    rows = [(f"/r/d{k % 11}/s{k % 4}/f{k}", (k * 7919) % 5000) for k in range(600)]
+    dated = lambda part: inv(spark, part).withColumn("modified_at", F.when(F.pmod(F.col("byte_size"), F.lit(3)) == 0, F.lit("2001-01-01").cast("timestamp_ntz")))
+    for step in range(3):
+        part = rows[step::3]
+        written += part
+        dated(part).write.mode("append").parquet(f"{base}/inv")
+        stream = lambda: live.stream_inventory(spark, f"{base}/inv")
+        live.live_folders(stream(), f"{base}/folders", f"{base}/c1", k=9).awaitTermination(120)
+        live.live_old_files(stream(), f"{base}/old", f"{base}/c2", "2001-12-01", 180, 100, k=9).awaitTermination(120)
+        whole = dated(written)
+        got = live.live_list(spark, f"{base}/folders").orderBy("rank").collect()
+        assert [(r["path"], r["size"]) for r in got] == [(r["path"], r["size"]) for r in R.largest_folders(T.dir_rollup(whole), 9).orderBy("rank").collect()]
+        assert all(r["is_partial"] for r in got)
+        old = live.live_list(spark, f"{base}/old").orderBy("rank").collect()
+        assert [(r["path"], r["size"]) for r in old] == [(r["path"], r["size"]) for r in R.old_large_files(whole, "2001-12-01", 180, 100, 9).orderBy("rank").collect()]
+    live.listing_ended(spark, f"{base}/folders")
+    assert not any(r["is_partial"] for r in live.live_list(spark, f"{base}/folders").collect())
+
+
 def test_dedupe_stream(spark, tmp_path):
     log(spark, f"file://{tmp_path}/log", [(1, "/a", "create"), (2, "/a", "modify"), (3, "/b", "modify")])
     q = (I.dedupe_stream(S.read_changes(spark, f"file://{tmp_path}/log")).select("path").writeStream.format("parquet").option("path", f"file://{tmp_path}/out")
