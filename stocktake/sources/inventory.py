@@ -22,7 +22,10 @@ def canonical(df: DataFrame, root: str = "/", mapping: dict[str, str] | None = N
     mapping = mapping or {}
     have = set(df.columns)
     col = lambda n: F.col(mapping.get(n, n)) if mapping.get(n, n) in have else F.lit(None)
-    path = F.when(F.rtrim(F.col(mapping.get("path", "path"))) == "/", F.lit("/")).otherwise(F.regexp_replace(F.col(mapping.get("path", "path")), "/+$", ""))
+    named = "_path"  # computed once a row, before what follows from it
+    given = F.col(mapping.get("path", "path"))
+    df = df.withColumn(named, F.when(F.rtrim(given) == "/", F.lit("/")).otherwise(F.regexp_replace(given, "/+$", "")))
+    path = F.col(named)
     name = F.coalesce(col("name"), P.base_name(path))
     values = {
         "root": F.lit(root), "path": path, "name": name, "parent_path": P.parent_path(path), "depth": P.depth(path), "kind": col("kind"), "byte_size": col("byte_size"),
