@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stocktake.llm import ann, divergence, exact_dedup, jaccard_join, lloyd, mixing, packing, resampling, secrets, token_files, toxicity, url_filter, warc
+from stocktake.llm import ann, divergence, exact_dedup, jaccard_join, lloyd, mixing, packing, pipeline as stages, resampling, secrets, token_files, toxicity, url_filter, warc
 from stocktake.llm.shared import table
 from stocktake.llm.tokens import tokenizer_path
 
@@ -80,9 +80,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole preparation of ``documents``."""
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_ids, op3_ann, op4_jaccard_join, op5_mixing, op6_url_filter, op7_packing, op8_toxicity, op9_warc, op10_quality, op11_resampling, op12_lloyd, op13_exact_dedup, pipeline)}
