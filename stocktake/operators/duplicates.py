@@ -27,6 +27,37 @@ def size_groups(files: DataFrame) -> DataFrame:
         "byte_size", "file_count", (F.col("byte_size") * F.col("file_count")).alias("total_bytes"), (F.col("byte_size") * (F.col("file_count") - 1)).alias("reclaimable_bytes"))
 
 
+def numbered_members(files: DataFrame) -> DataFrame:
+    """(byte_size, path, nth): members of the size groups, numbered from 0 in path order; by ranges, so a size that very many files have is no single task."""
+    spark = files.sparkSession
+    order = [F.asc("byte_size"), F.asc("path")]
+    cut = kept(same_size(files).select("byte_size", "path").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("byte_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = cut.groupBy("_part", "byte_size").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(before)).filter("before IS NOT NULL").select("_part", "byte_size", "before")  # the first size of a range at most
+    own = F.row_number().over(Window.partitionBy("_part", "byte_size").orderBy("path"))
+    return cut.withColumn("nth", own - 1).join(F.broadcast(earlier), ["_part", "byte_size"], "left").select("byte_size", "path", (F.col("nth") + F.coalesce("before", F.lit(0))).cast("bigint").alias("nth"))
+
+
+def size_group_pages(files: DataFrame, page: int = 1000) -> DataFrame:
+    """(byte_size, page, file_count, members): each size group's paths in order, ``page`` at most in a row."""
+    of = numbered_members(files).withColumn("page", F.floor(F.col("nth") / page).cast("bigint"))
+    return of.groupBy("byte_size", "page").agg(F.count("*").alias("file_count"), F.array_sort(F.collect_list("path")).alias("members"))
+
+
+def size_group_ids(pages: DataFrame, fan: int = 1000) -> DataFrame:
+    """(byte_size, group_id): the size and a digest of the members in order.
+
+    A page's digest is that of its paths, joined by line ends; digests of ``fan`` pages in order are
+    digested together (a single one stays as it is), and so on until each group has one. No value holds more than that many.
+    """
+    level = kept(pages.select("byte_size", F.col("page").alias("at"), F.sha2(F.array_join("members", "\n"), 256).alias("digest")))
+    while not level.filter("at > 0").isEmpty():
+        together = F.array_sort(F.collect_list(F.struct("at", "digest")))
+        level = kept(level.groupBy("byte_size", F.floor(F.col("at") / fan).cast("bigint").alias("up")).agg(together.alias("d"))
+                     .select("byte_size", F.col("up").alias("at"), F.when(F.size("d") == 1, F.col("d")[0]["digest"]).otherwise(F.sha2(F.array_join(F.transform("d", lambda x: x["digest"]), "\n"), 256)).alias("digest")))
+    return level.select("byte_size", F.concat_ws("-", F.col("byte_size").cast("string"), "digest").alias("group_id"))
+
+
 def _heads(files: DataFrame, contents: DataFrame, prefix: int) -> DataFrame:
     """(path, byte_size, head) of files whose size another one shares. The prefix is hashed where contents are read; only digests move."""
     read = contents.select("path", F.octet_length("content").cast("bigint").alias("there"), P.prefix_sha256(F.col("content"), prefix).alias("head"))
@@ -52,6 +83,30 @@ def verified_members(files: DataFrame, contents: DataFrame, prefix: int = 65_536
     return joined(full, equal, ["byte_size", "checksum"], "left_semi").select("path", "byte_size", "checksum")
 
 
+def verify_size(files: DataFrame, contents: DataFrame, byte_size: int, prefix: int = 65_536) -> DataFrame:
+    """``verified_members`` of one size group, on demand. Where contents (path, content, and byte_size if they have it) are laid out
+    by size (``sources.layout``), only that size's files are read."""
+    one = F.col("byte_size") == byte_size
+    read = contents.filter(one).select("path", "content") if "byte_size" in contents.columns else contents.filter(F.octet_length("content") == byte_size)
+    return verified_members(files.filter(one), read, prefix)
+
+
+def still_the_same(members: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """Members (path, byte_size, checksum) whose size and identity are after reading what they were before, and whose group still has two such.
+
+    before, now: path, byte_size, identity of the files. A member that has vanished, or whose identity
+    is unknown on either side, has none to compare and leaves too.
+    """
+    was = before.select("path", F.col("byte_size").alias("_size"), F.col("identity").alias("_identity"))
+    known = kept(members.select("path", "byte_size", "checksum"))
+    both = joined(was, known.select("path"), "path", "left_semi")
+    here = joined(now.select("path", F.col("byte_size").alias("_now"), F.col("identity").alias("_now_identity")), known.select("path"), "path", "left_semi")
+    same = kept(both.join(here.hint("merge"), "path").filter("_size = _now AND _identity = _now_identity").select("path"))
+    rest = kept(joined(known, same, "path", "left_semi"))
+    groups = kept(rest.groupBy("byte_size", "checksum").agg(F.count("*").alias("n")).filter("n > 1").select("byte_size", "checksum"))
+    return joined(rest, groups, ["byte_size", "checksum"], "left_semi").select("path", "byte_size", "checksum")
+
+
 def verified_groups(members: DataFrame) -> DataFrame:
     """(group_id, byte_size, checksum, file_count, reclaimable_bytes, first_path)."""
     return members.groupBy("byte_size", "checksum").agg(F.count("*").alias("file_count"), F.min("path").alias("first_path")).select(

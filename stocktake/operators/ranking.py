@@ -105,10 +105,10 @@ def item_query(base: DataFrame, query: str = "", least: int = 0, extension: str
     return sort_items(items, by, k)
 
 
-def size_share(df: DataFrame) -> DataFrame:
-    """A capped list with each size over the largest, between 0 and 1."""
-    top = df.agg(F.greatest(F.max("size"), F.lit(1)).alias("largest"))
-    return df.crossJoin(F.broadcast(top)).withColumn("share", F.least(F.greatest(F.col("size") / F.col("largest"), F.lit(0.0)), F.lit(1.0))).drop("largest")
+def size_share(df: DataFrame, root: str | None = None) -> DataFrame:
+    """Rows with each size over the largest (of a capped list), or over that of the root if one is named; between 0 and 1."""
+    base = df.agg(F.greatest(F.max("size" if root is None else F.when(F.col("path") == root, F.col("size"))), F.lit(1)).alias("base"))
+    return df.crossJoin(F.broadcast(base)).withColumn("share", F.least(F.greatest(F.col("size") / F.col("base"), F.lit(0.0)), F.lit(1.0))).drop("base")  # base: one row
 
 
 def retention_stats(candidates: DataFrame, cap: int) -> DataFrame:

@@ -183,6 +183,7 @@ ORACLE_SQL = {
     "redact_names_whole": sql("SELECT path, 'File ' || row_number() OVER (ORDER BY path) || coalesce('.' || ext, '') AS redacted FROM inv", "inv"),
     "redact_tokens": sql("SELECT path, 'File ' || substr(sha256('stocktake' || path), 1, 12) AS redacted FROM inv", "inv"),
     "size_share": sql("SELECT path, CAST(floor(least(greatest(size / greatest(max(size) OVER (), 1), 0.0), 1.0) * 1000000) AS BIGINT) AS share_ppm FROM (SELECT path, size FROM rollup WHERE path <> '/' ORDER BY size DESC, path LIMIT 100)", "rollup"),
+    "size_share_root": sql("SELECT path, CAST(floor(least(greatest(size / greatest((SELECT size FROM folders WHERE path = '/'), 1), 0), 1) * 1000000) AS BIGINT) AS share_ppm FROM folders", "folders"),
     "filter_hidden": sql("SELECT path FROM inv WHERE NOT contains(path, '/.')", "inv"),
     "filter_excluded": sql("SELECT path FROM inv WHERE NOT contains(path, '/node_modules/') AND NOT starts_with(path, '/ASIA/CHINA/') AND NOT starts_with(path, '/EUROPE/x/')", "inv"),
     "filter_empty_other": sql("SELECT path FROM doc WHERE NOT (doc_id % 2 = 0 AND (doc_id % 4 = 0 OR byte_size = 0))", "doc"),
@@ -215,6 +216,10 @@ ORACLE_SQL = {
     "filtered_categories": sql("SELECT category, CAST(sum(file_count) AS BIGINT) AS file_count, count(*) AS extension_count, CAST(sum(total_bytes) AS BIGINT) AS total_bytes FROM types WHERE contains(lower(label), 'i') OR contains(lower(category), 'i') GROUP BY category", "types"),
     "type_rollup": sql("SELECT category, label, CAST(grouping(category, label) AS INT) AS level, CAST(sum(file_count) AS BIGINT) AS file_count, CAST(sum(total_bytes) AS BIGINT) AS total_bytes FROM types GROUP BY ROLLUP (category, label)", "types"),
     "size_groups": sql("SELECT * FROM sgroups", "sgroups"),
+    "size_group_pages": sql("SELECT byte_size, page, count(*) AS file_count, string_agg(path, '|' ORDER BY path) AS members FROM (SELECT byte_size, path, (row_number() OVER (PARTITION BY byte_size ORDER BY path) - 1) // 1000 AS page FROM cand WHERE byte_size IN (SELECT byte_size FROM sgroups)) GROUP BY byte_size, page", "sgroups"),
+    "size_group_ids": sql("SELECT byte_size, byte_size || '-' || CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, chr(10) ORDER BY page)) END AS group_id FROM (SELECT byte_size, page, sha256(string_agg(path, chr(10) ORDER BY path)) AS digest FROM (SELECT byte_size, path, (row_number() OVER (PARTITION BY byte_size ORDER BY path) - 1) // 1000 AS page FROM cand WHERE byte_size IN (SELECT byte_size FROM sgroups)) GROUP BY byte_size, page) GROUP BY byte_size", "sgroups"),
+    "verify_size": sql("SELECT path, byte_size, checksum FROM members WHERE byte_size = (SELECT byte_size FROM sgroups ORDER BY reclaimable_bytes DESC, byte_size DESC LIMIT 1)", "members", "sgroups"),
+    "still_the_same": sql("SELECT m.path, m.byte_size, m.checksum FROM members m JOIN ident d ON d.path = m.path WHERE d.doc_id % 11 <> 0 AND d.doc_id % 13 <> 0 AND d.identity IS NOT NULL QUALIFY count(*) OVER (PARTITION BY m.byte_size, m.checksum) > 1", "members", "ident"),
     "verified_groups": sql("SELECT * FROM vgroups", "vgroups"),
     "already_verified": sql("SELECT c.byte_size, count(m.checksum) = count(*) AND coalesce(min(m.checksum) = max(m.checksum), false) AS verified FROM cand c LEFT JOIN members m ON m.path = c.path GROUP BY c.byte_size HAVING count(*) > 1", "members"),
     "verification_cost": sql("SELECT CAST(sum(least(byte_size, 1024) + CASE WHEN n > 1 AND byte_size > 1024 THEN byte_size ELSE 0 END) AS BIGINT) AS tiered_bytes, CAST(sum(byte_size) AS BIGINT) AS naive_bytes, count(*) AS files, count_if(n > 1 AND byte_size > 1024) AS full_reads FROM (SELECT byte_size, count(*) OVER (PARTITION BY byte_size, encode(text)[1:1024]) AS n, count(*) OVER (PARTITION BY byte_size) AS g FROM cand) WHERE g > 1", "cand"),

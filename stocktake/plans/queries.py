@@ -240,6 +240,11 @@ def size_share(spark, d):
     return R.size_share(R.largest_folders(T.dir_rollup(items(spark, d)), 100)).select("path", F.floor(F.col("share") * 1_000_000).cast("bigint").alias("share_ppm"))
 
 
+@query
+def size_share_root(spark, d):
+    return R.size_share(folders(spark, d), "/").select("path", F.floor(F.col("share") * 1_000_000).cast("bigint").alias("share_ppm"))
+
+
 # --- filters
 @query
 def filter_hidden(spark, d):
@@ -418,6 +423,33 @@ def size_groups(spark, d):
     return D.size_groups(D.duplicate_candidates(docs(spark, d, False)))
 
 
+@query
+def size_group_pages(spark, d):
+    return D.size_group_pages(D.duplicate_candidates(docs(spark, d, False))).select("byte_size", "page", "file_count", F.array_join("members", "|").alias("members"))
+
+
+@query
+def size_group_ids(spark, d):
+    return D.size_group_ids(D.size_group_pages(D.duplicate_candidates(docs(spark, d, False))))
+
+
+@query
+def verify_size(spark, d):
+    """Proof of the size group that would free most."""
+    files = D.duplicate_candidates(docs(spark, d, False))
+    first = D.size_groups(files).orderBy(F.desc("reclaimable_bytes"), F.desc("byte_size")).first()
+    sized_contents = docs(spark, d).select("path", "byte_size", "content")
+    return D.verify_size(files, sized_contents, first["byte_size"] if first else -1, PREFIX)
+
+
+@query
+def still_the_same(spark, d):
+    """Verified members after some files have vanished and others changed in size."""
+    old = identified(spark, d)
+    new = old.filter("inode % 11 <> 0").withColumn("byte_size", F.when(F.col("inode") % 13 == 0, F.col("byte_size") + 1).otherwise(F.col("byte_size")))
+    return D.still_the_same(members(spark, d), old, new)
+
+
 @query
 def verified_groups(spark, d):
     return D.verified_groups(members(spark, d))

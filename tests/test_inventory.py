@@ -483,6 +483,113 @@ def test_live_lists_equal_the_whole(spark, tmp_path):
     assert not any(r["is_partial"] for r in live.live_list(spark, f"{base}/folders").collect())
 
 
+def plain_ids(names, page, fan):
+    import hashlib
+
+    sha = lambda parts: hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    level = [sha(names[i:i + page]) for i in range(0, len(names), page)]
+    while len(level) > 1:
+        level = [sha(level[i:i + fan]) if len(level) > i + 1 else level[i] for i in range(0, len(level), fan)]
+    return level[0]
+
+
+def test_members_of_size_groups_come_in_pages(spark):
+    """One size that most files have, over several ranges; digests of pages of pages."""
+    rows = [(f"/big/{(k * 7919) % 500:03d}", 8) for k in range(500)] + [(f"/s/{k}", k // 3 + 20) for k in range(60)] + [("/alone", 1)]
+    by_size = {}
+    for p, n in sorted(rows):
+        by_size.setdefault(n, []).append(p)
+    by_size = {n: ps for n, ps in by_size.items() if len(ps) > 1}
+    pages = D.size_group_pages(inv(spark, rows).repartition(6), page=7)
+    got = {(r["byte_size"], r["page"]): r["members"] for r in pages.collect()}
+    assert got == {(n, i // 7): ps[i:i + 7] for n, ps in by_size.items() for i in range(0, len(ps), 7)}
+    ids = {r["byte_size"]: r["group_id"] for r in D.size_group_ids(pages, fan=3).collect()}
+    assert ids == {n: f"{n}-{plain_ids(ps, 7, 3)}" for n, ps in by_size.items()}
+    assert D.size_group_ids(D.size_group_pages(inv(spark, rows).limit(0))).count() == 0
+
+
+def test_members_that_changed_since_leave(spark):
+    cols = "path string, byte_size bigint, identity string"
+    m = spark.createDataFrame([("/a", 5, "x"), ("/b", 5, "x"), ("/c", 5, "x"), ("/d", 6, "y"), ("/e", 6, "y"), ("/f", 7, "z"), ("/g", 7, "z")], "path string, byte_size bigint, checksum string")
+    before = spark.createDataFrame([(p, n, f"i{p}") for p, n in (("/a", 5), ("/b", 5), ("/c", 5), ("/d", 6), ("/e", 6), ("/f", 7))] + [("/g", 7, None)], cols)
+    now = spark.createDataFrame([("/a", 5, "i/a"), ("/b", 5, "i/b"), ("/c", 5, "new"), ("/d", 6, "i/d"), ("/e", 9, "i/e"), ("/f", 7, "i/f"), ("/g", 7, None)], cols)
+    assert paths(D.still_the_same(m, before, now)) == ["/a", "/b"]
+    assert D.still_the_same(m, before, now.limit(0)).count() == 0
+
+
+def test_layouts_join_and_look_up_without_moving_rows(spark):
+    from stocktake.sources.layout import save_bucketed
+
+    x = inv(spark, [(f"/d/{k}", k % 40) for k in range(400)]).withColumn("identity", F.lit("i"))
+    cache = x.filter("byte_size < 20").select("path", "byte_size", "modified_at", "identity", F.sha2("path", 256).alias("checksum"))
+    files, known = save_bucketed(x, "files_by_path", ["path"], 8), save_bucketed(cache, "cache_by_path", ["path"], 8)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = D.cached_checksums(files, known)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, D.cached_checksums(x, cache).collect())) and got.filter("hit").count() == 200
+    contents = save_bucketed(x.select("path", "byte_size", F.encode(F.repeat(F.lit("x"), F.col("byte_size").cast("int")), "UTF-8").alias("content")), "contents_by_size", ["byte_size"], 8)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan does not name the buckets it reads
+    assert "SelectedBucketsCount: 1 out of 8" in contents.filter("byte_size = 7")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert paths(D.verify_size(x, contents, 7)) == paths(x.filter("byte_size = 7")) == paths(D.verify_size(x, contents.drop("byte_size"), 7))
+    assert D.verify_size(x, contents, 12345).count() == 0
+
+
+def test_change_log_goes_on_behind_the_last_id(spark, tmp_path):
+    """Restarts, files that are rewritten together, an empty log, and one that no longer reaches back."""
+    from stocktake.sources.changelog import follow_changes
+
+    base = tmp_path / "log"
+    base.mkdir()
+
+    def write(name, ids, kind="modify"):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        pq.write_table(pa.Table.from_pylist([{"event_id": i, "ts": None, "path": f"/p{i}", "change_type": kind} for i in ids], pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("path", pa.string()), ("change_type", pa.string())])), base / name)
+
+    def run(**options):
+        got = []
+
+        def take(batch, number):
+            got.extend(sorted(map(tuple, batch.select("event_id", "path", "change_type", "lost").collect())))
+
+        q = follow_changes(spark, f"file://{base}", **options).writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/cp").start()
+        q.processAllAvailable()
+        q.stop()
+        return got
+
+    assert run() == []
+    write("a.parquet", range(1, 6))
+    write("b.parquet", range(6, 9))
+    got = run()
+    assert [r[0] for r in got] == list(range(1, 9)) and not any(r[3] for r in got)
+    (base / "a.parquet").unlink()
+    write("b.parquet", range(3, 11))  # rewritten, with what was there before
+    assert [r[0] for r in run()] == [9, 10]
+    (base / "b.parquet").unlink()
+    write("c.parquet", range(20, 22))
+    assert run() == [(19, "/", "dropped", True), (20, "/p20", "modify", False), (21, "/p21", "modify", False)]
+    write("d.parquet", [22], "dropped")
+    assert run() == [(22, "/p22", "dropped", True)]
+
+
+def test_a_lost_range_of_the_log_gives_a_full_listing(spark, tmp_path):
+    from stocktake.sources.changelog import follow_changes
+
+    base, expect = f"file://{tmp_path}", {"root": "/", "volume": "v", "options": "o"}
+    x = inv(spark, [("/a/x", 1), ("/b/y", 2)])
+    S.save_snapshot(x, f"{base}/snap", "/", "v", "o", 5)
+    log(spark, f"{base}/log", [(9, "/a/x", "modify")])
+    q = live.refresh_snapshot(follow_changes(spark, f"{base}/log", since=5), x, f"{base}/snap", expect, f"{base}/cp")
+    q.awaitTermination(120)
+    last = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/snap/results").first()
+    assert (last["result"], last["reason"]) == ("full", "history")
+
+
 def test_dedupe_stream(spark, tmp_path):
     log(spark, f"file://{tmp_path}/log", [(1, "/a", "create"), (2, "/a", "modify"), (3, "/b", "modify")])
     q = (I.dedupe_stream(S.read_changes(spark, f"file://{tmp_path}/log")).select("path").writeStream.format("parquet").option("path", f"file://{tmp_path}/out")
