@@ -2,7 +2,7 @@
 
 Rules are (host, path): a rule fits its host and all subdomains when the url's path starts with
 the rule's; the longest rule wins. Other urls are judged by a model of the n-grams of host and
-path, trained on a small table of labelled urls.
+path, trained on the labelled urls of ``url_labels``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stocktake.llm.textops import mix
+from stocktake.llm.url_labels import labelled_urls
 
 BITS = 16
 SIZES = (3, 4, 5)
@@ -22,30 +23,6 @@ MOST_LABELLED = 100_000
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Words of hosts, and of paths, that mark what is to be blocked or allowed; the same for neither: PLAIN.
-_BAD = "casino poker bets betting jackpot pills viagra pharmacy adult porn xxx sexcam spam linkfarm farm ads adserver track tracker popunder clickbait warez crack keygen free-bets cheap-pills casino-win ads-track adult-x spam-farm payday-loan replica-watch lottery escort".split()
-_GOOD = "news weather recipes library museum school garden travel music science history physics kitchen football theatre gallery research archive journal city-council railway bakery thesaurus thermal theory nation station motion ocean thread author weather-report united-nations tradition".split()
-_BAD_PATHS = "casino-bonus free-spins buy-pills viagra-online xxx-video porn-gallery click-track adserver/banner popunder crack-download keygen warez/full win-jackpot payday-loan escort-service betting-odds".split()
-_GOOD_PATHS = "article/history wiki/physics docs/manual recipes/bread lesson/grammar report/weather library/catalogue archive/letters museum/rooms timetable/railway city/council essay/theatre garden/roses research/paper music/theory travel/guide".split()
-_PLAIN = "alpha north river orchid cedar harbor summit meadow".split()
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: (url, 1 to block or 0 to allow). Hosts of marked words with paths that say nothing, and plain hosts with marked paths."""
-    heads, tails, langs = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org"), ("en", "de", "fr", "es")
-    rows = [("", 0)] * 4
-    for i, pair in enumerate(zip(_GOOD, _BAD, strict=True)):  # both kinds share endings and paths
-        for k, head in enumerate(heads):
-            for block, word in enumerate(pair):
-                rows.append((f"https://{head}{word}.{tails[(i + k) % 3]}/{langs[(i + k) % 4]}/{(i * 37 + k * 101) % 900}", block))
-    for i, pair in enumerate(zip(_GOOD_PATHS, _BAD_PATHS, strict=True)):
-        for k in range(8):  # each on four plain hosts, with and without a language before it and a number after it
-            for block, word in enumerate(pair):
-                before, after = (f"/{langs[(i + k) % 4]}", f"/{(i * 53 + k * 7) % 900}") if k % 2 else ("", "")
-                rows.append((f"https://{heads[k % 4]}{_PLAIN[(i + k) % 8]}.{tails[(i + k) % 3]}{before}/{word}{after}", block))
-    return rows
-
-
 def host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; else empty."""
     found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -102,20 +79,25 @@ def _parts(url: str) -> tuple[str, str]:
     return rest[:end].lower(), tail[:stop]
 
 
-def train(rows: list[tuple[str, int]], steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights of the 2 ** BITS n-gram bins and the bias, by full-batch gradient descent on unit-length binary features."""
+def train(rows: list[tuple[str, int]], steps: int = 150, rate: float = 0.5, momentum: float = 0.9, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights of the 2 ** BITS n-gram bins and the bias, by full-batch gradient descent with momentum on unit-length binary features."""
     if len(rows) > MOST_LABELLED:
         raise ValueError("the labelled table is meant to be small")
     doc, col = ngrams(*map(list, zip(*(_parts(url) for url, _ in rows)))) if rows else (np.zeros(0, np.int64),) * 2
-    y = np.array([label for _, label in rows], float)
+    used, col = np.unique(col, return_inverse=True)
+    y, n = np.array([label for _, label in rows], float), max(len(rows), 1)
     value = 1 / np.sqrt(np.maximum(np.bincount(doc, minlength=len(rows)), 1))
-    weights, bias = np.zeros(1 << BITS), 0.0
+    weights, bias = np.zeros(len(used)), 0.0
+    push, push_bias = np.zeros(len(used)), 0.0
     for _ in range(steps):
         z = np.bincount(doc, weights=weights[col], minlength=len(rows)) * value + bias
-        error = (1 / (1 + np.exp(-z)) - y) / max(len(rows), 1)
-        weights -= rate * len(rows) ** 0.5 * (np.bincount(col, weights=(error * value)[doc], minlength=1 << BITS) + decay * weights / max(len(rows), 1))
-        bias -= rate * error.sum()
-    return weights, bias
+        error = (1 / (1 + np.exp(-z)) - y) / n
+        push = momentum * push - rate * n ** 0.5 * (np.bincount(col, weights=(error * value)[doc], minlength=len(used)) + decay * weights / n)
+        push_bias = momentum * push_bias - rate * error.sum()
+        weights, bias = weights + push, bias + push_bias
+    whole = np.zeros(1 << BITS)
+    whole[used] = weights
+    return whole, bias
 
 
 def judge_urls(pages: DataFrame, model: tuple[np.ndarray, float] | None = None, rules=RULES) -> DataFrame:

@@ -335,6 +335,22 @@ def test_url_model_holds_out():
     good = ["http://m.thther.example.org/en/55", "http://tionsh.example.net/en/55", "http://river.example.net/wiki/theatre", "http://north.example.org/library/catalogue", ""]
     assert blocked(bad + good, train(table)) == [True] * len(bad) + [False] * len(good)
 
+def test_url_model_on_unseen_hosts():
+    """Another draw of labelled urls, and the given pages, whose marked hosts are not in training."""
+    from stocktake.llm.url_filter import _parts, labelled_urls, scores, train
+    from stocktake.llm.url_labels import UNSEEN
+
+    table, model = labelled_urls(), train(labelled_urls())
+    assert not any(name in url for url, _ in table for name in UNSEEN)
+    judge = lambda urls: scores(*map(list, zip(*map(_parts, urls))), model) > 0
+    fresh = labelled_urls(4000, seed=2)
+    found, label = judge([u for u, _ in fresh]), np.array([bool(b) for _, b in fresh])
+    assert found[~label].mean() <= 0.03 and found[label].mean() >= 0.9
+    urls = [r["url"] for r in pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["url"]).to_pylist() if r["url"]]
+    found, bad = judge(urls), np.array([any(name in u for name in UNSEEN) for u in urls])
+    assert found[~bad].mean() < 0.05 and found[bad].mean() > 0.95
+    assert not judge(["https://essex.example.com/en/1", "https://www.elizabeth.org/", "http://soundtrack.example.net/de/4"]).any()
+
 def test_url_scores_equal_a_plain_version(spark, odd_dir):
     from stocktake.llm.textops import mix
     from stocktake.llm.url_filter import BITS, labelled_urls, train
