@@ -42,7 +42,8 @@ def signed_axes(vectors: np.ndarray, table: int, seed: int) -> np.ndarray:
     """rows x 2 d: the pseudo-rotated unit vectors' coordinates and their negatives; bucket 2 i is axis i, 2 i + 1 its opposite."""
     width = 1 << max(0, int(vectors.shape[1] - 1).bit_length())
     x = np.zeros((len(vectors), width))
-    x[:, :vectors.shape[1]] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # squares of very small or large components neither vanish nor overflow
+    x[:, :vectors.shape[1]] = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
     signs = np.random.default_rng([seed, table]).choice([-1.0, 1.0], (3, width))
     for s in signs:
         x = hadamard(x * s)
@@ -90,18 +91,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int | None = None
         "vec_id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     smallest = Window.partitionBy("v").orderBy("vec_id")
     kept = good.withColumn("r", F.dense_rank().over(smallest)).filter(F.col("r") <= k + 1)
-    classes = written(kept.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids")).withColumn("cid", F.xxhash64("v")), "ann-classes")
+    classes = written(kept.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids")).withColumn("cid", F.xxhash64("v")).withColumn("first", F.col("ids")[0]), "ann-classes")
     asked = written(good.filter(is_query).select("vec_id", F.xxhash64("v").alias("cid")).distinct(), "ann-queries")
     found = []
     for dim, n in sorted(tuple(r) for r in classes.groupBy(F.size("v")).count().collect()):
         own_tables, own_probes = (tables, probes) if tables and probes else reach(dim, n, k)
-        own = classes.filter(F.size("v") == dim).select("cid", "v")
+        own = classes.filter(F.size("v") == dim).select("cid", "v", "first")
         queries = own.join(asked.select("cid").distinct().hint("merge"), "cid", "left_semi")
         found.append(_meet(own, queries, dim, k, own_tables, own_probes, seed))
-    empty = spark.createDataFrame([], "qid bigint, cid bigint, score double")
-    met = written(_union([empty, *found]), "ann-met").groupBy("qid", "cid").agg(F.max("score").alias("score"))
-    first = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    top = met.withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1).drop("r")
+    empty = spark.createDataFrame([], MET)
+    met = written(_union([empty, *found]), "ann-met").groupBy("qid", "cid").agg(F.max("score").alias("score"), F.min("first").alias("first"))
+    # of classes with equal scores those of the smallest first ids hold the k + 1 smallest ids
+    top = met.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "first"))).filter(F.col("r") <= k + 1).drop("r")
     rows = top.join(classes.select("cid", "ids").hint("merge"), "cid").select("qid", "score", F.explode("ids").alias("id"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     lists = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).groupBy(F.col("qid").alias("cid")).agg(F.array_sort(F.collect_list(F.struct("r", "id", "score"))).alias("near"))
@@ -116,8 +117,11 @@ def _union(frames):
     return out
 
 
+MET = "qid bigint, cid bigint, score double, first bigint"
+
+
 def _meet(classes: DataFrame, queries: DataFrame, dim: int, k: int, tables: int, probes: int, seed: int) -> DataFrame:
-    """(qid, cid, score): the best of every block in which queries and classes meet."""
+    """(qid, cid, score, first): the k + 1 best of every block in which queries and classes meet, by score and then by a class's first id."""
     width = 2 << max(0, int(dim - 1).bit_length())
     probes = min(probes, width)
 
@@ -153,17 +157,17 @@ def _meet(classes: DataFrame, queries: DataFrame, dim: int, k: int, tables: int,
                     other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     row, bucket, mine = np.repeat(row, times), np.repeat(bucket, times), np.repeat(mine, times)
                     q, c = (mine, other) if query else (other, mine)
-                    yield pa.record_batch([pa.array(bucket.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(cid[row]), batch.column(1).take(pa.array(row))], names=["bucket", "q", "c", "cid", "v"])
+                    yield pa.record_batch([pa.array(bucket.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(cid[row]), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row))], names=["bucket", "q", "c", "cid", "v", "first"])
         return run
 
-    shape = "bucket int, q int, c int, cid bigint, v array<double>"
+    shape = "bucket int, q int, c int, cid bigint, v array<double>, first bigint"
     left = queries.mapInArrow(deal(probes, query_blocks, class_blocks, True), shape)
     right = classes.mapInArrow(deal(1, class_blocks, query_blocks, False), shape)
 
     def best(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not asked.num_rows or not there.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        qid, cid = asked["cid"].to_numpy(), there["cid"].to_numpy()
+            return pa.table({"qid": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "first": pa.array([], pa.int64())})
+        qid, cid, first = asked["cid"].to_numpy(), there["cid"].to_numpy(), there["first"].to_numpy()
         a, b = _matrix(asked["v"].combine_chunks(), dim), _matrix(there["v"].combine_chunks(), dim)
         rows, cols, scores = [], [], []
         for lo in range(0, len(a), 512):
@@ -171,10 +175,15 @@ def _meet(classes: DataFrame, queries: DataFrame, dim: int, k: int, tables: int,
             if s.shape[1] > k + 1:
                 floor = np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1]
                 r, c = np.nonzero(s >= floor[:, None])  # all that tie with the last one too
+                order = np.lexsort((first[c], -s[r, c], r))
+                r, c = r[order], c[order]
+                nth = np.arange(len(r)) - np.searchsorted(r, r)
+                r, c = r[nth <= k], c[nth <= k]
             else:
                 r, c = np.nonzero(np.ones(s.shape, bool))
-            rows.append(qid[lo + r]), cols.append(cid[c]), scores.append(s[r, c])
-        return pa.table({"qid": np.concatenate(rows), "cid": np.concatenate(cols), "score": np.concatenate(scores)})
+            rows.append(qid[lo + r]), cols.append(c), scores.append(s[r, c])
+        cols = np.concatenate(cols)
+        return pa.table({"qid": np.concatenate(rows), "cid": cid[cols], "score": np.concatenate(scores), "first": first[cols]})
 
     keys = ("bucket", "q", "c")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "qid bigint, cid bigint, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, MET)

@@ -237,7 +237,7 @@ MEETINGS, STARS = "q int, rows binary", "star bigint, node bigint"
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """Nodes of one key range that share a key: the leader of each key's group with every other member, as blobs dealt out by leader.
+    """Nodes of one key range that share a key: the leader of each key's group with every other member, as blobs dealt out by leader and member.
 
     Members whose size is linked with no other one's leave their group. A group whose members have one
     least key in common is left to that key's group, which holds them all.
@@ -267,7 +267,8 @@ def _meet(group: pa.Table) -> pa.Table:
     leader = members[np.repeat(starts, sizes)]
     rows = np.unique(np.stack([leader, members], 1)[(leader != members) & ~np.repeat(elsewhere, sizes)], axis=0)
     parts = np.uint64(group.column("parts")[0].as_py())
-    q = (((mix(rows[:, 0].view(np.uint64)) >> np.uint64(32)) * parts) >> np.uint64(32)).astype(np.int32)
+    pair = mix(rows[:, 0].copy().view(np.uint64)) ^ rows[:, 1].copy().view(np.uint64)  # a leader of very many is dealt out with its members
+    q = (((mix(pair) >> np.uint64(32)) * parts) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(q, kind="stable")
     rows, q = rows[order], q[order]
     edges = np.flatnonzero(np.diff(q, prepend=-1))
@@ -277,7 +278,7 @@ def _meet(group: pa.Table) -> pa.Table:
 
 
 def _stars(group: pa.Table) -> pa.Table:
-    """The distinct members of the stars dealt to one blob number; most members meet under many keys."""
+    """The distinct pairs of leader and member dealt to one blob number; most members meet under many keys."""
     rows = np.unique(np.frombuffer(b"".join(group.column("rows").to_pylist()), np.int64).reshape(-1, 2), axis=0)
     return pa.table({"star": rows[:, 0], "node": rows[:, 1]})
 

@@ -48,8 +48,8 @@ FEW_ROWS = 500_000
 
 
 def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """``left`` joined with a narrow written table: broadcast while it has few rows, by key beyond that."""
-    few = right.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    """``left`` joined with a narrow written table: broadcast while it has few rows, by key beyond that. It is counted whole: a limit would first gather that many rows of every partition in one task."""
+    few = right.count() <= FEW_ROWS
     return left.join(right.hint("broadcast" if few else "merge"), on, how)
 
 

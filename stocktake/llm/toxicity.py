@@ -96,10 +96,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Ordinal:
     """Fit on a bounded sample of labelled documents (at most SAMPLE of either kind); without both kinds of label, every grade is 0.
 
     Labels that are null or without a document are left out; null and empty texts are texts without words; a label that
-    occurs twice, or whose doc_id several documents bear, counts each time; empty tables give a model that calls nothing toxic; other columns are ignored.
+    occurs twice counts once, and of several documents with its doc_id one counts; empty tables give a model that calls nothing toxic; other columns are ignored.
     """
     never = Ordinal(np.full(1 << BITS, -1), np.zeros(0), np.array([40.0, 40.0]))
-    pick = lambda toxic: labels.filter(F.col("toxic") == toxic).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    pick = lambda toxic: labels.filter(F.col("toxic") == toxic).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = written(pick(0).union(pick(1)), "toxic-sample")  # at most 2 * SAMPLE rows
 
     def features(batches):
@@ -108,10 +108,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Ordinal:
                 size, doc, bins = _bins(part.column(1))
                 order = np.argsort(doc, kind="stable")
                 parts = np.split(bins[order].astype(np.int32), np.cumsum(np.bincount(doc, minlength=size))[:-1])
-                yield pa.record_batch([part.column(0), pa.array(parts, pa.list_(pa.int32()))], names=["toxic", "bins"])
+                yield pa.record_batch([*(part.column(n) for n in ("doc_id", "toxic", "h")), pa.array(parts, pa.list_(pa.int32()))], names=["doc_id", "toxic", "h", "bins"])
 
-    rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-            .mapInArrow(features, "toxic int, bins array<int>").toPandas())
+    found = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", "doc_id", F.xxhash64("text").alias("h"))
+             .mapInArrow(features, "doc_id bigint, toxic int, h bigint, bins array<int>"))
+    rows = found.groupBy("doc_id", "toxic").agg(F.min(F.struct("h", "bins")).alias("one")).select("toxic", "one.bins").toPandas()  # a row a label
     toxic = rows["toxic"].to_numpy(np.int64)
     if not len(rows) or toxic.min() == toxic.max():
         return never

@@ -42,13 +42,14 @@ def odd_dir(tmp_path_factory):
     vectors += [{"vec_id": None, "embedding": vectors[1]["embedding"], "label": 0}]
     assert v
     pq.write_table(pa.Table.from_pylist(vectors, schema=pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())])), where / "embeddings.parquet")
-    pq.write_table(pq.read_table(f"{SMALL}/labels.parquet"), where / "labels.parquet")
+    for name in ("labels", "benchmark"):
+        pq.write_table(pq.read_table(f"{SMALL}/{name}.parquet"), where / f"{name}.parquet")
     return str(where)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(odd_dir, tmp_path_factory):
     where = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "pages", "embeddings", "labels"):
+    for name in ("documents", "pages", "embeddings", "labels", "benchmark"):
         pq.write_table(pq.read_table(f"{odd_dir}/{name}.parquet").slice(0, 0), where / f"{name}.parquet")
     return str(where)

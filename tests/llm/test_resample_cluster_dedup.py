@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.parquet as pq
 import pytest
 
@@ -49,16 +50,10 @@ def plain_resample(docs, target, percent=5, least=20):
     return [(*r[:4], i + 1 if i < drawn else None) for i, r in enumerate(enough)] + [(*r[:4], None) for r in rows if r[4] < least]
 
 
-@pytest.fixture(scope="module")
-def with_benchmark(odd_dir):
-    pq.write_table(pq.read_table(f"{SMALL}/benchmark.parquet"), f"{odd_dir}/benchmark.parquet")
-    return odd_dir
-
-
-def test_op11(spark, with_benchmark):
-    docs = [(d["doc_id"], d["text"]) for d in read(with_benchmark, "documents")]
-    want = plain_resample(docs, [b["text"] for b in read(with_benchmark, "benchmark")])
-    got = QUERIES["op11_resampling"](spark, with_benchmark)
+def test_op11(spark, odd_dir):
+    docs = [(d["doc_id"], d["text"]) for d in read(odd_dir, "documents")]
+    want = plain_resample(docs, [b["text"] for b in read(odd_dir, "benchmark")])
+    got = QUERIES["op11_resampling"](spark, odd_dir)
     assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"] and {k for _, k in got.dtypes} == {"bigint"}
     assert sum(r[4] is not None for r in want) > 5
     assert Counter(map(tuple, got.collect())) == Counter(want)
@@ -205,3 +200,40 @@ def test_no_documents(spark, tmp_path):
     assert exact_dedup.deduplicate(spark, str(tmp_path / "d")).count() == 0
     put(tmp_path / "e", [(None, None)])
     assert [tuple(r)[:4] for r in exact_dedup.deduplicate(spark, str(tmp_path / "e")).collect()] == [(None, None, 1, True)]
+
+
+# nearest neighbours of vectors with very many equal scores
+
+def test_ties_of_whole_number_vectors_go_to_the_smallest_ids(spark):
+    """Thousands of classes with one score: only the k + 1 of the smallest ids go on, and the result is that of all."""
+    from stocktake.llm import ann
+
+    rng = np.random.default_rng(9)
+    vectors = [(int(i), x) for i, x in zip(rng.permutation(6000), rng.integers(-1, 2, (6000, 8)).astype(float).tolist())] + [(7000 + k, [1e-200] * 8) for k in range(3)] + [(7010 + k, [1e160] * 8) for k in range(3)]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").repartition(5)
+    got = defaultdict(list)
+    for r in sorted(ann.nearest(frame, "vec_id % 500 = 0", k=5, tables=1, probes=16).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    live = {i: np.array(v) for i, v in vectors if any(v)}
+    ids = np.array(sorted(live))
+    m = np.stack([live[i] for i in ids])
+    assert len(got) >= 12
+    for q, found in got.items():
+        s = m @ live[q]
+        assert [i for i, _ in found] == [int(i) for i in ids[np.lexsort((ids, -s))] if i != q][:5]
+
+
+def test_stars_are_dealt_out_with_their_members():
+    """A leader that shares keys with all others sends its members to many blobs, each pair once a range and once in all."""
+    from stocktake.llm.jaccard_join import _meet, _stars
+
+    n, parts = 5000, 16
+    nodes = np.arange(1, n + 1, dtype=np.int64)
+    keys = np.tile(np.array([7, 9], np.uint32), n)
+    group = pa.table({"p": [0], "nodes": [nodes.tobytes()], "sizes": [np.full(n, 100, np.uint32).tobytes()], "least": [np.arange(n, dtype=np.uint64).tobytes()], "counts": [np.full(n, 2, np.uint32).tobytes()], "keys": [keys.tobytes()], "parts": [parts]})
+    met = _meet(group)
+    assert len(met) == parts
+    pairs = [tuple(r.values()) for q in range(parts) for r in _stars(met.filter(pa.compute.equal(met["q"], q))).to_pylist()]
+    assert len(pairs) == len(set(pairs)) == n - 1 and len({s for s, _ in pairs}) == 1
+    sizes = [len(_stars(met.filter(pa.compute.equal(met["q"], q)))) for q in range(parts)]
+    assert max(sizes) < 3 * n / parts
