@@ -78,10 +78,9 @@ def reclaim_plan_present(candidates: DataFrame, inaccessible: DataFrame, present
     there = kept(joined(present.select("path"), candidates.select("path"), "path", "left_semi").withColumn("there", F.lit(True)))
     known = kept(joined(candidates, there, "path", "left"))
     missing = known.agg(F.count_if(F.col("there").isNull()).alias("missing_count"))
-    plan = reclaim_plan(top_level(known.filter("there").drop("there")), inaccessible)
-    first = plan.agg(F.min("section_order").alias("first"))
-    return (plan.crossJoin(F.broadcast(missing)).crossJoin(F.broadcast(first))  # one row each
-            .select("section_order", "section", "item_count", "reclaimable_bytes", L.literal_map(ACTIONS)[F.col("section")].alias("action"), (F.col("section_order") == F.col("first")).alias("is_primary"), "missing_count"))
+    plan = kept(reclaim_plan(top_level(known.filter("there").drop("there")), inaccessible))
+    first = plan.agg(F.min("section_order"))
+    return plan.select("section_order", "section", "item_count", "reclaimable_bytes", L.literal_map(ACTIONS)[F.col("section")].alias("action"), (F.col("section_order") == first.scalar()).alias("is_primary"), missing.scalar().alias("missing_count"))
 
 
 def review_summary(candidates: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from stocktake.functions import paths as P
 from stocktake.operators.joins import joined, kept
 
 MOST_DIRTY = 128
+#: Entries of a change log that forbid an incremental refresh, and the reason that they give.
+LOSSES = {"dropped": "history", "overflow": "history_overflow", "root_changed": "volume_or_root"}
 
 
 def _fingerprint(compared: list[str]) -> list[Column]:

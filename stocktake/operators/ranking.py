@@ -35,7 +35,7 @@ def type_rollup(inv: DataFrame) -> DataFrame:
 def scan_summary(inv: DataFrame, directories: DataFrame) -> DataFrame:
     """One row: items seen, unreadable ones, both definitions of total bytes, files and folders."""
     leaves = inv.agg(F.count("*").alias("file_count"), F.count_if(~F.col("is_readable")).alias("inaccessible_count"), F.sum("byte_size").alias("logical"), F.sum("allocated_size").alias("allocated"), F.sum(P.display_size()).alias("leaf_bytes"))
-    return leaves.crossJoin(directories.agg(F.count("*").alias("folder_count"))).select((F.col("file_count") + F.col("folder_count")).alias("scanned_items"), "inaccessible_count", F.greatest("logical", "allocated").alias("total_bytes"), "leaf_bytes", "file_count", "folder_count")
+    return leaves.withColumn("folder_count", directories.agg(F.count("*")).scalar()).select((F.col("file_count") + F.col("folder_count")).alias("scanned_items"), "inaccessible_count", F.greatest("logical", "allocated").alias("total_bytes"), "leaf_bytes", "file_count", "folder_count")
 
 
 def ranked(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -108,7 +108,7 @@ def item_query(base: DataFrame, query: str = "", least: int = 0, extension: str
 def size_share(df: DataFrame, root: str | None = None) -> DataFrame:
     """Rows with each size over the largest (of a capped list), or over that of the root if one is named; between 0 and 1."""
     base = df.agg(F.greatest(F.max("size" if root is None else F.when(F.col("path") == root, F.col("size"))), F.lit(1)).alias("base"))
-    return df.crossJoin(F.broadcast(base)).withColumn("share", F.least(F.greatest(F.col("size") / F.col("base"), F.lit(0.0)), F.lit(1.0))).drop("base")  # base: one row
+    return df.withColumn("share", F.least(F.greatest(F.col("size") / base.scalar(), F.lit(0.0)), F.lit(1.0)))
 
 
 def retention_stats(candidates: DataFrame, cap: int) -> DataFrame:

@@ -23,7 +23,7 @@ def batch_preflight(requested: DataFrame, present: DataFrame) -> DataFrame:
     missing = missing_targets(requested, present).agg(F.count("*").alias("missing"))
     nested = nested_pairs(requested).agg(F.count("*").alias("nested"))
     verdict = F.when(F.col("duplicates") > 0, "duplicates").when(F.col("missing") > 0, "missing").when(F.col("nested") > 0, "nested").otherwise("ok")
-    return counts.crossJoin(F.broadcast(missing)).crossJoin(F.broadcast(nested)).withColumn("verdict", verdict)
+    return counts.withColumn("missing", missing.scalar()).withColumn("nested", nested.scalar()).withColumn("verdict", verdict)
 
 
 def protect_keepers(targets: DataFrame, keepers: DataFrame) -> DataFrame:

@@ -239,4 +239,4 @@ def tree_consistency(nodes: DataFrame, root: str = "/") -> DataFrame:
     containers = kept(known.filter("box").select(F.col("path").alias("parent_path")).distinct())
     orphans = joined(known.filter(F.col("path") != root), containers, "parent_path", "left_anti").agg(F.count("*").alias("orphans"))
     repeated = known.groupBy("path").count().filter("count > 1").agg(F.count("*").alias("repeated"))
-    return orphans.crossJoin(F.broadcast(repeated)).withColumn("sound", (F.col("orphans") == 0) & (F.col("repeated") == 0))  # one row each
+    return orphans.withColumn("repeated", repeated.scalar()).withColumn("sound", (F.col("orphans") == 0) & (F.col("repeated") == 0))

@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stocktake.functions import paths as P
 from stocktake.operators import cleanup as C, duplicates as D, filters as FL, incremental as I, ranking as R, review as V, tree as T
 from stocktake.operators.joins import joined, kept
+from stocktake.options import Options
 from stocktake.sources import adapters as A, inventory as S
 
 AS_OF = "2001-12-01"
-LARGE, LEAST_DUP, PREFIX = 40_000, 0, 1024
+#: The given tables hold small files; the other options are the defaults.
+OPTIONS = Options(large_file_threshold=40_000, duplicate_candidate_threshold=0, verification_byte_limit=100_000, max_verification_files=60)
+LARGE, LEAST_DUP, PREFIX = OPTIONS.large_file_threshold, OPTIONS.duplicate_candidate_threshold, 1024
 QUERIES: dict = {}
 
 
@@ -66,7 +69,7 @@ def members(spark, d):
 def candidates(spark, d, found=None):
     doc_files = docs(spark, d, False).select("path", "name", "kind", P.display_size().alias("size"), "modified_at")
     entries = nodes(spark, d).select("path", "name", "kind", "size", "modified_at").unionByName(doc_files)
-    return C.cleanup_candidates(entries, members(spark, d) if found is None else found, AS_OF, old_bytes=49_000)
+    return C.cleanup_candidates(entries, members(spark, d) if found is None else found, AS_OF, days=OPTIONS.old_file_age_days, old_bytes=49_000)
 
 
 def cache(spark, d):
@@ -121,10 +124,17 @@ def read_changes(spark, d):
 @query
 def scan_report(spark, d):
     inv, dinv = items(spark, d), docs(spark, d, False)
-    groups = D.size_groups(D.duplicate_candidates(dinv)).agg(F.count("*").alias("size_groups"), F.sum("file_count").alias("size_group_files"))
-    ver = D.verified_groups(members(spark, d)).agg(F.count("*").alias("verified_groups"), F.sum("reclaimable_bytes").alias("verified_reclaimable"))
-    cand = candidates(spark, d).agg(F.count("*").alias("candidates"), F.sum("reclaimable_bytes").alias("candidate_bytes"))
-    return R.scan_summary(inv, T.directories(inv)).crossJoin(groups).crossJoin(ver).crossJoin(cand)
+    found = kept(members(spark, d))
+    parts = {
+        "size_groups, size_group_files": D.size_groups(D.duplicate_candidates(dinv)).agg(F.struct(F.count("*"), F.sum("file_count"))),
+        "verified_groups, verified_reclaimable": D.verified_groups(found).agg(F.struct(F.count("*"), F.sum("reclaimable_bytes"))),
+        "candidates, candidate_bytes": candidates(spark, d, found).agg(F.struct(F.count("*"), F.sum("reclaimable_bytes"))),
+    }
+    report = R.scan_summary(inv, T.directories(inv))
+    for names, value in parts.items():
+        first, second = names.split(", ")
+        report = report.withColumn("_both", value.scalar()).select("*", F.col("_both.col1").alias(first), F.col("_both.col2").alias(second)).drop("_both")
+    return report
 
 
 # --- scalars
@@ -248,7 +258,7 @@ def size_share_root(spark, d):
 # --- filters
 @query
 def filter_hidden(spark, d):
-    return FL.filter_hidden(items(spark, d)).select("path")
+    return FL.filter_hidden(items(spark, d), OPTIONS.include_hidden).select("path")
 
 
 @query
@@ -467,7 +477,7 @@ def verification_cost(spark, d):
 
 @query
 def retention_stats(spark, d):
-    return R.retention_stats(D.duplicate_candidates(items(spark, d), 20_000), 5000)
+    return R.retention_stats(D.duplicate_candidates(items(spark, d), 20_000), OPTIONS.duplicate_candidate_cap)
 
 
 @query
@@ -502,17 +512,17 @@ def review_summary(spark, d):
 # --- ranking
 @query
 def largest_files(spark, d):
-    return R.largest_files(items(spark, d), 500)
+    return R.largest_files(items(spark, d), OPTIONS.ranked_limit)
 
 
 @query
 def largest_folders(spark, d):
-    return R.largest_folders(T.dir_rollup(items(spark, d)), 500)
+    return R.largest_folders(T.dir_rollup(items(spark, d)), OPTIONS.ranked_limit)
 
 
 @query
 def old_large_files(spark, d):
-    return R.old_large_files(items(spark, d), AS_OF, 180, LARGE, 500)
+    return R.old_large_files(items(spark, d), AS_OF, OPTIONS.old_file_age_days, LARGE, OPTIONS.ranked_limit)
 
 
 @query
@@ -527,7 +537,7 @@ def sort_items_whole(spark, d):
 
 @query
 def cap_candidates(spark, d):
-    return D.duplicate_candidates(items(spark, d), 20_000, 5000).select("path", "byte_size")
+    return D.duplicate_candidates(items(spark, d), 20_000, OPTIONS.duplicate_candidate_cap).select("path", "byte_size")
 
 
 @query
@@ -552,12 +562,12 @@ def order_verified_groups_whole(spark, d):
 
 @query
 def budget_groups(spark, d):
-    return D.budget_groups(D.size_groups(D.duplicate_candidates(docs(spark, d, False))), 100_000, 60).select("byte_size", "file_count")
+    return D.budget_groups(D.size_groups(D.duplicate_candidates(docs(spark, d, False))), OPTIONS.verification_byte_limit, OPTIONS.max_verification_files).select("byte_size", "file_count")
 
 
 @query
 def cleanup_candidates(spark, d):
-    return C.rank_candidates(candidates(spark, d), 500).select("candidate_id", "confidence", "reclaimable_bytes", "rank")
+    return C.rank_candidates(candidates(spark, d), OPTIONS.ranked_limit).select("candidate_id", "confidence", "reclaimable_bytes", "rank")
 
 
 @query
@@ -585,7 +595,7 @@ def item_query_folders(spark, d):
 
 @query
 def item_query_old_files(spark, d):
-    base = R.old_large_files(items(spark, d), AS_OF, 180, LARGE, 500).drop("rank").withColumn("name", P.base_name(F.col("path"))).withColumn("kind", F.lit("file"))
+    base = R.old_large_files(items(spark, d), AS_OF, OPTIONS.old_file_age_days, LARGE, OPTIONS.ranked_limit).drop("rank").withColumn("name", P.base_name(F.col("path"))).withColumn("kind", F.lit("file"))
     return R.item_query(base, "li-", 45_000, "zip", "oldest", view="old_files").select("path", "rank")
 
 

@@ -61,7 +61,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = read("supplier")
     where = (suppliers.join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
              .select("s_suppkey", F.concat_ws("/", F.lit(""), "r_name", "n_name", "s_name").alias("path")))
-    size = suppliers.agg(F.count("*").alias("n"))
+    size = suppliers.agg(F.count("*"))
     kind = F.element_at(F.create_map(*map(F.lit, ("signup", "create", "click", "modify", "purchase", "delete", "error", "dropped", "view", "noop"))), F.col("event_type"))
-    return (read("events").crossJoin(size).withColumn("k", F.col("user_id") % F.col("n")).join(where, F.col("k") == F.col("s_suppkey"))
+    return (read("events").withColumn("k", F.col("user_id") % size.scalar()).join(where, F.col("k") == F.col("s_suppkey"))
             .select("event_id", "ts", "path", kind.alias("change_type")))

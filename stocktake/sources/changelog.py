@@ -4,7 +4,7 @@ The log is a folder of parquet files (event_id, ts, path, change_type) with ids
 behind the last id it has finished, whatever files have come, gone or been rewritten since. Files are
 chosen by the ids in their footers, and read by the tasks, one a file and batch. If the log no longer
 reaches back to where the query stopped, one row of type ``dropped`` for the root stands for the
-lost range; a ``dropped`` row of the log itself counts as lost too.
+lost range; rows of the log itself that tell of lost events or a changed root (LOSSES) count as lost too.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from stocktake.operators.incremental import LOSSES
+
 CHANGES = "event_id bigint, ts timestamp_ntz, path string, change_type string, lost boolean"
 _ARROW = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("path", pa.string()), ("change_type", pa.string()), ("lost", pa.bool_())])
 
@@ -87,7 +89,7 @@ class ChangeReader(DataSourceStreamReader):
                 ids = batch.column("event_id")
                 part = batch.filter(pc.and_(pc.greater(ids, piece.low), pc.less_equal(ids, piece.high)))
                 if part.num_rows:
-                    lost = pc.fill_null(pc.equal(part.column("change_type"), "dropped"), False)
+                    lost = pc.is_in(part.column("change_type"), value_set=pa.array(list(LOSSES)))
                     yield pa.RecordBatch.from_arrays([*(part.column(n).cast(_ARROW.field(n).type) for n in _ARROW.names[:4]), lost], schema=_ARROW)
 
 

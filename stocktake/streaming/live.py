@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stocktake.functions import paths as P
-from stocktake.operators.incremental import MOST_DIRTY
+from stocktake.operators.incremental import LOSSES, MOST_DIRTY
 from stocktake.operators.joins import kept
 from stocktake.operators.ranking import old_large_files, typed
 from stocktake.operators.tree import corrected, dirty_subtrees, inside, outside, splice_is_sound
@@ -135,8 +135,8 @@ def refresh_snapshot(changes: DataFrame, listing, folder: str, expect: dict, che
     listing: fresh rows, as a table or as a function of the dirty directories (path; None: all) that lists only those.
     unchanged: the snapshot stays. incremental: the dirty subtrees are spliced from the listing; only parts of the
     snapshot that their ranges meet are written anew, and the roll-up is corrected by the differences. full:
-    a new listing, because the snapshot does not meet expectations, the change log dropped events
-    (reason history), more than ``most_dirty`` subtrees are dirty (too_many_dirty), or the listed
+    a new listing, because the snapshot does not meet expectations, the change log has lost events
+    or seen its root change (a reason of LOSSES), more than ``most_dirty`` subtrees are dirty (too_many_dirty), or the listed
     rows do not fit the tree (inconsistent).
     """
     listed = listing if callable(listing) else lambda dirty: listing
@@ -148,8 +148,9 @@ def refresh_snapshot(changes: DataFrame, listing, folder: str, expect: dict, che
         last = batch.agg(F.max("event_id")).first()[0] or 0
         about = (folder, expect["root"], expect["volume"], expect["options"], last)
         count = 0
-        if not reason and not changed.filter("change_type = 'dropped'").isEmpty():
-            reason = "history"
+        if not reason:
+            losses = {r["change_type"] for r in changed.filter(F.col("change_type").isin(*LOSSES)).select("change_type").distinct().collect()}  # as many as LOSSES at most
+            reason = next((why for kind, why in LOSSES.items() if kind in losses), None)
         if not reason and not changed.isEmpty():
             rollup = load_rollup(spark, folder, expect)
             dirty = kept(dirty_subtrees(changed, rollup.select("path"), expect["root"]))

@@ -574,7 +574,9 @@ def test_change_log_goes_on_behind_the_last_id(spark, tmp_path):
     write("c.parquet", range(20, 22))
     assert run() == [(19, "/", "dropped", True), (20, "/p20", "modify", False), (21, "/p21", "modify", False)]
     write("d.parquet", [22], "dropped")
-    assert run() == [(22, "/p22", "dropped", True)]
+    write("e.parquet", [23], "overflow")
+    write("f.parquet", [24], None)
+    assert run() == [(22, "/p22", "dropped", True), (23, "/p23", "overflow", True), (24, "/p24", None, False)]
 
 
 def test_a_lost_range_of_the_log_gives_a_full_listing(spark, tmp_path):
@@ -588,6 +590,10 @@ def test_a_lost_range_of_the_log_gives_a_full_listing(spark, tmp_path):
     q.awaitTermination(120)
     last = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/snap/results").first()
     assert (last["result"], last["reason"]) == ("full", "history")
+    log(spark, f"{base}/log", [(10, "/", "root_changed"), (11, "/", "overflow")])
+    live.refresh_snapshot(follow_changes(spark, f"{base}/log", since=5), x, f"{base}/snap", expect, f"{base}/cp").awaitTermination(120)
+    last = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/snap/results").orderBy(F.desc("batch")).first()
+    assert (last["result"], last["reason"]) == ("full", "history_overflow")
 
 
 def test_dedupe_stream(spark, tmp_path):
