@@ -75,6 +75,11 @@ def natural_key(text: Column) -> Column:
     return F.array_join(F.transform(runs, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, F.greatest(F.lit(20), F.length(p)), F.lit("0"))).otherwise(p)), "")
 
 
+def natural_order(text: Column) -> Column:
+    """What to sort names by: their natural key in Unicode's order, in which accented letters stand beside plain ones and case does not count."""
+    return F.collate(natural_key(text), "UNICODE_CI")
+
+
 def content_sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 

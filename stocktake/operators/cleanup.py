@@ -40,7 +40,7 @@ def cleanup_candidates(entries: DataFrame, verified: DataFrame, as_of: str, root
 
 
 def rank_candidates(candidates: DataFrame, k: int = 500) -> DataFrame:
-    keyed = candidates.withColumn("confidence_rank", P.confidence_rank(F.col("confidence"))).withColumn("natural", P.natural_key(F.col("name")))
+    keyed = candidates.withColumn("confidence_rank", P.confidence_rank(F.col("confidence"))).withColumn("natural", P.natural_order(F.col("name")))
     return ranked(keyed, k, F.asc("confidence_rank"), F.desc("reclaimable_bytes"), F.asc("natural"), F.asc("path"))
 
 

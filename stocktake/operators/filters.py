@@ -45,9 +45,16 @@ def filter_size(df: DataFrame, preset: str | int) -> DataFrame:
 
 
 def matches(query: str, *columns: str) -> Column:
-    """Every word of the query is in one of the columns, whatever the case; an empty query matches all."""
-    words = query.strip().lower().split()
-    return reduce(lambda a, w: a & reduce(lambda x, c: x | F.contains(F.lower(c), F.lit(w)), columns, F.lit(False)), words, F.lit(True))
+    """Every word of the query is in one of the columns, whatever the case; an empty query matches all.
+
+    Words beyond ASCII are compared by Unicode's collation, for which letters and marks that are one character or several are the same.
+    """
+    def holds(column: str, word: str) -> Column:
+        if word.isascii():
+            return F.contains(F.lower(column), F.lit(word.lower()))
+        return F.contains(F.collate(F.col(column), "UNICODE_CI"), F.collate(F.lit(word), "UNICODE_CI"))
+
+    return reduce(lambda a, w: a & reduce(lambda x, c: x | holds(c, w), columns, F.lit(False)), query.split(), F.lit(True))
 
 
 def search_items(df: DataFrame, query: str) -> DataFrame:

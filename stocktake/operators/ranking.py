@@ -84,7 +84,7 @@ ORDERS = {
 
 def sort_items(items: DataFrame, by: str, k: int | None) -> DataFrame:
     """The first k items (None: all) in one of ORDERS, path last; items need path, name, kind, size and modified_at."""
-    keyed, order = items.withColumn("natural", P.natural_key(F.col("name"))), [*ORDERS[by](), F.asc("path")]
+    keyed, order = items.withColumn("natural", P.natural_order(F.col("name"))), [*ORDERS[by](), F.asc("path")]
     return ranked_whole(keyed, *order) if k is None else ranked(keyed, k, *order)
 
 

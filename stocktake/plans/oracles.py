@@ -75,6 +75,11 @@ def nat(n: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all(lower({n}), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, CAST(greatest(20, length(p)) AS INT), '0') ELSE p END), '')"
 
 
+def order(n: str) -> str:
+    """The natural key in Unicode's order."""
+    return f"icu_sort_key({nat(n)}, 'und')"
+
+
 def category(e: str) -> str:
     return "CASE " + " ".join(f"WHEN {e} IN {_in(words.split())} THEN '{c}'" for c, words in CATEGORIES.items()) + " ELSE 'Other' END"
 
@@ -245,14 +250,14 @@ ORACLE_SQL = {
     "order_verified_groups": sql("SELECT group_id, row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC, checksum) AS rank FROM vgroups", "vgroups"),
     "order_verified_groups_whole": sql("SELECT group_id, row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC, checksum) AS rank FROM vgroups", "vgroups"),
     "budget_groups": "WITH RECURSIVE " + sql("", "sgroups")[5:] + ", fit AS (SELECT *, row_number() OVER (ORDER BY reclaimable_bytes DESC, byte_size DESC) AS r FROM sgroups WHERE total_bytes <= 100000 AND file_count <= 60), walk AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS HUGEINT) AS b, CAST(0 AS HUGEINT) AS f, false AS kept UNION ALL SELECT fit.r, CASE WHEN b + total_bytes <= 100000 AND f + file_count <= 60 THEN b + total_bytes ELSE b END, CASE WHEN b + total_bytes <= 100000 AND f + file_count <= 60 THEN f + file_count ELSE f END, b + total_bytes <= 100000 AND f + file_count <= 60 FROM walk JOIN fit ON fit.r = walk.r + 1) SELECT byte_size, file_count FROM fit JOIN walk ON walk.r = fit.r WHERE kept",
-    "cleanup_candidates": sql(f"SELECT candidate_id, confidence, reclaimable_bytes, CAST(row_number() OVER (ORDER BY {RANK}, reclaimable_bytes DESC, {nat('name')}, path) AS INT) AS rank FROM cands ORDER BY rank LIMIT 500", "cands"),
+    "cleanup_candidates": sql(f"SELECT candidate_id, confidence, reclaimable_bytes, CAST(row_number() OVER (ORDER BY {RANK}, reclaimable_bytes DESC, {order('name')}, path) AS INT) AS rank FROM cands ORDER BY rank LIMIT 500", "cands"),
     "top_children": sql("SELECT path, CAST(row_number() OVER (PARTITION BY parent_path ORDER BY size DESC, name, path) AS INT) AS rank FROM nodes WHERE path <> '/' QUALIFY rank <= 20", "nodes"),
     "overview_children": sql("SELECT path, size, CAST(row_number() OVER (ORDER BY size DESC, name) AS INT) AS rank FROM folders WHERE parent_path = '/' ORDER BY rank LIMIT 12", "folders"),
-    "item_query_folders": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY {nat('name')}, path) AS INT) AS rank FROM (SELECT * FROM folders WHERE path <> '/' ORDER BY size DESC, path LIMIT 500) WHERE size >= 100000 AND contains(lower(path), 'asia')", "folders"),
+    "item_query_folders": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY {order('name')}, path) AS INT) AS rank FROM (SELECT * FROM folders WHERE path <> '/' ORDER BY size DESC, path LIMIT 500) WHERE size >= 100000 AND contains(lower(path), 'asia')", "folders"),
     "item_query_old_files": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY modified_at, path) AS INT) AS rank FROM (SELECT * FROM inv WHERE size >= 40000 AND modified_at <= {AS_OF} - INTERVAL 180 DAY ORDER BY size DESC, path LIMIT 500) WHERE size >= 45000 AND contains(lower(path), 'li-') AND ext = 'zip'", "inv"),
-    "item_query_candidates": sql(f"SELECT path, row_number() OVER (ORDER BY size DESC, {nat('name')}, path) AS rank FROM cands WHERE candidate_kind <> 'verifiedDuplicate' AND size >= 20000 AND contains(lower(path), 'europe')", "cands"),
+    "item_query_candidates": sql(f"SELECT path, row_number() OVER (ORDER BY size DESC, {order('name')}, path) AS rank FROM cands WHERE candidate_kind <> 'verifiedDuplicate' AND size >= 20000 AND contains(lower(path), 'europe')", "cands"),
     "item_query_duplicates": sql("SELECT path, row_number() OVER (ORDER BY modified_at DESC NULLS LAST, path) AS rank FROM doc WHERE path IN (SELECT path FROM members) AND byte_size >= 100 AND contains(path, 'corpus') AND name LIKE '%.txt'", "doc", "members"),
-    "item_query": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY size DESC, {nat('name')}, path) AS INT) AS rank FROM inv WHERE size >= 10000 AND contains(lower(path), 'europe') AND contains(lower(path), 'documents') AND ext = 'pdf' ORDER BY rank LIMIT 500", "inv"),
+    "item_query": sql(f"SELECT path, CAST(row_number() OVER (ORDER BY size DESC, {order('name')}, path) AS INT) AS rank FROM inv WHERE size >= 10000 AND contains(lower(path), 'europe') AND contains(lower(path), 'documents') AND ext = 'pdf' ORDER BY rank LIMIT 500", "inv"),
     "preorder": sql(f"SELECT path, row_number() OVER (ORDER BY key) AS rank FROM (SELECT u.path, list({{'s': -f.size, 'n': f.name}} ORDER BY length(u.above)) AS key FROM (SELECT path, unnest({self_anc('path')}) AS above FROM folders) u JOIN folders f ON f.path = u.above GROUP BY u.path)", "folders"),
     "preorder_whole": sql(f"SELECT path, row_number() OVER (ORDER BY key) AS rank FROM (SELECT u.path, list({{'s': -f.size, 'n': f.name}} ORDER BY length(u.above)) AS key FROM (SELECT path, unnest({self_anc('path')}) AS above FROM tree) u JOIN tree f ON f.path = u.above GROUP BY u.path)", "tree"),
     "tree_search": sql(f"SELECT path, bool_or(direct) AS direct FROM (SELECT path, true AS direct FROM folders WHERE lower(name) LIKE '%caches%' UNION ALL SELECT unnest({anc('path')}), false FROM folders WHERE lower(name) LIKE '%caches%') GROUP BY path", "folders"),

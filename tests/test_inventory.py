@@ -67,6 +67,16 @@ def test_item_query_of_views(spark):
     assert ask("files", k=2) == ask("files", k=None)[:2]
 
 
+def test_names_in_natural_unicode_order_and_search_beyond_ascii(spark):
+    names = ["Zoo", "zebra", "éclair", "Eclair 10", "eclair 9", "ecru", "Äpfel", "apfel2", "apfel10", "Öl", "ol", "e\u0301tude"]
+    x = entries(spark, [(f"/r/{n}", "file", 5) for n in names])
+    got = [r["path"][3:] for r in R.sort_items(x, "name", None).orderBy("rank").collect()]
+    assert got == ["Äpfel", "apfel2", "apfel10", "éclair", "eclair 9", "Eclair 10", "ecru", "e\u0301tude", "ol", "Öl", "zebra", "Zoo"]
+    assert [r["path"][3:] for r in R.sort_items(x, "name", 3).orderBy("rank").collect()] == got[:3]
+    found = lambda q: sorted(n[3:] for n in paths(FL.search_items(x, q)))
+    assert found("ÉCLAIR") == ["éclair"] and found("ÄPFEL r") == ["Äpfel"] and found("étude") == ["e\u0301tude"] and found("ECLAIR") == ["Eclair 10", "eclair 9"]
+
+
 def test_redacted_tree(spark):
     x = entries(spark, [("/", "folder", 3), ("/a", "folder", 3), ("/a/b.tar.GZ", "file", 1), ("/a/b.tar.GZ", "file", 2), ("/c/.rc", "file", 0)])
     got = sorted(map(tuple, R.redact_tree(x).collect()))
