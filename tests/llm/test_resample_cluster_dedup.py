@@ -237,3 +237,99 @@ def test_stars_are_dealt_out_with_their_members():
     assert len(pairs) == len(set(pairs)) == n - 1 and len({s for s, _ in pairs}) == 1
     sizes = [len(_stars(met.filter(pa.compute.equal(met["q"], q)))) for q in range(parts)]
     assert max(sizes) < 3 * n / parts
+
+
+# texts longer than any chunk
+
+def test_texts_of_megabytes(spark):
+    """Two near copies of over a megabyte, a third text of one endless word, and short ones: token ids, packing, links and counts equal plain versions."""
+    from tokenizers import Tokenizer
+
+    from stocktake.llm import divergence, jaccard_join, packing, token_files
+    from stocktake.llm.textops import CHUNK_BYTES
+    from stocktake.llm.tokens import tokenizer_path
+
+    rng = np.random.default_rng(8)
+    words = [f"word{k}" for k in range(3000)]
+    long = " ".join(words[k] for k in rng.integers(0, 3000, 180_000))
+    docs = [(1, long), (2, long[:-2000] + " changed at the end of it"), (3, "x" * (CHUNK_BYTES + 7)), (4, "a short text of some words"), (5, None), (6, " ".join(["again and again we say"] * 30_000))]
+    assert all(len(t) > CHUNK_BYTES for i, t in docs if i in (1, 2)) and len(docs[5][1]) > CHUNK_BYTES / 2
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source").repartition(2)
+
+    for file, end in (("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 2)):
+        t = Tokenizer.from_file(tokenizer_path(file))
+        want = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for i, x in docs}
+        if end == 0:
+            got = {r["doc_id"]: r for r in token_files.read_token_files(token_files.write_token_files(frame, tokenizer_path(file), spaced=True, end_id=end)).collect()}
+            assert {i: (r["n_tokens"], r["ids_crc32"]) for i, r in got.items()} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+        else:
+            pieces = defaultdict(list)
+            for r in packing.pack(frame, tokenizer_path(file)).collect():
+                pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+                assert r["doc_tokens"] == len(want[r["doc_id"]])
+            for i, x in want.items():
+                at = 0
+                for start, n, crc in sorted(pieces[i]):
+                    assert start == at and crc == zlib.crc32(x[start:start + n].tobytes())
+                    at += n
+                assert at == len(x)
+
+    shingles = lambda x: {tuple(w[k:k + 5]) for w in [x.split()] for k in range(len(w) - 4)}
+    got = {r["doc_id"]: r for r in jaccard_join.jaccard_components(frame).collect()}
+    assert {i: got[i]["component_id"] for i in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert [got[i]["n_shingles"] for i in (1, 2, 6)] == [len(shingles(x)) for i, x in docs if i in (1, 2, 6)]
+    counted = {r["doc_id"]: r for r in divergence.judge(frame).collect()}
+    for i, x in docs:
+        w = (x or "").split()
+        windows = Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))
+        inside = {j for k in range(len(w) - 4) if windows[tuple(w[k:k + 5])] > 1 for j in range(k, k + 5)}
+        assert (counted[i]["n_words"], counted[i]["word_chars"], counted[i]["n_repeat_words"]) == (len(w), sum(map(len, w)), len(inside))
+
+
+# earlier operators on the given tables
+
+def test_recall_on_the_given_vectors(spark):
+    for sf in ("0.001", "0.01"):
+        rows = read(f"/root/testdata/sf{sf}", "embeddings")
+        m = np.array([r["embedding"] for r in rows], float)
+        ids = np.array([r["vec_id"] for r in rows])
+        got = defaultdict(set)
+        for r in QUERIES["op3_ann"](spark, f"/root/testdata/sf{sf}").collect():
+            got[r["query_id"]].add(r["vec_id"])
+        asked, hits = np.flatnonzero(ids % 20 == 0), 0
+        for q in asked:
+            order = ids[np.lexsort((ids, -(m @ m[q])))]
+            hits += len(got[ids[q]] & set(order[order != ids[q]][:20].tolist()))
+        assert hits / (20 * len(asked)) >= 0.9
+
+
+def test_mix_equals_a_plain_pareto_sample(spark):
+    """The copies of every document follow from its own random number: odds over inclusion odds, smallest first, until the source's words are filled."""
+    from stocktake.llm import mixing
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    drawn = [r.asDict() for r in mixing.drawn(docs, 17).collect()]
+    size, got = defaultdict(int), Counter((r["doc_id"], r["copies"]) for r in mixing.mix(docs).collect())
+    for r in drawn:
+        size[r["source"]] += r["size"]
+    weight = {s: k % 3 + 1 for k, s in enumerate(sorted(size, key=lambda s: (s is None, s or "")))}
+    capped: set = set()
+    while True:
+        level = (sum(size.values()) - sum(3 * size[s] for s in capped)) / sum(weight[s] for s in size if s not in capped)
+        more = {s for s in size if s not in capped and 3 * size[s] < weight[s] * level}
+        if not more:
+            break
+        capped |= more
+    want = Counter()
+    for s in size:
+        target = 3.0 * size[s] if s in capped else weight[s] * level
+        whole = min(math.floor(target / size[s] + 1e-12), 3)
+        p, rest = target / size[s] - whole, target - whole * size[s]
+        q = lambda r: (r["u"] / (1 - r["u"])) * (1 - p) / p if p > 0 else math.inf
+        filled = 0.0
+        for r in sorted((r for r in drawn if r["source"] == s), key=lambda r: (q(r), r["size"])):
+            takes = p > 0 and rest > 0 and filled + r["size"] / 2 <= rest
+            filled = filled + r["size"] if takes else math.inf if r["size"] else filled
+            want[r["doc_id"], whole + takes] += 1
+    wrong = got - want
+    assert sum(wrong.values()) <= len(size) and not {d for d, _ in wrong} - {r["doc_id"] for r in drawn if not r["size"]}
