@@ -243,6 +243,15 @@ def test_plans_stay_in_the_jvm(spark):
     assert "TakeOrderedAndProject" in plan or "TakeOrderedAndProject" in QUERIES["largest_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_plans_read_an_input_twice_at_most(spark):
+    """Roll-up and rows of one inventory are two scans; what else needs them is kept."""
+    from stocktake.plans.queries import QUERIES
+
+    for name in ("tree_consistency", "reclaim_plan", "batch_preflight", "ignored_candidates", "filter_candidates", "splice_subtrees", "preorder", "tree_search", "missing_targets", "cleanup_candidates", "snapshot_diff"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") <= 2 and "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
 def test_streams(spark):
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     x = inv(spark, [("/a/x.mov", 5), ("/a/y.mov", 7), ("/b/z.txt", 1)])
