@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stocktake.llm.shared import joined, written
+from stocktake.llm.shared import joined, shuffle_width, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: No document is taken more often than this.
@@ -37,20 +37,28 @@ def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target): weights 1, 2, 3, 1, ... by code point, null last, filled up to MOST times a source's size.
 
     Sources whose cap lies below their share at the common level get their cap, the others weight
-    times level; the level follows from running sums over sources by cap / weight.
+    times level. Sources are numbered by ranges and the sizes of the ranges; the level rises from
+    that without caps, each time to what the sources not yet capped share, until no more are: some
+    sums over the sources, however many there are.
     """
-    everything = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("w", (F.pmod(F.row_number().over(everything) - 1, F.lit(3)) + 1).cast("double")).withColumn("cap", F.col("source_size") * float(MOST))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    earlier, whole = by_ratio.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    level = (ranked.withColumn("at", F.row_number().over(by_ratio))
-             .withColumn("cap_before", F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))).withColumn("w_before", F.coalesce(F.sum("w").over(earlier), F.lit(0.0)))
-             .withColumn("level", (F.sum("source_size").over(whole) - F.col("cap_before")) / (F.sum("w").over(whole) - F.col("w_before"))))
-    # a source's level is the common one if all sources before it are capped and it is not
-    open_at = F.when(F.col("cap") > F.col("w") * F.col("level"), F.col("at"))
-    level = level.withColumn("first_open", F.min(open_at).over(whole))
-    level = level.withColumn("common", F.max(F.when(F.col("at") == F.col("first_open"), F.col("level"))).over(whole))
-    return level.select("source", "source_size", F.when(F.col("at") >= F.col("first_open"), F.col("w") * F.col("common")).otherwise(F.col("cap")).alias("target"))
+    order = F.asc_nulls_last("source")
+    cut = sizes.repartitionByRange(shuffle_width(sizes.sparkSession), order).sortWithinPartitions(order)
+    placed = written(cut.withColumn("_at", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("_at", 33)
+    ranges = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    earlier = ranges.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # a row a range
+    nth = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    ranked = placed.withColumn("_part", part).join(F.broadcast(earlier), "_part").select("source", "source_size", (F.pmod(nth, F.lit(3)) + 1).cast("double").alias("w"), (F.col("source_size") * float(MOST)).alias("cap"))
+    ranked = written(ranked, "mix-weights")
+    total, level = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double")).first()[0], -1.0
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        capped, weight = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("w")))).first()
+        risen = level if weight is None else (total - capped) / weight
+        if risen <= level:
+            break
+        level = risen
+    return ranked.select("source", "source_size", F.least(F.col("cap"), F.col("w") * max(level, 0.0)).alias("target"))
 
 
 def _with_source(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
