@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stocktake.functions import paths as P
-from stocktake.operators.joins import joined, kept
+from stocktake.operators.joins import few, joined, kept
 from stocktake.operators.tree import nested_pairs
 
 
 def missing_targets(requested: DataFrame, present: DataFrame) -> DataFrame:
-    """Requested paths, each once, that are not present. The present ones do not move while the requested are few."""
-    asked = kept(requested.select("path").distinct())
-    there = kept(joined(present.select("path"), asked, "path", "left_semi").distinct())
+    """Requested paths, each once, that are not present. The present ones do not move while the requested are few, and once beyond that."""
+    return _missing(kept(requested.select("path").distinct()), present)
+
+
+def _missing(asked: DataFrame, present: DataFrame) -> DataFrame:
+    if not few(asked):
+        return asked.join(present.select("path").hint("merge"), "path", "left_anti")
+    there = kept(present.select("path").join(F.broadcast(asked), "path", "left_semi").distinct())
     return joined(asked, there, "path", "left_anti")
 
 
 def batch_preflight(requested: DataFrame, present: DataFrame) -> DataFrame:
-    """One row: repeated, missing and nested targets, and the first verdict in that order. The batch is computed once."""
-    requested = kept(requested.select("path"))
-    counts = requested.agg((F.count("path") - F.count_distinct("path")).alias("duplicates"))
-    missing = missing_targets(requested, present).agg(F.count("*").alias("missing"))
-    nested = nested_pairs(requested).agg(F.count("*").alias("nested"))
+    """One row: repeated, missing and nested targets, and the first verdict in that order. The batch is computed and made distinct once."""
+    times = kept(requested.groupBy("path").agg(F.count("*").alias("times")))
+    asked = times.select("path")
+    counts = times.agg(F.coalesce(F.sum(F.when(F.col("path").isNotNull(), F.col("times") - 1)), F.lit(0)).alias("duplicates"))
+    missing = _missing(asked, present).agg(F.count("*").alias("missing"))
+    nested = nested_pairs(asked, distinct=True).agg(F.count("*").alias("nested"))
     verdict = F.when(F.col("duplicates") > 0, "duplicates").when(F.col("missing") > 0, "missing").when(F.col("nested") > 0, "nested").otherwise("ok")
     return counts.withColumn("missing", missing.scalar()).withColumn("nested", nested.scalar()).withColumn("verdict", verdict)
 
