@@ -12,10 +12,14 @@ MOST_DIRTY = 128
 LOSSES = {"dropped": "history", "overflow": "history_overflow", "root_changed": "volume_or_root"}
 
 
-def _fingerprint(compared: list[str]) -> list[Column]:
-    """Two 64-bit digests of a row's compared columns; which of them are null is part of either."""
-    empty = [F.col(c).isNull() for c in compared]
-    return [F.xxhash64(F.lit(seed), *compared, *empty).alias(name) for seed, name in ((1, "h1"), (2, "h2"))]
+def _fingerprinted(rows: DataFrame, compared: list[str]) -> DataFrame:
+    """(path, parent_path, h1, h2): two 64-bit digests of a row's compared columns; which of them are null is part of either.
+
+    The columns are one struct before they are digested: the code made for so many single ones is too long to be compiled.
+    """
+    given = F.col("parent_path") if "parent_path" in compared else P.parent_path(F.col("path"))
+    whole = rows.select("path", F.coalesce(given, F.lit("")).alias("parent_path"), F.struct(*compared).alias("_row"), F.array(*[F.col(c).isNull() for c in compared]).alias("_null"))
+    return whole.select("path", "parent_path", *[F.xxhash64(F.lit(seed), "_row", "_null").alias(name) for seed, name in ((1, "h1"), (2, "h2"))])
 
 
 def _by_directory(rows: DataFrame) -> DataFrame:
@@ -32,8 +36,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     directories and of entries in those that differ. Digests have 128 bits.
     """
     compared = sorted(c for c in old.columns if c != "path" and c in new.columns)
-    side = lambda df: df.select("path", F.coalesce(P.parent_path(F.col("path")), F.lit("")).alias("parent_path"), *_fingerprint(compared))
-    a, b = side(old), side(new)
+    a, b = _fingerprinted(old, compared), _fingerprinted(new, compared)
     digests = _by_directory(a).withColumn("side", F.lit(0)).unionByName(_by_directory(b).withColumn("side", F.lit(1)))
     equal = (F.count("*") == 2) & (F.min("n") == F.max("n")) & (F.min("d1") == F.max("d1")) & (F.min("d2") == F.max("d2"))
     differing = kept(digests.groupBy("parent_path").agg(equal.alias("equal")).filter("NOT equal").select("parent_path"))
