@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stocktake.functions import paths as P
-from stocktake.operators import ranking as R
+from stocktake.operators import filters as FL, ranking as R
 
 
 def paths(df):
@@ -33,6 +33,25 @@ def test_filters_do_not_take_paths_apart(spark, name):
     assert not [line for line in filters if "regexp_replace" in line or line.count("regexp_extract") > 1 and name != "item_query"], name
 
 
+@pytest.mark.parametrize("name", ["item_query", "filter_file_type"])
+def test_type_filter_takes_a_name_apart_once(spark, name):
+    from stocktake.plans.queries import QUERIES
+
+    assert sum(line.count("regexp_extract(") for line in plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")).splitlines() if "Filter" in line) == 1
+
+
+def test_type_filter_of_odd_names(spark):
+    """The filter keeps what the extension says, also where its quick look at the name finds the letters elsewhere."""
+    names = ["a.pdf", "A.PDF", "a.pdf ", "a. pDf", "a.pdf.gz", "pdf", ".pdf", "..pdf", "a.pdfx", "pdf.txt", "a.p.df", "a.", "", None, "a\n.pdf", "a.pdf\n", "\u03a3.Pdf", "\u0130.PDF", "a.\u212aey", "x.\u039f\u03a3", "x.\u00c4", "a.x y", "a. "]
+    x = spark.createDataFrame([(i, n, "folder" if i == 1 else "file") for i, n in enumerate(names)], "i int, name string, kind string")
+    known = x.withColumn("ext", P.file_extension(F.col("name"))).filter("kind = 'file'").collect()
+    for wanted in ("pdf", ".PDF", "gz", "key", "\u03bf\u03c2", "\u03bf\u03c3", "\u00e4", "x y", "", "."):
+        plain = wanted.lower().lstrip(".") or None
+        got = {r["i"] for r in FL.filter_file_type(x, wanted).collect()}
+        assert got == {r["i"] for r in known if r["ext"] == plain}, wanted
+    assert {r["name"] for r in FL.filter_file_type(x, "pdf").collect()} >= {"a.pdf", "a.pdf ", "a. pDf", "..pdf"}
+
+
 def test_directories_of_lineitem_are_derived_once_a_supplier(spark):
     from stocktake.plans import queries as Q
 
